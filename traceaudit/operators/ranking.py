@@ -104,21 +104,20 @@ def globally_ranked(df: DataFrame, order: Sequence[Column | str], position: str
 
 
 def pick_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-               columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+               columns: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per key: the row with the smallest order, found by a combinable aggregate."""
-    chosen = F.min_by(F.struct(*columns), F.struct(*order)).alias("__row")
-    return df.groupBy(*keys).agg(chosen, *extra).select(*keys, "__row.*", *[
-        F.col(_name(c)) for c in extra])
+    return _pick(df, keys, F.min_by(F.struct(*columns), F.struct(*order)), extra)
 
 
 def pick_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-              columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+              columns: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per key: the row with the largest order, found by a combinable aggregate."""
-    chosen = F.max_by(F.struct(*columns), F.struct(*order)).alias("__row")
-    return df.groupBy(*keys).agg(chosen, *extra).select(*keys, "__row.*", *[
-        F.col(_name(c)) for c in extra])
+    return _pick(df, keys, F.max_by(F.struct(*columns), F.struct(*order)), extra)
 
 
-def _name(column: Column) -> str:
-    """Alias of an aliased Column."""
-    return column._jc.expr().name() if hasattr(column, "_jc") else str(column).split(" AS ")[-1]
+def _pick(df: DataFrame, keys: Sequence[str], chosen: Column,
+          extra: dict[str, Column] | None) -> DataFrame:
+    extra = extra or {}
+    grouped = df.groupBy(*keys).agg(chosen.alias("__row"),
+                                    *[c.alias(n) for n, c in extra.items()])
+    return grouped.select(*keys, "__row.*", *extra)
