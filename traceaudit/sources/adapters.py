@@ -116,13 +116,10 @@ def chat_rows(spark: SparkSession, folder: str) -> DataFrame:
     user = (F.when(num % 3 == 0, F.concat(F.lit('{"intent": "buy '), k, F.lit('", "goal": "save"}')))
              .when(num % 3 == 1, F.concat(F.lit("plain   text \n "), k))
              .otherwise(F.concat(F.lit('```json\n{"query": "q '), k, F.lit('"}\n```'))))
-    agent = (F.when(F.col("user_id") % 3 == 0, "PlanControllerAgent")
-              .when(F.col("user_id") % 3 == 1, "APIPlannerAgent").otherwise("APICodePlannerAgent"))
-    violation = (F.when(F.col("user_id") % 4 == 0, "V6").when(F.col("user_id") % 4 == 1, "V3a")
-                  .when(F.col("user_id") % 4 == 2, "V7").otherwise("V3b"))
+    agent = _agent(F.expr("event_id div 2") % 4)
     return e.select(
         F.col("user_id").alias("trace_id"), num.alias("span_idx"), F.col("event_type"),
-        agent.alias("agent"), violation.alias("violation_id"), system.alias("system_prompt"),
+        agent.alias("agent"), system.alias("system_prompt"),
         user.alias("user_input"), response.alias("response"),
         (k.cast("bigint")).alias("num_input_tokens"), (num % 7).alias("num_output_tokens"))
 
@@ -148,10 +145,18 @@ def span_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """One run per user of the span rows."""
-    c = chat_rows(spark, folder)
-    return c.select(F.concat(F.lit("run"), F.col("trace_id").cast("string")).alias("log_file"),
-                    F.col("agent").alias("target_agent"), "violation_id").distinct()
+    """One run per user of the span rows; every fifth is a clean run."""
+    u = table(spark, folder, "events").select("user_id").distinct()
+    user = F.col("user_id")
+    violation = (F.when(user % 4 == 0, "V6").when(user % 4 == 1, "V3b").when(user % 4 == 2, "V7").otherwise("V5"))
+    return u.select(F.concat(F.lit("run"), user.cast("string")).alias("log_file"), user.alias("log_pos"),
+                    F.when(user % 5 == 4, "clean").otherwise(_agent(user % 3)).alias("target_agent"),
+                    violation.alias("violation_id"))
+
+
+def _agent(number: Column) -> Column:
+    return (F.when(number == 0, "PlanControllerAgent").when(number == 1, "APIPlannerAgent")
+             .when(number == 2, "APICodePlannerAgent").otherwise("FinalAnswerAgent"))
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
