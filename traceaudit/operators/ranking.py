@@ -47,12 +47,12 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bu
     """1-based position of each row inside its key, and optionally the key's row count."""
     base = df.withColumn("__b", bucket)
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    local = base.withColumn("__pos", F.row_number().over(inside))
+    local = base.withColumn("__at", F.row_number().over(inside))
     whole = {total: F.sum("__n")} if total else {}
     out = _with_bucket_totals(local, keys, [F.count(F.lit(1)).alias("__n")],
                               {"__off": F.sum("__n")}, whole)
-    return (out.withColumn(position, F.col("__pos") + F.coalesce(F.col("__off"), F.lit(0)))
-               .drop("__b", "__pos", "__off"))
+    return (out.withColumn(position, F.col("__at") + F.coalesce(F.col("__off"), F.lit(0)))
+               .drop("__b", "__at", "__off"))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column,

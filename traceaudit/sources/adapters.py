@@ -130,15 +130,17 @@ def span_rows(spark: SparkSession, folder: str) -> DataFrame:
     is_task = F.col("span_idx") % 3 == 2
     wrapped = F.when(F.col("event_type").isin("view", "click", "purchase"),
                      F.concat(F.lit('{"outputs": '), F.col("response"), F.lit("}")))
-    attributes = F.map_from_entries(F.filter(F.array(
-        F.struct(F.lit("traceloop.entity.path").alias("key"), F.concat("agent", F.lit(".x")).alias("value")),
-        F.struct(F.lit("traceloop.association.properties.langgraph_node"), F.col("agent")),
-        F.struct(F.lit("gen_ai.prompt.0.role"), F.when(~is_task, F.lit("system"))),
-        F.struct(F.lit("gen_ai.prompt.0.content"), F.when(~is_task, F.col("system_prompt"))),
-        F.struct(F.lit("gen_ai.prompt.1.content"), F.when(~is_task, F.col("user_input"))),
-        F.struct(F.lit("gen_ai.completion.0.content"), F.when(~is_task, F.col("response"))),
-        F.struct(F.lit("traceloop.entity.output"), F.when(is_task, wrapped)),
-    ), lambda kv: kv["value"].isNotNull()))
+    values = {
+        "traceloop.entity.path": F.concat("agent", F.lit(".x")),
+        "traceloop.association.properties.langgraph_node": F.col("agent"),
+        "gen_ai.prompt.0.role": F.when(~is_task, F.lit("system")),
+        "gen_ai.prompt.0.content": F.when(~is_task, F.col("system_prompt")),
+        "gen_ai.prompt.1.content": F.when(~is_task, F.col("user_input")),
+        "gen_ai.completion.0.content": F.when(~is_task, F.col("response")),
+        "traceloop.entity.output": F.when(is_task, wrapped),
+    }
+    pairs = [F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()]
+    attributes = F.map_from_entries(F.filter(F.array(*pairs), lambda kv: kv["value"].isNotNull()))
     return c.select(F.concat(F.lit("run"), F.col("trace_id").cast("string")).alias("log_file"), "span_idx",
                     F.when(is_task, "RunnableLambda.task").otherwise("ChatOpenAI.chat").alias("name"),
                     attributes.alias("attributes"))
