@@ -67,6 +67,39 @@ def python_json_ascii(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _dump(t, True), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def python_json_indented(text: pd.Series) -> pd.Series:
+    """Re-serialise JSON text over several lines, two spaces deep."""
+    return text.map(lambda t: json.dumps(json.loads(t), indent=2), na_action="ignore")
+
+
+def outputs_text(*path: str):
+    """Arrow UDF: the value under a path of keys as response text, null when it is not there.
+
+    Text that is JSON itself and objects come back re-serialised with keys in
+    their order; other text and values come back as they print.
+    """
+
+    def one(raw):
+        try:
+            value = json.loads(raw)
+            for key in path:
+                value = value.get(key)
+        except (ValueError, AttributeError):
+            return None
+        if isinstance(value, dict):
+            return json.dumps(value, ensure_ascii=False)
+        if isinstance(value, str):
+            return _dump(value, False) or value
+        return None if value is None else str(value)
+
+    @F.pandas_udf(T.StringType())
+    def pick(raw: pd.Series) -> pd.Series:
+        return raw.map(one, na_action="ignore")
+
+    return pick
+
+
 def _dump(text: str, ascii_only: bool) -> str | None:
     try:
         return json.dumps(json.loads(text), ensure_ascii=ascii_only)
