@@ -80,7 +80,7 @@ call AS (
       WHEN 'view' THEN '{{"action": "CoderAgent", "subtasks": ["a", "b"], "code": "x = ' || k || '", "meta": ' || props || '}}'
       WHEN 'click' THEN '{{"action": "ConcludeTask", "subtasks_progress": ["completed", "not-started", "completed"], "thoughts": "done ' || k || '"}}'
       WHEN 'purchase' THEN '{{"action": "ShortlisterAgent", "shortlisted_apis": [{{"name": "a", "relevance_score": 0.' || lpad(k, 3, '0')
-           || '}}, {{"name": "b", "score": 0.25}}], "relevant_apis": ["a", "b", "c"]}}'
+           || '1}}, {{"name": "b", "score": 0.25}}], "relevant_apis": ["a", "b", "c"]}}'
       WHEN 'signup' THEN '```json' || chr(10) || '{{"result": "signed up", "k": ' || k || '}}' || chr(10) || '```'
       ELSE 'Request failed with error code ' || k END AS response,
     CAST(k AS BIGINT) AS num_input_tokens, event_id % 7 AS num_output_tokens

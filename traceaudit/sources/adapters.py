@@ -106,7 +106,7 @@ def chat_rows(spark: SparkSession, folder: str) -> DataFrame:
                   '"thoughts": "done '), k, F.lit('"}')))
         .when(F.col("event_type") == "purchase", F.concat(
             F.lit('{"action": "ShortlisterAgent", "shortlisted_apis": [{"name": "a", "relevance_score": 0.'),
-            F.lpad(k, 3, "0"), F.lit('}, {"name": "b", "score": 0.25}], "relevant_apis": ["a", "b", "c"]}')))
+            F.lpad(k, 3, "0"), F.lit('1}, {"name": "b", "score": 0.25}], "relevant_apis": ["a", "b", "c"]}')))
         .when(F.col("event_type") == "signup", F.concat(
             F.lit('```json\n{"result": "signed up", "k": '), k, F.lit("}\n```")))
         .otherwise(F.concat(F.lit("Request failed with error code "), k)))
