@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions.text import prompt_hash
 from traceaudit.operators.lanes import lane_aggregate
+from traceaudit.session import cut_lineage
 
 
 def distinct_prompts(rows: DataFrame, text: str) -> DataFrame:
@@ -92,34 +93,40 @@ def keywords(docs: DataFrame, key: str, text: str, top_n: int = 50, stop_words:
         "term", (F.col("total") / n).alias("score")).orderBy(F.desc(F.round("score", 12)), "term").limit(top_n)
 
 
-def project(weights: DataFrame, key: str, dim: int = 32) -> DataFrame:
+def fixed_vocabulary(vocab: DataFrame) -> DataFrame:
+    """The vocabulary computed once and numbered; at most ``max_features`` rows pass through the driver."""
+    rows = [(i, *r) for i, r in enumerate(vocab.select("term", "tf", "df", "docs").collect())]
+    return vocab.sparkSession.createDataFrame(rows, "idx int, term string, tf bigint, df bigint, docs bigint")
+
+
+def project(weights: DataFrame, key: str, vocab: DataFrame, dim: int = 32) -> DataFrame:
     """Truncated singular value decomposition of a weight table: ``key, signature`` of length ``dim``.
 
-    The decomposition runs on Spark's row matrix; its right vectors (one row per
-    vocabulary term) come back as a small table and the projection is a join and
-    a sum. The entry of largest size in every right vector is made positive.
-    Missing dimensions are zero.
+    Spark's row matrix sums the term-by-term matrix in one pass (vocabulary
+    squared, so a few megabytes at most); its eigenvectors are the right singular
+    vectors, and the projection is a join with one row per term and a sum. The
+    entry of largest size in every vector is made positive. Missing dimensions
+    are zero.
     """
     import numpy as np
-    from pyspark.mllib.linalg import Vectors
+    from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = weights.sparkSession
-    terms = sorted(r[0] for r in weights.select("term").distinct().collect())   # the vocabulary
-    place = {t: i for i, t in enumerate(terms)}
-    size = len(terms)
-    listed = weights.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("ws"))
-    vectors = listed.select("ws").rdd.map(lambda r: Vectors.sparse(size, {place[w[0]]: float(w[1]) for w in r[0]}))
-    vectors.cache()
-    k = min(dim, size, vectors.count())
-    right = RowMatrix(vectors).computeSVD(k).V.toArray()
-    vectors.unpersist()
-    signs = np.sign(right[np.abs(right).argmax(axis=0), range(right.shape[1])])
-    right = right * np.where(signs == 0, 1.0, signs)
+    from pyspark.mllib.util import MLUtils
+
+    weights = cut_lineage(weights.join(F.broadcast(vocab.select("term", "idx")), "term").select(key, "term", "idx", "weight"))
+    size = vocab.count()
+    cells = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
+                        lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(0.0)))
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(cells.select(array_to_vector(dense).alias("row"))))
+    values, right = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+    keep = [i for i in np.argsort(values)[::-1][:dim] if values[i] > 1e-12 * values.max()]
+    right = right[:, keep]
+    right = right * np.where(right[np.abs(right).argmax(axis=0), range(right.shape[1])] < 0, -1.0, 1.0)
     padded = np.zeros((size, dim))
     padded[:, : right.shape[1]] = right
-    basis = spark.createDataFrame([(t, padded[i].tolist()) for t, i in place.items()], "term string, basis array<double>")
-    sent = weights.join(F.broadcast(basis), "term")                             # one row per vocabulary term
+    basis = weights.sparkSession.createDataFrame([(i, padded[i].tolist()) for i in range(size)], "idx int, basis array<double>")
+    sent = weights.join(F.broadcast(basis), "idx")                              # one row per vocabulary term
     sent = sent.withColumn("part", F.transform("basis", lambda b: b * F.col("weight")))
     return lane_aggregate(sent, [key], "part", dim, F.sum, name="signature")
 
@@ -140,8 +147,8 @@ def text_signatures(docs: DataFrame, key: str, text: str, analyzer: str = "word"
         terms, limit, share = char_terms(F.col(text)), max_features or 200, 1.0 if max_df is None else max_df
     else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
-    vocab = vocabulary(docs, terms, limit, share)
-    found = project(term_weights(docs, key, terms, vocab), key, dim)
+    vocab = fixed_vocabulary(vocabulary(docs, terms, limit, share))
+    found = project(term_weights(docs, key, terms, vocab), key, vocab, dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return docs.select(key).join(found, key, "left").select(key, F.coalesce("signature", zeros).alias("signature"))
 

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from traceaudit.plans import feature_queries, judging_queries, label_queries, span_queries  # noqa: F401
+from traceaudit.plans import (  # noqa: F401
+    feature_queries,
+    judging_queries,
+    label_queries,
+    span_queries,
+    stream_queries,
+)
 from traceaudit.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

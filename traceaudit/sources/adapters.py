@@ -25,7 +25,11 @@ def _by_type(column: Column, mapping: dict[str, str]) -> Column:
 
 def judgments(spark: SparkSession, folder: str) -> DataFrame:
     """Judgment ledger from events: the event id picks judge, stage and run."""
-    e = table(spark, folder, "events")
+    return judgments_of(table(spark, folder, "events"))
+
+
+def judgments_of(e: DataFrame) -> DataFrame:
+    """The ledger columns of event rows, batch or streaming."""
     kind, number = F.col("event_type"), F.col("event_id")
     first = _by_type(kind, {"view": "policy_absent", "click": "policy_absent", "signup": "policy_absent",
                             "purchase": "policy_present", "error": "ERROR"})
