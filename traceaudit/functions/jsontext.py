@@ -67,10 +67,17 @@ def python_json_ascii(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _dump(t, True), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def python_json_indented(text: pd.Series) -> pd.Series:
-    """Re-serialise JSON text over several lines, two spaces deep."""
-    return text.map(lambda t: json.dumps(json.loads(t), indent=2), na_action="ignore")
+def python_json_indented(size: int):
+    """Arrow UDF over lists of JSON texts: each over several lines, two spaces deep, cut to ``size`` characters."""
+
+    def one(texts):
+        return None if texts is None else [json.dumps(json.loads(t), indent=2)[:size] for t in texts]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def indent(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return indent
 
 
 def outputs_text(*path: str):

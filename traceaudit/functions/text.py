@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(text: Column, max_length: int | None = None) -> Column:
     """Collapse white space, strip, and cut to ``max_length`` characters."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceaudit.functions.text import let
+
 LANE = 64
 
 
@@ -52,4 +54,4 @@ def scaled(vector: str, factor: Column) -> Column:
 def unit_length(vector: Column) -> Column:
     """Vector divided by its Euclidean length (zero vectors stay zero)."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    return let(norm, lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceaudit.functions.text import lines_of, literal_pattern, type_slug
+from traceaudit.functions.text import let, lines_of, literal_pattern, type_slug
 from traceaudit.functions.jsontext import stripped
 from traceaudit.operators.lookup import lookup_join
 
 # The rewriting operations a rule can name.
 OPS = ("weaken", "remove_exact", "remove_line", "remove_lines", "remove_paragraph", "remove_block")
 
+# Letters that match another letter when case is ignored although lower-casing tells them apart.
+ODD_CASE = r"[\x{130}\x{131}\x{17F}\x{1C5}\x{1C8}\x{1CB}\x{1F2}\x{345}\x{370}-\x{3FF}\x{1C80}-\x{1C88}\x{1E9B}\x{1E9E}\x{1F80}-\x{1FFF}\x{2126}\x{212A}\x{212B}]"
+
 RULE_SCHEMA = T.StructType([
     T.StructField("violation_id", T.StringType()),
     T.StructField("target_agent", T.StringType()),
@@ -54,14 +57,41 @@ def precheck_diff(pairs: DataFrame, original: str = "original_system_prompt",
     )
 
 
-def _without(items: Column, keep: Column) -> Column:
-    """Items except the one at 1-based position ``keep`` (0 keeps all)."""
-    return F.filter(items, lambda x, i: i + 1 != keep)
+def _without(items: Column, spot: Column) -> Column:
+    """Items except the one at the 1-based position."""
+    return F.concat(F.slice(items, 1, F.greatest(spot - 1, F.lit(0))), F.slice(items, spot + 1, F.size(items)))
+
+
+def _holds(anchor: Column):
+    """Test for a text that holds ``anchor`` in any case.
+
+    Lower-casing both sides decides all texts but those with letters whose case
+    partner is not their lower-case form; these use a regular expression.
+    """
+    def test(x: Column) -> Column:
+        return F.when(F.regexp_like(F.concat(x, anchor), F.lit(ODD_CASE)), F.regexp_like(x, literal_pattern(anchor))
+                      ).otherwise(F.contains(F.lower(x), F.lower(anchor)))
+    return test
+
+
+def _drop_first(items: Column, anchor: Column, glue: str) -> Column:
+    """Struct (text, removed): items joined again without the first that holds the anchor."""
+    def drop(parts: Column) -> Column:
+        place = F.array_position(F.transform(parts, _holds(anchor)), True).cast("int")
+        return let(place, lambda spot: F.struct(
+            F.array_join(F.when(spot > 0, _without(parts, spot)).otherwise(parts), glue).alias("text"),
+            F.when(spot > 0, stripped(F.get(parts, spot - 1))).alias("removed")))
+    return let(items, drop)
 
 
-def _first_match(items: Column, pattern: Column) -> Column:
-    """1-based position of the first item that matches, 0 without one."""
-    return F.array_position(F.transform(items, lambda x: F.regexp_like(x, pattern)), True)
+def _drop_all(items: Column, anchors: Column, glue: str) -> Column:
+    """Struct (text, removed): items joined again without those that hold any of the anchors."""
+    def drop(parts: Column) -> Column:
+        marked = F.transform(parts, lambda x: F.struct(x.alias("x"), F.exists(anchors, lambda a: _holds(a)(x)).alias("hit")))
+        return let(marked, lambda m: let(F.filter(m, lambda p: p["hit"]), lambda gone: F.struct(
+            F.array_join(F.transform(F.filter(m, lambda p: ~p["hit"]), lambda p: p["x"]), glue).alias("text"),
+            F.when(F.size(gone) > 0, F.array_join(F.transform(gone, lambda p: stripped(p["x"])), "\n")).alias("removed"))))
+    return let(items, drop)
 
 
 def _apply(text: Column, rule: Column) -> Column:
@@ -80,23 +110,10 @@ def _apply(text: Column, rule: Column) -> Column:
     weaken = made(F.when(at > 0, F.concat(head, rule["replacement"], tail)).otherwise(text),
                   F.when(at > 0, anchor))
     remove_exact = made(F.when(at > 0, stripped(F.concat(head, tail))).otherwise(text), F.when(at > 0, anchor))
-
-    lines = F.split(text, "\n", -1)
-    spot = _first_match(lines, loose)
-    remove_line = made(F.when(spot > 0, F.array_join(_without(lines, spot), "\n")).otherwise(text),
-                       F.when(spot > 0, stripped(F.get(lines, spot.cast("int") - 1))))
-
-    patterns = F.transform(F.split(anchor, "\\|\\|", -1), lambda p: literal_pattern(p))
-    def hit(line: Column) -> Column:
-        return F.exists(patterns, lambda p: F.regexp_like(line, p))
-    dropped = F.filter(lines, lambda x: hit(x))
-    remove_lines = made(F.array_join(F.filter(lines, lambda x: ~hit(x)), "\n"),
-                        F.when(F.size(dropped) > 0, F.array_join(F.transform(dropped, stripped), "\n")))
-
-    blocks = F.split(text, r"(?U)\n\s*\n", -1)
-    place = _first_match(blocks, loose)
-    remove_paragraph = made(F.array_join(_without(blocks, place), "\n\n"),
-                            F.when(place > 0, stripped(F.get(blocks, place.cast("int") - 1))))
+    lines, blocks = F.split(text, "\n", -1), F.split(text, r"(?U)\n\s*\n", -1)
+    remove_line = _drop_first(lines, anchor, "\n")
+    remove_lines = _drop_all(lines, F.split(anchor, "\\|\\|", -1), "\n")
+    remove_paragraph = _drop_first(blocks, anchor, "\n\n")
 
     start = F.regexp_instr(text, loose)
     after = F.substr(text, start + F.length(anchor))
@@ -125,7 +142,7 @@ def rewrite_prompts(prompts: DataFrame, rules: DataFrame, text: str = "system_pr
     empty = F.array().cast("array<string>")
     folded = F.aggregate(
         "__rules", F.struct(F.col(text).alias("text"), empty.alias("removed")),
-        lambda acc, rule: _merge(acc, _apply(acc["text"], rule)))
+        lambda acc, rule: let(_apply(acc["text"], rule), lambda step: _merge(acc, step)))
     out = staged.withColumn("__out", folded)
     known = F.col("__rules").isNotNull()
     return out.select(

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.functions.text import prompt_hash
+from traceaudit.functions.text import let, prompt_hash
 from traceaudit.operators.lanes import lane_aggregate
-from traceaudit.session import cut_lineage
 
 
 def distinct_prompts(rows: DataFrame, text: str) -> DataFrame:
@@ -41,13 +40,12 @@ def word_terms(text: Column, stop_words: Sequence[str] = (), bigrams: bool = Tru
 
 def char_terms(text: Column, shortest: int = 2, longest: int = 4) -> Column:
     """All character runs of 2 to 4 characters of the lower-cased text with white space collapsed."""
-    t = F.regexp_replace(F.lower(text), r"(?U)\s\s+", " ")
-    runs = []
-    for n in range(shortest, longest + 1):
-        runs.append(F.when(F.length(t) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substr(t, i, F.lit(n))))
-            .otherwise(F.array().cast("array<string>")))
-    return F.concat(*runs)
+    def runs(t: Column) -> Column:
+        return F.concat(*[
+            F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1),
+                                                 lambda i, n=n: F.substr(t, i, F.lit(n))))
+            .otherwise(F.array().cast("array<string>")) for n in range(shortest, longest + 1)])
+    return let(F.regexp_replace(F.lower(text), r"(?U)\s\s+", " "), runs)
 
 
 def vocabulary(docs: DataFrame, terms: Column, max_features: int = 500, max_df: float = 0.9) -> DataFrame:
@@ -68,39 +66,66 @@ def vocabulary(docs: DataFrame, terms: Column, max_features: int = 500, max_df:
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)
 
 
-def term_weights(docs: DataFrame, key: str, terms: Column, vocab: DataFrame) -> DataFrame:
-    """Unit-length TF-IDF weights: ``key, term, weight``; idf is ln((1+N)/(1+df)) + 1.
+def fixed_vocabulary(vocab: DataFrame) -> list[dict]:
+    """The vocabulary computed once, as at most ``max_features`` driver rows in its order."""
+    return [r.asDict() for r in vocab.collect()]
 
-    Terms outside the (bounded) vocabulary are dropped before the shuffle.
+
+def weight_vectors(docs: DataFrame, key: str, terms: Column, vocab: list[dict]) -> DataFrame:
+    """Unit-length TF-IDF vector per document: ``key, weights`` (sparse ML vector in vocabulary order).
+
+    idf is ln((1+N)/(1+df)) + 1. Counting, weighting and scaling happen row by
+    row in the JVM; nothing is shuffled.
     """
-    idf = F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)) + 1.0
-    weighted_terms = F.broadcast(vocab.select("term", idf.alias("idf")))       # at most max_features rows
-    counts = (docs.select(F.col(key), F.explode(terms).alias("term")).join(weighted_terms, "term")
-                  .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    raw = counts.withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # at most one row per vocabulary term
-    return raw.withColumn("norm", norm).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    from math import log
+
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    idf = Vectors.dense([log((1.0 + v["docs"]) / (1.0 + v["df"])) + 1.0 for v in vocab])
+    counter = CountVectorizerModel.from_vocabulary([v["term"] for v in vocab], inputCol="__terms", outputCol="__tf")
+    weigh = ElementwiseProduct(scalingVec=idf, inputCol="__tf", outputCol="__raw")
+    scale = Normalizer(inputCol="__raw", outputCol="weights", p=2.0)
+    rows = docs.select(key, terms.alias("__terms"))
+    return scale.transform(weigh.transform(counter.transform(rows))).select(key, "weights")
+
+
+def _entries(vectors: DataFrame, key: str) -> DataFrame:
+    """Non-zero entries ``key, idx, weight`` of weight vectors."""
+    from pyspark.ml.functions import vector_to_array
+    numbered = F.transform(vector_to_array("weights"), lambda w, i: F.struct(i.alias("idx"), w.alias("weight")))
+    return vectors.select(key, F.inline(F.filter(numbered, lambda p: p["weight"] != 0)))
+
+
+def _per_term(spark: SparkSession, vocab: list[dict], values: list, kind: str) -> DataFrame:
+    """Small table ``idx, term, value`` with one row per vocabulary term."""
+    rows = [(i, v["term"], values[i]) for i, v in enumerate(vocab)]
+    return spark.createDataFrame(rows, f"idx int, term string, value {kind}")
+
+
+def term_weights(docs: DataFrame, key: str, terms: Column, vocab: list[dict]) -> DataFrame:
+    """Unit-length TF-IDF weights in long form: ``key, term, weight``."""
+    names = _per_term(docs.sparkSession, vocab, [0] * len(vocab), "int")
+    found = _entries(weight_vectors(docs, key, terms, vocab), key)
+    return found.join(F.broadcast(names), "idx").select(key, "term", "weight")   # one row per vocabulary term
 
 
 def keywords(docs: DataFrame, key: str, text: str, top_n: int = 50, stop_words: Sequence[str] | None = None,
              max_features: int = 200, max_df: float = 0.8) -> DataFrame:
     """The terms with the largest mean weight over all documents (a top-n report)."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
     terms = word_terms(F.col(text), english_stop_words() if stop_words is None else stop_words)
-    vocab = vocabulary(docs, terms, max_features, max_df)
-    weights = term_weights(docs, key, terms, vocab)
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return weights.groupBy("term").agg(F.sum("weight").alias("total")).select(
-        "term", (F.col("total") / n).alias("score")).orderBy(F.desc(F.round("score", 12)), "term").limit(top_n)
-
-
-def fixed_vocabulary(vocab: DataFrame) -> DataFrame:
-    """The vocabulary computed once and numbered; at most ``max_features`` rows pass through the driver."""
-    rows = [(i, *r) for i, r in enumerate(vocab.select("term", "tf", "df", "docs").collect())]
-    return vocab.sparkSession.createDataFrame(rows, "idx int, term string, tf bigint, df bigint, docs bigint")
+    vocab = fixed_vocabulary(vocabulary(docs, terms, max_features, max_df))
+    mean = weight_vectors(docs, key, terms, vocab).agg(Summarizer.mean(F.col("weights")).alias("m"))
+    scores = mean.select(F.posexplode(vector_to_array("m")).alias("idx", "score"))
+    names = _per_term(docs.sparkSession, vocab, [0] * len(vocab), "int")
+    return scores.join(F.broadcast(names), "idx").select("term", "score").orderBy(
+        F.desc(F.round("score", 12)), "term").limit(top_n)
 
 
-def project(weights: DataFrame, key: str, vocab: DataFrame, dim: int = 32) -> DataFrame:
-    """Truncated singular value decomposition of a weight table: ``key, signature`` of length ``dim``.
+def project(vectors: DataFrame, key: str, vocab: list[dict], dim: int = 32) -> DataFrame:
+    """Truncated singular value decomposition of weight vectors: ``key, signature`` of length ``dim``.
 
     Spark's row matrix sums the term-by-term matrix in one pass (vocabulary
     squared, so a few megabytes at most); its eigenvectors are the right singular
@@ -109,25 +134,19 @@ def project(weights: DataFrame, key: str, vocab: DataFrame, dim: int = 32) -> Da
     are zero.
     """
     import numpy as np
-    from pyspark.ml.functions import array_to_vector
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
-    weights = cut_lineage(weights.join(F.broadcast(vocab.select("term", "idx")), "term").select(key, "term", "idx", "weight"))
-    size = vocab.count()
-    cells = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                        lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(0.0)))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(cells.select(array_to_vector(dense).alias("row"))))
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("weights")), numCols=len(vocab))
     values, right = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
     keep = [i for i in np.argsort(values)[::-1][:dim] if values[i] > 1e-12 * values.max()]
     right = right[:, keep]
     right = right * np.where(right[np.abs(right).argmax(axis=0), range(right.shape[1])] < 0, -1.0, 1.0)
-    padded = np.zeros((size, dim))
+    padded = np.zeros((len(vocab), dim))
     padded[:, : right.shape[1]] = right
-    basis = weights.sparkSession.createDataFrame([(i, padded[i].tolist()) for i in range(size)], "idx int, basis array<double>")
-    sent = weights.join(F.broadcast(basis), "idx")                              # one row per vocabulary term
-    sent = sent.withColumn("part", F.transform("basis", lambda b: b * F.col("weight")))
+    basis = _per_term(vectors.sparkSession, vocab, padded.tolist(), "array<double>")
+    sent = _entries(vectors, key).join(F.broadcast(basis), "idx")                 # one row per vocabulary term
+    sent = sent.withColumn("part", F.transform("value", lambda b: b * F.col("weight")))
     return lane_aggregate(sent, [key], "part", dim, F.sum, name="signature")
 
 
@@ -148,7 +167,7 @@ def text_signatures(docs: DataFrame, key: str, text: str, analyzer: str = "word"
     else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
     vocab = fixed_vocabulary(vocabulary(docs, terms, limit, share))
-    found = project(term_weights(docs, key, terms, vocab), key, vocab, dim)
+    found = project(weight_vectors(docs, key, terms, vocab), key, vocab, dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
     return docs.select(key).join(found, key, "left").select(key, F.coalesce("signature", zeros).alias("signature"))
 

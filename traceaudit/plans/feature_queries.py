@@ -53,7 +53,7 @@ SELECT doc_id, CASE WHEN length(regexp_replace(regexp_replace(text, '^\s+', ''),
 FROM documents""")
 def validity_documents(spark, folder):
     """The five validity numbers with every document as a plain-text output."""
-    rows = A.table(spark, folder, "documents").select("doc_id", F.lit("Answer briefly.").alias("system_prompt"), F.col("text").alias("output_text"))
+    rows = A.table(spark, folder, "documents", spread=True).select("doc_id", F.lit("Answer briefly.").alias("system_prompt"), F.col("text").alias("output_text"))
     out = features.validity_features(rows).drop("system_prompt", "output_text")
     return out.withColumn("output_length_normalized", rounded(F.col("output_length_normalized"), 9))
 
@@ -97,7 +97,7 @@ def clean_texts(spark, folder):
 FROM (SELECT doc_id, regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]+', ' ', 'g') AS t FROM documents)""")
 def clean_documents(spark, folder):
     """Documents with white space collapsed, shortened for encoding and to 100 characters, as md5."""
-    d = A.table(spark, folder, "documents")
+    d = A.table(spark, folder, "documents", spread=True)
     return d.select("doc_id", F.md5(features.clean_task(F.col("text"))).alias("text_md5"), F.md5(clean_text(F.col("text"), 100)).alias("head_md5"))
 
 
@@ -111,7 +111,7 @@ def agent_outputs(spark, folder):
 @query("prompt_dedup", """SELECT DISTINCT substr(sha256(text), 1, 16) AS prompt_hash, length(text) AS chars FROM documents WHERE text <> ''""")
 def prompt_dedup(spark, folder):
     """Distinct documents by content hash."""
-    out = signatures.distinct_prompts(A.table(spark, folder, "documents"), "text")
+    out = signatures.distinct_prompts(A.table(spark, folder, "documents", spread=True), "text")
     return out.select("prompt_hash", F.length("prompt").cast("bigint").alias("chars"))
 
 
@@ -131,9 +131,10 @@ wt AS (SELECT h, term, w / sqrt(sum(w * w) OVER (PARTITION BY h)) AS weight FROM
 @query("tfidf_terms", f"""WITH {_tfidf(500, '0.9')} SELECT h AS prompt_hash, term, round(weight, 6) AS weight FROM wt""")
 def tfidf_terms(spark, folder):
     """Unit-length term weights of the distinct documents over 500 words and word pairs."""
-    docs = signatures.distinct_prompts(A.table(spark, folder, "documents"), "text")
+    docs = signatures.distinct_prompts(A.table(spark, folder, "documents", spread=True), "text")
     terms = signatures.word_terms(F.col("prompt"), STOP_WORDS)
-    out = signatures.term_weights(docs, "prompt_hash", terms, signatures.vocabulary(docs, terms))
+    vocab = signatures.fixed_vocabulary(signatures.vocabulary(docs, terms))
+    out = signatures.term_weights(docs, "prompt_hash", terms, vocab)
     return out.withColumn("weight", rounded(F.col("weight")))
 
 
@@ -141,7 +142,7 @@ def tfidf_terms(spark, folder):
 SELECT term, round(sum(weight) / (SELECT n FROM n), 6) AS score FROM wt GROUP BY term ORDER BY round(sum(weight) / (SELECT n FROM n), 12) DESC, term LIMIT 50""")
 def tfidf_keywords(spark, folder):
     """The fifty terms with the largest mean weight."""
-    docs = signatures.distinct_prompts(A.table(spark, folder, "documents"), "text")
+    docs = signatures.distinct_prompts(A.table(spark, folder, "documents", spread=True), "text")
     out = signatures.keywords(docs, "prompt_hash", "prompt", stop_words=STOP_WORDS)
     return out.withColumn("score", rounded(F.col("score")))
 
@@ -149,7 +150,7 @@ def tfidf_keywords(spark, folder):
 @query("text_signatures_svd")
 def text_signatures_svd(spark, folder):
     """Signatures of the distinct documents (32 numbers each)."""
-    docs = signatures.distinct_prompts(A.table(spark, folder, "documents"), "text")
+    docs = signatures.distinct_prompts(A.table(spark, folder, "documents", spread=True), "text")
     return signatures.text_signatures(docs, "prompt_hash", "prompt", stop_words=STOP_WORDS)
 
 
@@ -163,7 +164,7 @@ def name_signatures(spark, folder):
 @query("embed_texts")
 def embed_texts(spark, folder):
     """Hashed embeddings of the conversation texts."""
-    c = A.table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    c = A.table(spark, folder, "conversations", spread=True).select("conv_id", "turn", "text")
     return features.embed_texts(c, "text", "embedding", 384).drop("text")
 
 

@@ -208,7 +208,7 @@ SELECT doc_id, md5(t) AS prompt_md5, CASE WHEN lang IN ('en', 'fr', 'de') THEN '
 FROM two""")
 def rewrite_prompts(spark, folder):
     """Documents rewritten by the rules of their language; languages without rules are errors."""
-    prompts = A.table(spark, folder, "documents").select(
+    prompts = A.table(spark, folder, "documents", spread=True).select(
         "doc_id", F.lit("V1").alias("violation_id"), F.col("lang").alias("target_agent"), F.col("text").alias("system_prompt"))
     out = rewrite.rewrite_prompts(prompts, rewrite.rules_frame(spark, RULES))
     return out.select("doc_id", F.md5("modified_prompt").alias("prompt_md5"), F.col("change_info.type").alias("type"),
@@ -223,14 +223,14 @@ def check_cells(spark, folder):
 
 
 def write_logs(spark, folder, target: str) -> None:
-    """Write the benchmark calls as span logs (one folder per run), with some text that is not JSON between them."""
+    """Write the benchmark calls as span logs, with some text that is not JSON between them."""
     c = A.chat_rows(spark, folder)
     body = F.to_json(F.struct(
         F.concat(F.lit("span"), (F.col("span_idx") % 4).cast("string")).alias("name"),
         F.struct(F.col("agent").alias("traceloop.association.properties.langgraph_node"),
                  F.col("user_input").alias("gen_ai.prompt.1.content"), F.col("response").alias("gen_ai.completion.0.content")).alias("attributes")))
     noise = F.when(F.col("span_idx") % 5 == 0, F.concat(body, F.lit("\nnot json {\n"))).otherwise(F.concat(body, F.lit("\n")))
-    c.select(noise.alias("value"), F.concat(F.lit("run"), F.col("trace_id").cast("string")).alias("run")).write.partitionBy("run").text(target)
+    c.select(noise.alias("value")).write.text(target)
 
 
 @query("ingest_spans_scan", """SELECT 'span' || CAST(event_id % 4 AS VARCHAR) AS name, count(*) AS spans FROM events GROUP BY 1""")

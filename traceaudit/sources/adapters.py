@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 JUDGES = ["J0", "J1", "J2"]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A benchmark table; ``spread`` shares a small file among all cores before heavy row work."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small(rows) if spread else rows
+
+
+def spread_small(rows: DataFrame) -> DataFrame:
+    """Repartition an input that arrives in fewer splits than there are cores; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _by_type(column: Column, mapping: dict[str, str]) -> Column:
@@ -50,7 +58,7 @@ def judgments_of(e: DataFrame) -> DataFrame:
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """Raw judge replies from events in the shapes judges produce."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     k = F.get_json_object("props", "$.k")
     body = F.concat(F.lit('{"judgment": "'), F.col("event_type"), F.lit('", "confidence": 0.'), F.lpad(k, 3, "0"),
                     F.lit(', "evidence": "item '), k, F.lit('"}'))
@@ -65,7 +73,7 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
 
 def prompt_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Original and modified prompt per document: first line prefixed, first line dropped, or unchanged."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     way = F.col("doc_id") % 3
     changed = (F.when(way == 0, F.concat(F.lit("Optionally: "), F.col("text")))
                 .when(way == 1, F.regexp_replace("text", r"^[^\n]*\n", ""))
@@ -98,7 +106,7 @@ def chat_rows(spark: SparkSession, folder: str) -> DataFrame:
 
     The responses are JSON objects, a fenced block or plain text, by event type.
     """
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     k = F.get_json_object("props", "$.k")
     num = F.col("event_id")
     response = (
