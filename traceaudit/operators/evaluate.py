@@ -151,7 +151,7 @@ def early_stop(epochs: DataFrame, metric: Column, run: str = "run_id", order: st
 
 def fit_baseline(vectors: DataFrame, label: str, kind: str = "linear", features: str = "features",
                  width: int | None = None, hidden: Sequence[int] = (64,), max_iter: int = 50, seed: int = 42):
-    """Train a classifier on pooled vectors; returns (model, label codes, frame with predictions).
+    """Train a classifier on pooled vectors; returns (model, label codes, training rows with predictions).
 
     ``linear`` is softmax regression, ``mlp`` a network with hidden layers. The
     predicted label comes back as text in ``prediction_label``.
@@ -176,7 +176,16 @@ def fit_baseline(vectors: DataFrame, label: str, kind: str = "linear", features:
     else:
         raise ValueError(f"unknown kind {kind!r}")
     model = learner.fit(ready)
+    return model, codes, apply_baseline(model, codes, vectors, label, features)
+
+
+def apply_baseline(model, codes: DataFrame, vectors: DataFrame, label: str, features: str = "features") -> DataFrame:
+    """Rows with the label a fitted baseline predicts, as text in ``prediction_label``."""
+    from pyspark.ml.functions import array_to_vector
+
+    from traceaudit.operators.lookup import lookup_join
+
+    ready = vectors.withColumn("__x", array_to_vector(F.col(features).cast("array<double>")))
     scored = model.transform(ready).withColumn("__code_p", F.col("__p").cast("bigint"))
     back = codes.select(F.col("__code").alias("__code_p"), F.col(label).alias("prediction_label"))
-    out = lookup_join(scored, back, ["__code_p"])
-    return model, codes, out.drop("__x", "__y", "__p", "__prob", "__raw", "__code", "__code_p")
+    return lookup_join(scored, back, ["__code_p"]).drop("__x", "__p", "__prob", "__raw", "__code_p")
