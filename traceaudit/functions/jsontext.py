@@ -14,16 +14,17 @@ FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 CODE_FENCE = r"(?s)```(?:\w+)?\s*\n?(.*?)\n?```"
 
 
+END_MARK = "~|end of text|~"
+
+
 def strict_parse(text: Column) -> Column:
     """VARIANT of a text that is one JSON value and nothing else, otherwise null.
 
-    The text is parsed inside brackets, so that anything after the first value
-    either breaks the parse or makes the list longer than one.
+    The parser ignores what follows the first value, so the text is parsed as
+    the first of two list items: a mark must come right after it.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    first = F.try_variant_get(listed, "$[0]", "variant")
-    single = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(single & ~(F.trim(text) == ""), first)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+    return F.when(F.try_variant_get(listed, "$[1]", "string") == END_MARK, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def is_object(value: Column) -> Column:

@@ -40,12 +40,15 @@ def word_terms(text: Column, stop_words: Sequence[str] = (), bigrams: bool = Tru
 
 def char_terms(text: Column, shortest: int = 2, longest: int = 4) -> Column:
     """All character runs of 2 to 4 characters of the lower-cased text with white space collapsed."""
-    def runs(t: Column) -> Column:
-        return F.concat(*[
-            F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1),
-                                                 lambda i, n=n: F.substr(t, i, F.lit(n))))
-            .otherwise(F.array().cast("array<string>")) for n in range(shortest, longest + 1)])
-    return let(F.regexp_replace(F.lower(text), r"(?U)\s\s+", " "), runs)
+    def of_length(t: Column, n: int) -> Column:
+        starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1))
+        runs = F.transform(starts, lambda i: F.substr(t, i, F.lit(n)))
+        return F.coalesce(runs, F.array().cast("array<string>"))
+
+    def all_runs(t: Column) -> Column:
+        return F.concat(*[of_length(t, n) for n in range(shortest, longest + 1)])
+
+    return let(F.regexp_replace(F.lower(text), r"(?U)\s\s+", " "), all_runs)
 
 
 def vocabulary(docs: DataFrame, terms: Column, max_features: int = 500, max_df: float = 0.9) -> DataFrame:
@@ -104,7 +107,9 @@ def _per_term(spark: SparkSession, vocab: list[dict], values: list, kind: str) -
 
 
 def term_weights(docs: DataFrame, key: str, terms: Column, vocab: list[dict]) -> DataFrame:
-    """Unit-length TF-IDF weights in long form: ``key, term, weight``."""
+    """Unit-length TF-IDF weights in long form: ``key, term, weight`` (no rows for an empty vocabulary)."""
+    if not vocab:
+        return docs.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).filter(F.lit(False))
     names = _per_term(docs.sparkSession, vocab, [0] * len(vocab), "int")
     found = _entries(weight_vectors(docs, key, terms, vocab), key)
     return found.join(F.broadcast(names), "idx").select(key, "term", "weight")   # one row per vocabulary term
@@ -117,6 +122,8 @@ def keywords(docs: DataFrame, key: str, text: str, top_n: int = 50, stop_words:
     from pyspark.ml.stat import Summarizer
     terms = word_terms(F.col(text), english_stop_words() if stop_words is None else stop_words)
     vocab = fixed_vocabulary(vocabulary(docs, terms, max_features, max_df))
+    if not vocab:
+        return docs.select(F.lit("").alias("term"), F.lit(0.0).alias("score")).filter(F.lit(False))
     mean = weight_vectors(docs, key, terms, vocab).agg(Summarizer.mean(F.col("weights")).alias("m"))
     scores = mean.select(F.posexplode(vector_to_array("m")).alias("idx", "score"))
     names = _per_term(docs.sparkSession, vocab, [0] * len(vocab), "int")
@@ -167,8 +174,10 @@ def text_signatures(docs: DataFrame, key: str, text: str, analyzer: str = "word"
     else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
     vocab = fixed_vocabulary(vocabulary(docs, terms, limit, share))
-    found = project(weight_vectors(docs, key, terms, vocab), key, vocab, dim)
     zeros = F.array_repeat(F.lit(0.0), dim)
+    if not vocab:
+        return docs.select(key, zeros.alias("signature"))
+    found = project(weight_vectors(docs, key, terms, vocab), key, vocab, dim)
     return docs.select(key).join(found, key, "left").select(key, F.coalesce("signature", zeros).alias("signature"))
 
 

@@ -28,8 +28,8 @@ def consensus_stream(judgments: DataFrame, time: str = "ts", delay: str = "10 mi
     """Consensus per trace, judge and window as votes come in.
 
     In append mode a window is final once the watermark passes it; votes that
-    come later are dropped by Spark and counted in the query progress
-    (``numRowsDroppedByWatermark``). In update or complete mode every new vote
+    come later are dropped by Spark; the query progress counts them, combined
+    per task and window, in ``numRowsDroppedByWatermark``. In update or complete mode every new vote
     refreshes its row. The share counts the votes present.
     """
     verdict, stage = F.col("judgment"), F.col("stage")
