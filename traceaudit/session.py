@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +19,23 @@ RUNTIME_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started from; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_traceaudit_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="traceaudit-py-")) / "traceaudit_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(here.rglob("*.py")):
+            archive.write(source, source.relative_to(here.parent))
+    context.addPyFile(str(target))
+    context._traceaudit_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings above to an existing session."""
+    """Apply the runtime settings above to an existing session and make the package known to its workers."""
+    ship_package(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
