@@ -185,11 +185,11 @@ TEXTS = ["plan the steps and check the plan", "write code to check steps", "ét
 
 def test_term_weights_and_signatures(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
-    terms = signatures.word_terms(F.col("t"), ["the", "and"])
-    vocab = signatures.fixed_vocabulary(signatures.vocabulary(docs, terms, 12, 0.6))
+    lists = signatures.word_lists(docs, "id", "t", ["the", "and"])
+    vocab = signatures.fixed_vocabulary(signatures.vocabulary(lists, 12, 0.6))
     names, x = tfidf(TEXTS, {"the", "and"}, 12, 0.6)
     assert [v["term"] for v in vocab] == names
-    got = {(r.id, r.term): r.weight for r in signatures.term_weights(docs, "id", terms, vocab).collect()}
+    got = {(r.id, r.term): r.weight for r in signatures.term_weights(lists, "id", vocab).collect()}
     want = {(i, names[j]): x[i, j] for i in range(len(TEXTS)) for j in range(len(names)) if x[i, j]}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     sig = {r.id: r.signature for r in signatures.text_signatures(docs, "id", "t", dim=8, max_features=12, max_df=0.6, stop_words=["the", "and"]).collect()}
@@ -203,11 +203,11 @@ def test_term_weights_and_signatures(spark):
 
 def test_no_vocabulary_gives_zeros(spark):
     docs = spark.createDataFrame([(1, "same words"), (2, "same words")], "id int, t string")
-    terms = signatures.word_terms(F.col("t"))
-    assert not signatures.fixed_vocabulary(signatures.vocabulary(docs, terms, 10, 0.5))
+    lists = signatures.word_lists(docs, "id", "t")
+    assert not signatures.fixed_vocabulary(signatures.vocabulary(lists, 10, 0.5))
     assert [r.signature for r in signatures.text_signatures(docs, "id", "t", dim=4, max_df=0.5).collect()] == [[0.0] * 4] * 2
     assert signatures.keywords(docs, "id", "t", max_df=0.5).count() == 0
-    assert signatures.term_weights(docs, "id", terms, []).count() == 0
+    assert signatures.term_weights(lists, "id", []).count() == 0
 
 
 def test_character_signatures(spark):

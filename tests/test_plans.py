@@ -45,9 +45,9 @@ def test_no_window_over_a_whole_key_or_table(spark):
 
 def test_term_weights_do_not_shuffle_terms(spark):
     docs = A.table(spark, FOLDER, "documents").select("doc_id", "text")
-    terms = signatures.word_terms(F.col("text"))
-    vocab = signatures.fixed_vocabulary(signatures.vocabulary(docs, terms, 50))
-    assert "Exchange hashpartitioning" not in plan(signatures.term_weights(docs, "doc_id", terms, vocab))
+    lists = signatures.word_lists(docs, "doc_id", "text")
+    vocab = signatures.fixed_vocabulary(signatures.vocabulary(lists, 50))
+    assert "Exchange hashpartitioning" not in plan(signatures.term_weights(lists, "doc_id", vocab))
 
 
 @pytest.mark.parametrize("name", ["consensus_cross_judge", "pairwise_kappa", "pending_judgments", "assign_controls", "confusion_matrix",

@@ -24,18 +24,25 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def word_terms(text: Column, stop_words: Sequence[str] = (), bigrams: bool = True) -> Column:
-    """Lower-case words of three or more Latin letters, and pairs of neighbours after stop-word removal."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-z]{3,}\b"), F.lit(0))
-    if stop_words:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        words = F.filter(words, lambda w: ~F.array_contains(stops, w))
-    if not bigrams:
-        return words
-    size = F.size(words)
-    pairs = F.when(size > 1, F.zip_with(F.slice(words, 1, size - 1), F.slice(words, 2, size - 1),
-                                        lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+def word_lists(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Terms per document, ``key, terms``: lower-case words of three or more Latin letters, and pairs of
+    neighbours after stop-word removal.
+
+    Spark ML's tokenizer, stop-word remover (a hash set) and n-gram maker work
+    row by row in the JVM. Without ``stop_words`` its English list is used.
+    """
+    from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
+    words = RegexTokenizer(inputCol="__text", outputCol="__all", pattern=r"(?U)\b[a-z]{3,}\b", gaps=False)
+    drop = StopWordsRemover(inputCol="__all", outputCol="__words", caseSensitive=True,
+                            stopWords=english_stop_words() if stop_words is None else list(stop_words))
+    pairs = NGram(n=2, inputCol="__words", outputCol="__pairs")
+    rows = words.transform(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text")))
+    return pairs.transform(drop.transform(rows)).select(key, F.concat("__words", "__pairs").alias("terms"))
+
+
+def char_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Terms per document, ``key, terms``: its character runs."""
+    return docs.select(key, char_terms(F.col(text)).alias("terms"))
 
 
 def char_terms(text: Column, shortest: int = 2, longest: int = 4) -> Column:
@@ -51,20 +58,20 @@ def char_terms(text: Column, shortest: int = 2, longest: int = 4) -> Column:
     return let(F.regexp_replace(F.lower(text), r"(?U)\s\s+", " "), all_runs)
 
 
-def vocabulary(docs: DataFrame, terms: Column, max_features: int = 500, max_df: float = 0.9) -> DataFrame:
-    """The most frequent terms with corpus count and document count.
+def vocabulary(lists: DataFrame, max_features: int = 500, max_df: float = 0.9) -> DataFrame:
+    """The most frequent terms of ``terms`` lists with corpus count and document count.
 
     Terms in more than ``max_df`` of the documents are left out. Each document
     contributes its terms once for the corpus count and once, without repeats,
     for the document count; both are counted in one combinable aggregate, so no
     (document, term) shuffle is needed here.
     """
-    t = docs.select(terms.alias("__t"))
-    both = F.concat(
-        F.transform("__t", lambda x: F.struct(x.alias("term"), F.lit(1).cast("bigint").alias("tf"), F.lit(0).cast("bigint").alias("df"))),
-        F.transform(F.array_distinct("__t"), lambda x: F.struct(x.alias("term"), F.lit(0).cast("bigint").alias("tf"), F.lit(1).cast("bigint").alias("df"))))
+    t = lists.select("terms", F.array_distinct("terms").alias("once"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = F.concat(F.transform("terms", lambda x: F.struct(x.alias("term"), one.alias("tf"), none.alias("df"))),
+                    F.transform("once", lambda x: F.struct(x.alias("term"), none.alias("tf"), one.alias("df"))))
     counts = t.select(F.inline(both)).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = lists.agg(F.count(F.lit(1)).alias("n")).scalar()
     kept = counts.withColumn("docs", n).filter(F.col("df") <= F.lit(max_df) * F.col("docs"))
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)
 
@@ -74,7 +81,7 @@ def fixed_vocabulary(vocab: DataFrame) -> list[dict]:
     return [r.asDict() for r in vocab.collect()]
 
 
-def weight_vectors(docs: DataFrame, key: str, terms: Column, vocab: list[dict]) -> DataFrame:
+def weight_vectors(lists: DataFrame, key: str, vocab: list[dict]) -> DataFrame:
     """Unit-length TF-IDF vector per document: ``key, weights`` (sparse ML vector in vocabulary order).
 
     idf is ln((1+N)/(1+df)) + 1. Counting, weighting and scaling happen row by
@@ -86,11 +93,10 @@ def weight_vectors(docs: DataFrame, key: str, terms: Column, vocab: list[dict])
     from pyspark.ml.linalg import Vectors
 
     idf = Vectors.dense([log((1.0 + v["docs"]) / (1.0 + v["df"])) + 1.0 for v in vocab])
-    counter = CountVectorizerModel.from_vocabulary([v["term"] for v in vocab], inputCol="__terms", outputCol="__tf")
+    counter = CountVectorizerModel.from_vocabulary([v["term"] for v in vocab], inputCol="terms", outputCol="__tf")
     weigh = ElementwiseProduct(scalingVec=idf, inputCol="__tf", outputCol="__raw")
     scale = Normalizer(inputCol="__raw", outputCol="weights", p=2.0)
-    rows = docs.select(key, terms.alias("__terms"))
-    return scale.transform(weigh.transform(counter.transform(rows))).select(key, "weights")
+    return scale.transform(weigh.transform(counter.transform(lists))).select(key, "weights")
 
 
 def _entries(vectors: DataFrame, key: str) -> DataFrame:
@@ -106,12 +112,12 @@ def _per_term(spark: SparkSession, vocab: list[dict], values: list, kind: str) -
     return spark.createDataFrame(rows, f"idx int, term string, value {kind}")
 
 
-def term_weights(docs: DataFrame, key: str, terms: Column, vocab: list[dict]) -> DataFrame:
+def term_weights(lists: DataFrame, key: str, vocab: list[dict]) -> DataFrame:
     """Unit-length TF-IDF weights in long form: ``key, term, weight`` (no rows for an empty vocabulary)."""
     if not vocab:
-        return docs.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).filter(F.lit(False))
-    names = _per_term(docs.sparkSession, vocab, [0] * len(vocab), "int")
-    found = _entries(weight_vectors(docs, key, terms, vocab), key)
+        return lists.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).filter(F.lit(False))
+    names = _per_term(lists.sparkSession, vocab, [0] * len(vocab), "int")
+    found = _entries(weight_vectors(lists, key, vocab), key)
     return found.join(F.broadcast(names), "idx").select(key, "term", "weight")   # one row per vocabulary term
 
 
@@ -120,11 +126,11 @@ def keywords(docs: DataFrame, key: str, text: str, top_n: int = 50, stop_words:
     """The terms with the largest mean weight over all documents (a top-n report)."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
-    terms = word_terms(F.col(text), english_stop_words() if stop_words is None else stop_words)
-    vocab = fixed_vocabulary(vocabulary(docs, terms, max_features, max_df))
+    lists = word_lists(docs, key, text, stop_words)
+    vocab = fixed_vocabulary(vocabulary(lists, max_features, max_df))
     if not vocab:
         return docs.select(F.lit("").alias("term"), F.lit(0.0).alias("score")).filter(F.lit(False))
-    mean = weight_vectors(docs, key, terms, vocab).agg(Summarizer.mean(F.col("weights")).alias("m"))
+    mean = weight_vectors(lists, key, vocab).agg(Summarizer.mean(F.col("weights")).alias("m"))
     scores = mean.select(F.posexplode(vector_to_array("m")).alias("idx", "score"))
     names = _per_term(docs.sparkSession, vocab, [0] * len(vocab), "int")
     return scores.join(F.broadcast(names), "idx").select("term", "score").orderBy(
@@ -167,17 +173,18 @@ def text_signatures(docs: DataFrame, key: str, text: str, analyzer: str = "word"
     vocabulary term get zeros.
     """
     if analyzer == "word":
-        terms = word_terms(F.col(text), english_stop_words() if stop_words is None else stop_words)
+        lists = word_lists(docs, key, text, stop_words)
         limit, share = max_features or 500, 0.9 if max_df is None else max_df
     elif analyzer == "char":
-        terms, limit, share = char_terms(F.col(text)), max_features or 200, 1.0 if max_df is None else max_df
+        lists = char_lists(docs, key, text)
+        limit, share = max_features or 200, 1.0 if max_df is None else max_df
     else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
-    vocab = fixed_vocabulary(vocabulary(docs, terms, limit, share))
+    vocab = fixed_vocabulary(vocabulary(lists, limit, share))
     zeros = F.array_repeat(F.lit(0.0), dim)
     if not vocab:
         return docs.select(key, zeros.alias("signature"))
-    found = project(weight_vectors(docs, key, terms, vocab), key, vocab, dim)
+    found = project(weight_vectors(lists, key, vocab), key, vocab, dim)
     return docs.select(key).join(found, key, "left").select(key, F.coalesce("signature", zeros).alias("signature"))
 
 

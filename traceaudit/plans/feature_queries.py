@@ -132,9 +132,9 @@ wt AS (SELECT h, term, w / sqrt(sum(w * w) OVER (PARTITION BY h)) AS weight FROM
 def tfidf_terms(spark, folder):
     """Unit-length term weights of the distinct documents over 500 words and word pairs."""
     docs = signatures.distinct_prompts(A.table(spark, folder, "documents", spread=True), "text")
-    terms = signatures.word_terms(F.col("prompt"), STOP_WORDS)
-    vocab = signatures.fixed_vocabulary(signatures.vocabulary(docs, terms))
-    out = signatures.term_weights(docs, "prompt_hash", terms, vocab)
+    lists = signatures.word_lists(docs, "prompt_hash", "prompt", STOP_WORDS)
+    vocab = signatures.fixed_vocabulary(signatures.vocabulary(lists))
+    out = signatures.term_weights(lists, "prompt_hash", vocab)
     return out.withColumn("weight", rounded(F.col("weight")))
 
 

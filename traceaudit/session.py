@@ -49,6 +49,8 @@ def local_session(cores: str = "8", app: str = "traceaudit", **conf: str) -> Spa
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Call sites of single expressions cost the driver a round trip each (a static setting).
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
