@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traceaudit.operators.lookup import lookup_join, salted_join
+from traceaudit.operators.lookup import hot_cold_join, lookup_join
 from traceaudit.operators.ranking import globally_ranked, pick_first, pick_last, ranked, running_max, running_sum
 
 
@@ -59,19 +59,22 @@ def test_pick(skewed):
         assert last[k] == (max((v, i) for i, v in items)[1], len(items))
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
 @pytest.mark.parametrize("limit", [10, 0])
-def test_lookup_join_same_result_beyond_the_limit(spark, skewed, limit):
+def test_lookup_join_same_result_beyond_the_limit(spark, skewed, limit, how):
     rows, df = skewed
     dim = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, d int")
-    out = lookup_join(df, dim, ["k"], broadcast_rows=limit, salts=4)
-    got = sorted((r.i, r.d) for r in out.collect())
-    assert got == sorted((i, {"hot": 1, "a": 2}.get(k)) for k, i, _ in rows)
-    plan = out._jdf.queryExecution().toString()
-    assert ("BroadcastHashJoin" in plan) == (limit == 10) or "__salt" in plan
+    out = lookup_join(df, dim, ["k"], how, broadcast_rows=limit)
+    got = sorted(((r.i, r.d) for r in out.collect()))
+    known = {"hot": 1, "a": 2}
+    assert got == sorted((i, known.get(k)) for k, i, _ in rows if how == "left" or k in known)
 
 
-def test_salted_join_spreads_the_hot_key(skewed, spark):
+def test_only_cold_keys_are_shuffled(skewed, spark):
     _, df = skewed
-    dim = spark.createDataFrame([("hot", 1)], "k string, d int")
-    spread = salted_join(df, dim, ["k"], "inner", 8)
-    assert spread.count() == df.filter("k = 'hot'").count()
+    dim = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, d int")
+    hot_rows = df.groupBy("k").count().filter(F.col("count") * 3 > df.count()).collect()
+    assert [r.k for r in hot_rows] == ["hot"]
+    out = hot_cold_join(df, dim, ["k"], "inner", share=3)
+    assert out.count() == df.filter("k in ('hot', 'a')").count()
+    assert "LeftAnti" in out._jdf.queryExecution().toString()

@@ -1,4 +1,4 @@
-"""Joins of a large table with a dimension whose keys are hot on the large side."""
+"""Joins of a large table with a keyed table whose keys are hot on the large side."""
 
 from __future__ import annotations
 
@@ -8,25 +8,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+HOT_SHARE = 1_000
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
-                broadcast_rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
-    """Join ``fact`` with ``dim`` on the columns ``on``.
+                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Left or inner join of ``fact`` with ``dim`` on the columns ``on``.
 
-    The dimension is counted (at most ``broadcast_rows + 1`` rows are read). If
-    it fits it is broadcast; otherwise the fact rows of one key are spread over
-    ``salts`` tasks and the dimension is repeated once per salt.
+    The keyed table is counted (at most ``broadcast_rows + 1`` rows are read). If
+    it fits it is broadcast; otherwise :func:`hot_cold_join` takes over.
     """
     on = list(on)
     if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return fact.join(F.broadcast(dim), on, how)
-    return salted_join(fact, dim, on, how, salts)
+    return hot_cold_join(fact, dim, on, how)
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
-                salts: int = 64) -> DataFrame:
-    """Equi-join in which one hot key of ``fact`` is shared by ``salts`` tasks."""
-    spread = fact.withColumn("__salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "__salt"], how).drop("__salt")
+def hot_cold_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
+                  share: int = HOT_SHARE) -> DataFrame:
+    """Join in which no key with more than one ``share``-th of the fact rows is shuffled.
+
+    There are fewer than ``share`` such keys, found by one combinable count; their
+    rows of ``dim`` (one per key) are broadcast. All other keys take an ordinary
+    shuffle join.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("left and inner joins only")
+    on = list(on)
+    counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    total = fact.agg(F.count(F.lit(1))).scalar()
+    hot = F.broadcast(counts.filter(F.col("__n") * share > total).select(*on))      # fewer than `share` rows
+    hot_dim = F.broadcast(dim.join(hot, on, "left_semi"))                          # one row per hot key
+    few = fact.join(hot, on, "left_semi").join(hot_dim, on, how)
+    return few.unionByName(fact.join(hot, on, "left_anti").join(dim, on, how))
