@@ -169,7 +169,7 @@ def label_report(spark, folder):
 
 @query("attach_labels", """
 WITH g AS (SELECT conv_id, 'trace' || conv_id || '.log' AS log_filename, count(*) AS nodes FROM conversations GROUP BY conv_id)
-SELECT g.log_filename, nodes, dense_rank() OVER (ORDER BY quality) - 1 AS y_agent, dense_rank() OVER (ORDER BY toxic) - 1 AS y_violation
+SELECT g.log_filename, nodes, CAST(quality AS BIGINT) AS y_agent, CAST(toxic AS BIGINT) AS y_violation
 FROM g JOIN labels l ON g.conv_id = l.doc_id""")
 def attach_labels(spark, folder):
     """Graphs with the codes of their labels; unlabelled graphs are left out."""
