@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fenced blocks, with an optional json tag and with any tag.
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
 CODE_FENCE = r"(?s)```(?:\w+)?\s*\n?(.*?)\n?```"
 

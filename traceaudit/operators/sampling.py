@@ -92,6 +92,11 @@ def combine_strata(parts: Sequence[tuple[str, DataFrame]], id_column: str) -> Da
     return union.groupBy(id_column).agg(F.min_by("part", "priority").alias("part"))
 
 
+def rows_of_split(rows: DataFrame, splits: DataFrame, key: str = "log_filename", split: str = "test") -> DataFrame:
+    """Rows whose key belongs to one part of a stored split."""
+    return rows.join(splits.filter(F.col("split") == split).select(key), key, "left_semi")
+
+
 def stratum_label(category: Column, violation: Column, accepted: Column, reason: Column) -> Column:
     """Name of the stratum a sampled trace came from."""
     return (F.when(category == "control", "clean_control")

@@ -42,6 +42,12 @@ def split_small_cells(spark, folder):
     return out.select("doc_id", "lang", "quality", "split")
 
 
+@query("rows_of_split", _split_sql(0).replace("SELECT doc_id, lang, quality, CASE", "SELECT doc_id FROM (SELECT doc_id, CASE") + ") WHERE split = 'test'")
+def rows_of_split(spark, folder):
+    """Documents of the test part of the split."""
+    return sampling.rows_of_split(A.table(spark, folder, "documents").select("doc_id"), stratified_split(spark, folder), "doc_id")
+
+
 @query("balanced_sample", f"""WITH {LABELLED},
 p AS (SELECT *, CASE toxic WHEN 1 THEN 'hard' ELSE 'soft' END AS lbl, row_number() OVER (PARTITION BY lang, toxic ORDER BY k, doc_id) AS rk FROM lab),
 c AS (SELECT lang, count(*) FILTER (lbl = 'hard') AS h, count(*) FILTER (lbl = 'soft') AS s FROM p GROUP BY lang),
