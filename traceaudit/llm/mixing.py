@@ -17,7 +17,7 @@ from traceaudit.llm.common import WORD, hash31, stored
 from traceaudit.operators.ranking import globally_ranked
 
 # Rows of a source that one sort range holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 KEY_SPAN = 1 << 31
 
 
