@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +12,17 @@ from traceaudit.session import durable_dir, tune
 # White space of the word rules: blank and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Texts may be long: few rows, and few bytes, go to a Python worker at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 _STORED: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, with the session tuned for the operators."""
     tune(spark)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -74,7 +77,3 @@ def hash31(*columns: Column) -> Column:
     """
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])
     return F.shiftright(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), 1)
-
-
-def lists(values: Iterator, kind: pa.DataType) -> pa.Array:
-    return pa.array(list(values), kind)

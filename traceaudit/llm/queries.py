@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import mixing, secrets, sharding
+from traceaudit.llm import mixing, quality, secrets, sharding, toxicity
 from traceaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,17 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_kd_shards)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by rules learned from the labelled ones."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a chain learned from the labelled ones, with the offending spans."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_kd_shards, op4_quality_rules, op5_toxic_spans)}
 
 
 def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
