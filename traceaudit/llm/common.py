@@ -65,11 +65,6 @@ def document_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return [docs[doc_id].alias("_id"), F.xxhash64(docs[text].isNull(), docs[text]).alias("_h")]
 
 
-def same_document(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of the two key columns of :func:`document_key`."""
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_h"] == right["_h"])
-
-
 def hash31(*columns: Column) -> Column:
     """A number from 0 to 2**31-1 that depends on nothing but the values; the same in DuckDB.
 

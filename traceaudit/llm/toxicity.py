@@ -92,7 +92,7 @@ def _tokens_of(text: str) -> list[list[str]]:
 
 
 def score_texts(texts: list[str | None], chain: Chain, known: dict[str, float]) -> list[tuple[float, float, list[tuple[int, int]]]]:
-    """(largest marginal's log odds, log of 1 + the sum of marginals, offending spans) of each text.
+    """(largest marginal's log odds, log of 1 + the sum of marginals above 0.1, offending spans) of each text.
 
     ``known`` keeps the emissions of words between calls. Spans are code point
     offsets of neighbouring tokens whose marginal is one half or more.
@@ -119,7 +119,7 @@ def score_texts(texts: list[str | None], chain: Chain, known: dict[str, float])
             m = marginals(block, moves)
             most = m.max(axis=0)
             np.maximum.at(top, own[group], np.log(np.clip(most, 1e-13, 1)) - np.log(np.clip(1 - most, 1e-13, 1)))
-            np.add.at(total, own[group], m.sum(axis=0))
+            np.add.at(total, own[group], np.where(m > 0.1, m, 0.0).sum(axis=0))
             flagged.update(own[group[most >= 0.5]].tolist())
     spans = {i: _spans(texts[i], chain, moves) for i in flagged}
     return [(float(top[i]), float(np.log1p(total[i])), spans.get(i, [])) for i in range(len(texts))]
