@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import decontaminate, mixing, quality, secrets, sharding, toxicity
+from traceaudit.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, toxicity
 from traceaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +45,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(docs, table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_kd_shards, op4_quality_rules, op5_toxic_spans, op6_decontamination)}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on five-word shingles."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_kd_shards, op4_quality_rules, op5_toxic_spans, op6_decontamination, op8_jaccard_join)}
 
 
 def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
