@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import decontaminate, jaccard, mixing, quality, secrets, sharding, toxicity
+from traceaudit.llm import decontaminate, jaccard, language, lm, mixing, quality, secrets, sharding, topk, toxicity
 from traceaudit.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,24 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_kd_shards, op4_quality_rules, op5_toxic_spans, op6_decontamination, op8_jaccard_join)}
+def op7_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents."""
+    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_secret_scan, op2_source_mix, op3_kd_shards, op4_quality_rules, op5_toxic_spans, op6_decontamination, op7_inner_products,
+    op8_jaccard_join, op9_language, op10_pitman_yor)}
 
 
 def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
@@ -118,4 +135,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": _OP6_SQL, "op1_secret_scan": _op1_sql(), "op2_source_mix": _OP2_SQL}
+_OP7_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op7_inner_products": _OP7_SQL, "op6_decontamination": _OP6_SQL, "op1_secret_scan": _op1_sql(), "op2_source_mix": _OP2_SQL}

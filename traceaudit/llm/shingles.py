@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS = 5
 # Bytes of text that are hashed at a time.
@@ -40,8 +41,8 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 _AHEAD, _BEHIND = _powers(CHUNK, _STEP), _powers(CHUNK, _STEP_BACK)
 
 
-def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the bytes, and the place where it starts; texts end at ``ends``."""
+def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word of the bytes, and the places of its first and last byte; texts end at ``ends``."""
     global _AHEAD, _BEHIND
     if len(data) > len(_AHEAD):                           # a single long text
         _AHEAD, _BEHIND = _powers(len(data), _STEP), _powers(len(data), _STEP_BACK)
@@ -59,20 +60,16 @@ def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops)
     run = np.cumsum(_BYTE[data] * _AHEAD[:len(data)], dtype=np.uint64)
     before = np.where(start > 0, run[start - 1], np.uint64(0))
-    return mix((run[stop] - before) * _BEHIND[start] + (stop - start + 1).astype(np.uint64)), start
+    return mix((run[stop] - before) * _BEHIND[start] + (stop - start + 1).astype(np.uint64)), start, stop
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The distinct shingle hashes of each text, in ascending order; none for null or a text without words.
-
-    Words are cut at white space, A-Z lower-cased. A text of fewer than five
-    words has one shingle of all of them.
-    """
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, text after the last, bytes, ends of the texts in them) of about ``CHUNK`` bytes at a time; null is empty."""
     if len(texts) == 0:
         return
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
-        texts = pa.compute.fill_null(texts, b"")
+        texts = pc.fill_null(texts, b"")
     _, offsets, values = texts.buffers()
     offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     values = np.frombuffer(values, dtype=np.uint8) if values is not None else np.zeros(0, dtype=np.uint8)
@@ -80,26 +77,39 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
         lo, hi = offsets[at], offsets[to]
-        ends = offsets[at + 1:to + 1] - lo
-        if hi == lo:
-            for _ in range(at, to):
-                yield np.zeros(0, dtype=np.uint64)
-            at = to
-            continue
-        words, start = _word_hashes(values[lo:hi], ends)
-        cut = np.concatenate(([0], np.searchsorted(start, ends)))
+        yield at, to, values[lo:hi], offsets[at + 1:to + 1] - lo
+        at = to
+
+
+def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash of each word, number of its last two bytes, first word of each text and the end) of some texts at a time."""
+    for at, to, data, ends in _pieces(texts):
+        if len(data):
+            words, start, stop = _word_hashes(data, ends)
+            low = _LOWER[data].astype(np.int64)
+            ending = low[stop] * 31 + low[np.maximum(stop - 1, start)] * 7
+            yield words, ending, np.concatenate(([0], np.searchsorted(start, ends)))
+        else:
+            yield np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(to - at + 1, dtype=np.int64)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, in ascending order; none for null or a text without words.
+
+    Words are cut at white space, A-Z lower-cased. A text of fewer than five
+    words has one shingle of all of them.
+    """
+    for words, _, cut in word_hashes(texts):
         total = len(words) - WORDS + 1
         every = np.zeros(max(total, 0), dtype=np.uint64)
         for k in range(WORDS):
             if total > 0:
                 every += words[k:k + total] * _PLACE[k]
         every = mix(every)
-        for i in range(to - at):
-            a, b = cut[i], cut[i + 1]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a >= WORDS:
                 yield np.unique(every[a:b - WORDS + 1])
             elif b > a:
                 yield mix(np.array([(words[a:b] * _PLACE[:b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], dtype=np.uint64))
             else:
                 yield np.zeros(0, dtype=np.uint64)
-        at = to
