@@ -131,7 +131,7 @@ def training_words(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = L
     The choice is made on ids and languages alone, before any text is read.
     """
     known = docs.filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "doc_id"))
     chosen = (known.select("doc_id", F.col("lang").alias("_lang"), hash31(F.lit("language"), F.col("doc_id")).alias("_order"))
               .withColumn("_rank", rank).filter(F.col("_rank") <= rows).select(F.col("doc_id").alias("_id"), "_lang").distinct())
     # Bounded by rows times languages, 30 bytes each.

@@ -109,19 +109,19 @@ def mixed_documents(docs: DataFrame, size: Column, **options) -> DataFrame:
 
     A row comes once per epoch that takes it; the document at the budget's edge
     comes if at least half of it fits. Rows without words are not part of any
-    budget and stay once, so that the stage does not drop them unasked.
+    budget and stay once. Since a source is read in the order of its keys, its
+    last row in that order tells for every other row whether it is taken, so the
+    texts meet one row per source and are not shuffled by document.
     """
     names = docs.columns
     plan = mix(docs, size, **options)
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    wanted = (plan.select(F.col("doc_id").alias("_id"), F.col("_key"), F.col("size").alias("_size"),
-                          F.when(F.col("size") > 0, times).otherwise(1).alias("_times"), F.col("source").alias("_src"))
-              .groupBy("_id", "_src", "_key", "_size").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_n")))
-    keyed = docs.select("*", drawn_key(options.get("seed", "mix")).alias("_key"))
-    at = (keyed["doc_id"].eqNullSafe(wanted["_id"]) & keyed["source"].eqNullSafe(wanted["_src"])
-          & (keyed["_key"] == wanted["_key"]) & (size == wanted["_size"]))
-    out = keyed.join(wanted, at)
-    # Rows that agree in the key are one document repeated; its copies are shared out over them.
-    each = F.ceil(F.col("_times") / F.col("_n")).cast("int")
-    return (out.withColumn("_copy", F.explode(F.when(each > 0, F.sequence(F.lit(1), each)).otherwise(F.array().cast("array<int>"))))
-               .select(*names))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    extra = F.col("taken") - epochs * F.col("size")
+    place = F.struct(F.col("_key"), F.col("doc_id"), F.col("size"))
+    last = plan.groupBy("source").agg(F.max(epochs).alias("_epochs"), F.max(F.when((F.col("size") > 0) & (2 * extra >= F.col("size")), place)).alias("_last"))
+    last = stored(last.withColumnRenamed("source", "_source"))
+    keyed = docs.select("*", drawn_key(options.get("seed", "mix")).alias("_key"), size.cast("long").alias("_size"))
+    met = keyed.join(last, keyed["source"].eqNullSafe(last["_source"]))
+    taken = F.coalesce((F.struct(F.col("_key"), F.col("doc_id"), F.col("_size")) <= F.col("_last")).cast("int"), F.lit(0))
+    times = F.when(F.col("_size") > 0, F.col("_epochs") + taken).otherwise(1).cast("int")
+    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*names)
