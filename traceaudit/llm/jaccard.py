@@ -102,7 +102,7 @@ def frequency_sketch(surveyed: DataFrame) -> np.ndarray:
 def prefix_grams(docs: DataFrame, sketch: np.ndarray, hot_rows: int = HOT_ROWS) -> DataFrame:
     """gram, salt, node, n, pos: the first grams of each set in the order (bucket frequency, hash), one row each.
 
-    A set of n grams needs the first n // 4 + 1 of them. ``salt`` deals the rows of a hot gram to several groups.
+    A set of n grams needs the first n // 4 + 1 of them. ``salt`` deals the rows of a hot gram to several groups; it is -1 for others.
     """
     sketch = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -118,7 +118,8 @@ def prefix_grams(docs: DataFrame, sketch: np.ndarray, hot_rows: int = HOT_ROWS)
                     nodes.append(node)
                     sizes.append(len(grams))
                     lists.append(grams[first].astype(np.int64))
-                    salts.append((node % (1 + often[first] // hot_rows)).astype(np.int32))
+                    often = often[first]
+                    salts.append(np.where(often > hot_rows, node % (1 + often // hot_rows), -1).astype(np.int32))
             if nodes:
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -132,12 +133,12 @@ def prefix_grams(docs: DataFrame, sketch: np.ndarray, hot_rows: int = HOT_ROWS)
 
 
 def shared_grams(prefixes: DataFrame) -> DataFrame:
-    """Prefix grams that at least two classes have, each class once: gram, node, n, pos."""
+    """Prefix grams that at least two classes have, each class once: gram, node, n, pos. Hot grams are kept as they are."""
     group = Window.partitionBy("gram", "salt")
     marked = (prefixes.withColumn("_before", F.lag("node").over(group.orderBy("node")))
               .withColumn("_low", F.min("node").over(group)).withColumn("_high", F.max("node").over(group)))
     fresh = F.col("_before").isNull() | (F.col("_before") != F.col("node"))
-    return stored(marked.filter(fresh & ((F.col("_low") != F.col("_high")) | (F.col("salt") > 0))).select("gram", "node", "n", "pos"))
+    return stored(marked.filter(fresh & ((F.col("_low") != F.col("_high")) | (F.col("salt") >= 0))).select("gram", "node", "n", "pos"))
 
 
 def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
