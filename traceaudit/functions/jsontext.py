@@ -109,6 +109,45 @@ def outputs_text(*path: str):
     return pick
 
 
+def _at(raw: str, path: tuple[str, ...]):
+    """Value under a path of keys of a JSON text; None if there is none."""
+    try:
+        value = json.loads(raw)
+        for key in path:
+            value = value.get(key)
+        return value
+    except (ValueError, AttributeError):
+        return None
+
+
+def json_field(*path: str):
+    """Arrow UDF: the value under a path of keys as JSON text; null when it is not there or counts as false."""
+
+    @F.pandas_udf(T.StringType())
+    def pick(raw: pd.Series) -> pd.Series:
+        values = raw.map(lambda t: _at(t, path), na_action="ignore")
+        return values.map(lambda v: json.dumps(v, ensure_ascii=False) if v else None, na_action="ignore")
+
+    return pick
+
+
+def printed_field(name: str):
+    """Arrow UDF: a field of a JSON object the way Python prints it; null when there is no such field."""
+
+    def one(raw: str) -> str | None:
+        try:
+            value = json.loads(raw)
+        except ValueError:
+            return None
+        return str(value[name]) if isinstance(value, dict) and name in value else None
+
+    @F.pandas_udf(T.StringType())
+    def pick(raw: pd.Series) -> pd.Series:
+        return raw.map(one, na_action="ignore")
+
+    return pick
+
+
 def _dump(text: str, ascii_only: bool) -> str | None:
     try:
         return json.dumps(json.loads(text), ensure_ascii=ascii_only)

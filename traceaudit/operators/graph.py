@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traceaudit.operators.lanes import lane_aggregate, scaled, unit_length
-from traceaudit.operators.ranking import ranked
+from traceaudit.operators.ranking import ranked, same_keys
+from traceaudit.session import cut_lineage
 
 SPAN_BUCKET = 65_536
 
@@ -31,7 +32,10 @@ def build_trace_graph(spans: DataFrame, min_nodes: int = 2, where: Column | None
     bucket = F.floor(F.col("span_idx") / SPAN_BUCKET)
     placed = ranked(rows, ["trace_id"], ["span_idx"], bucket, "__pos", "__nodes")
     placed = placed.filter(F.col("__nodes") >= min_nodes).withColumn("node_idx", F.col("__pos") - 1)
-    parents = placed.select("trace_id", F.col("task_id").alias("parent_id"), F.col("node_idx").alias("parent_idx"))
+    placed = cut_lineage(placed)                      # numbering reads the spans once; the parent lookup reads the result
+    # Tasks are known by their id: of repeated ids the last one counts.
+    parents = placed.filter(F.col("task_id").isNotNull()).groupBy("trace_id", F.col("task_id").alias("parent_id")).agg(
+        F.max("node_idx").alias("parent_idx"))
     start, end = parse_time(F.col("start_time")), parse_time(F.col("end_time"))
     kept = [c for c in spans.columns if c not in ("start_time", "end_time")]
     linked = placed.join(parents, ["trace_id", "parent_id"], "left")
@@ -120,19 +124,28 @@ def batch_ids(traces: DataFrame, size: int = 100) -> DataFrame:
 def feature_summary(nodes: DataFrame, by: Sequence[str] = ("trace_id",), features: str = "features") -> DataFrame:
     """Node counts by type and min, max, mean and sample deviation over all feature numbers.
 
-    Each row is reduced to five numbers first, so nothing is exploded.
+    Each row is reduced to count, mean and squared distance from its own mean;
+    these are merged by the distances of the row means from the mean of all,
+    relative to one value of the group, so large numbers with a small spread
+    keep it.
     """
     x = F.col(features)
     total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v)
-    rows = nodes.select(*by, "node_type", F.size(x).alias("__n"), total.alias("__s"), square.alias("__q"),
+    rows = nodes.select(*by, "node_type", x.alias("__x"), F.size(x).alias("__n"), (total / F.size(x)).alias("__m"),
                         F.array_min(x).alias("__lo"), F.array_max(x).alias("__hi"))
-    out = rows.groupBy(*by).agg(
+    rows = rows.withColumn("__q", F.aggregate("__x", F.lit(0.0), lambda a, v: a + (v - F.col("__m")) * (v - F.col("__m")))).drop("__x")
+    at = rows.groupBy(*by).agg(F.min("__m").alias("__at"))
+    named = at.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__at")
+    rows = rows.join(named, same_keys(rows, named, [(c, f"__k{i}") for i, c in enumerate(by)]), "inner")
+    shift = F.col("__m") - F.col("__at")
+    rows = rows.withColumns({"__s": F.col("__n") * shift, "__q": F.col("__q") + F.col("__n") * shift * shift})
+    out = rows.groupBy(*by).agg(F.first("__at").alias("__at"),
         F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("node_type") == "llm_call").alias("llm_nodes"),
         F.count_if(F.col("node_type") == "non_llm").alias("other_nodes"),
         F.sum("__n").alias("__n"), F.sum("__s").alias("__s"), F.sum("__q").alias("__q"),
         F.min("__lo").cast("double").alias("feature_min"), F.max("__hi").cast("double").alias("feature_max"))
     mean = F.col("__s") / F.col("__n")
     spread = F.try_divide(F.col("__q") - F.col("__n") * mean * mean, (F.col("__n") - 1).cast("double"))
+    mean_of_all = F.col("__at") + mean
     return out.select(*by, "nodes", "llm_nodes", "other_nodes", "feature_min", "feature_max",
-                      mean.alias("feature_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("feature_std"))
+                      mean_of_all.alias("feature_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("feature_std"))

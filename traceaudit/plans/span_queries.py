@@ -142,10 +142,10 @@ block AS (SELECT log_file, span_idx, '[LLM CALL — ' || agent || '.x]'
     || CASE WHEN system_prompt <> '' THEN chr(10) || 'SYSTEM:' || chr(10) || system_prompt ELSE '' END
     || chr(10) || 'USER:' || chr(10) || user_input || chr(10) || 'RESPONSE:' || chr(10) || response AS b FROM sp WHERE NOT is_task),
 t AS (SELECT log_file, chr(10) || chr(10) || repeat('─', 60) || string_agg(b, chr(10) || chr(10) ORDER BY span_idx) AS txt FROM block GROUP BY log_file)
-SELECT log_file, length(txt) > 4000 AS was_cut, md5(CASE WHEN length(txt) > 4000 THEN substr(txt, 1, 4000) || chr(10) || chr(10) || '[... TRACE TRUNCATED ...]' ELSE txt END) AS text_md5 FROM t""")
+SELECT log_file, length(txt) > 60000 AS was_cut, md5(CASE WHEN length(txt) > 60000 THEN substr(txt, 1, 60000) || chr(10) || chr(10) || '[... TRACE TRUNCATED ...]' ELSE txt END) AS text_md5 FROM t""")
 def render_trace(spark, folder):
-    """Readable text per trace with a limit of 4000 characters, as md5."""
-    out = selection.render_trace(A.span_rows(spark, folder), 4000)
+    """Readable text per trace, as md5."""
+    out = selection.render_trace(A.span_rows(spark, folder))
     return out.select("log_file", F.col("trace_text").endswith("[... TRACE TRUNCATED ...]").alias("was_cut"),
                       F.md5("trace_text").alias("text_md5"))
 
@@ -223,30 +223,58 @@ def check_cells(spark, folder):
 
 
 def write_logs(spark, folder, target: str) -> None:
-    """Write the benchmark calls as span logs, with some text that is not JSON between them."""
+    """Write the benchmark calls as span logs, one file per user in span order, with some text that is not JSON between them."""
     c = A.chat_rows(spark, folder)
     body = F.to_json(F.struct(
         F.concat(F.lit("span"), (F.col("span_idx") % 4).cast("string")).alias("name"),
         F.struct(F.col("agent").alias("traceloop.association.properties.langgraph_node"),
                  F.col("user_input").alias("gen_ai.prompt.1.content"), F.col("response").alias("gen_ai.completion.0.content")).alias("attributes")))
     noise = F.when(F.col("span_idx") % 5 == 0, F.concat(body, F.lit("\nnot json {\n"))).otherwise(F.concat(body, F.lit("\n")))
-    c.select(noise.alias("value")).write.text(target)
+    rows = c.select(F.concat(F.lit("run"), F.col("trace_id").cast("string")).alias("log"), "span_idx", noise.alias("value"))
+    rows.repartition("log").sortWithinPartitions("log", "span_idx").select("log", "value").write.partitionBy("log").text(target)
 
 
-@query("ingest_spans_scan", """SELECT 'span' || CAST(event_id % 4 AS VARCHAR) AS name, count(*) AS spans FROM events GROUP BY 1""")
+def span_digests(spans):
+    """Log, number, name and an md5 of the attributes of each span."""
+    at = [F.coalesce(selection.attr(k), F.lit("")) for k in (selection.USER, selection.COMPLETION, selection.NODE)]
+    return spans.select(F.regexp_extract("log_path", "log=([^/]+)", 1).alias("log"), F.col("span_idx").cast("bigint"), "name",
+                        F.md5(F.concat_ws("|", *at)).alias("text_md5"))
+
+
+def _digest_sql(where: str) -> str:
+    return f"""WITH {CALLS}
+SELECT 'run' || trace_id AS log, row_number() OVER (PARTITION BY trace_id ORDER BY span_idx) - 1 AS span_idx, 'span' || CAST(span_idx % 4 AS VARCHAR) AS name,
+  md5(user_input || '|' || response || '|' || agent) AS text_md5 FROM call WHERE {where}"""
+
+
+@query("ingest_spans_scan", _digest_sql("true"))
 def ingest_spans_scan(spark, folder):
     """Logs written from the calls, read back with recovery of objects between other text."""
     target = f"{durable_dir(spark)}/logs-{uuid.uuid4().hex}"
     write_logs(spark, folder, target)
-    return S.ingest_spans(spark, target, "scan", "*.txt").groupBy("name").agg(F.count(F.lit(1)).alias("spans"))
+    return span_digests(S.ingest_spans(spark, target, "scan", "*.txt"))
 
 
-@query("ingest_spans", """SELECT 'span' || CAST(event_id % 4 AS VARCHAR) AS name, count(*) AS spans,
-  CAST(sum(event_id % 2) AS BIGINT) AS odd FROM events WHERE event_id % 5 <> 0 GROUP BY 1""")
+@query("ingest_spans", _digest_sql("span_idx % 5 <> 0"))
 def ingest_spans(spark, folder):
     """Logs written from the calls, read back with strict pieces only."""
     target = f"{durable_dir(spark)}/logs-{uuid.uuid4().hex}"
     write_logs(spark, folder, target)
-    out = S.ingest_spans(spark, target, "split", "*.txt")
-    odd = F.col("name").isin("span1", "span3").cast("bigint")
-    return out.groupBy("name").agg(F.count(F.lit(1)).alias("spans"), F.sum(odd).alias("odd"))
+    return span_digests(S.ingest_spans(spark, target, "split", "*.txt"))
+
+
+@query("ingest_trace_graph", f"""WITH {NODES}
+SELECT 'conv' || trace_id AS trace_id, count(*) AS nodes, count(*) FILTER (node_type = 'llm_call') AS llm_nodes,
+  count(*) FILTER (node_type = 'non_llm') AS other_nodes, count(parent_idx) AS edges, count(*) FILTER (parent_idx IS NULL) AS roots,
+  CASE count(*) FILTER (parent_idx IS NULL) WHEN 0 THEN 'no_root' WHEN 1 THEN NULL ELSE 'multiple_roots' END AS warning
+FROM node GROUP BY trace_id""")
+def ingest_trace_graph(spark, folder):
+    """From log files to graphs: conversations written as logs, read, rebuilt as trees and counted."""
+    target = f"{durable_dir(spark)}/logs-{uuid.uuid4().hex}"
+    c = A.conversation_spans(spark, folder)
+    body = F.to_json(F.struct("name", "task_id", "parent_id", "tags", "start_time", "end_time", F.struct(F.col("text").alias("text")).alias("input")))
+    rows = c.select(F.concat(F.lit("conv"), F.col("trace_id").cast("string")).alias("log"), "span_idx", body.alias("value"))
+    rows.repartition("log").sortWithinPartitions("log", "span_idx").select("log", "value").write.partitionBy("log").text(target)
+    spans = S.ingest_spans(spark, target, "split", "*.txt")
+    tasks = S.task_rows(spans, F.regexp_extract("log_path", "log=([^/]+)", 1))
+    return graph.graph_quality(graph.build_trace_graph(tasks))

@@ -17,6 +17,10 @@ from traceaudit.operators.judging import HARD, LEDGER_KEY, SOFT, NONE, POLICY_AB
 from traceaudit.sources.spans import spans_of_pieces
 
 
+# Everything available now, then stop; pass ``{"processingTime": "1 minute"}`` as ``trigger`` to keep a stream running.
+ONCE = {"availableNow": True}
+
+
 def ledger_stream(judgments: DataFrame, time: str = "ts", delay: str = "10 minutes",
                   key: Sequence[str] = LEDGER_KEY) -> DataFrame:
     """Judgments without repeats of a ledger key inside the watermark."""
@@ -50,7 +54,7 @@ def consensus_stream(judgments: DataFrame, time: str = "ts", delay: str = "10 mi
 
 
 def ingest_spans_stream(spark: SparkSession, path: str, target: str, checkpoint: str, glob: str = "*.log",
-                        files_per_batch: int = 1000) -> StreamingQuery:
+                        files_per_batch: int = 1000, trigger: dict | None = None) -> StreamingQuery:
     """Read new logs as they appear and append their spans to a parquet table.
 
     Every micro-batch takes whole files, so span numbers are complete when a
@@ -67,26 +71,33 @@ def ingest_spans_stream(spark: SparkSession, path: str, target: str, checkpoint:
         spans_of_pieces(pieces).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or ONCE)).start())
 
 
-def append_stream(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def append_stream(df: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append a stream to a parquet table with everything available now."""
     return (df.writeStream.format("parquet").outputMode("append").option("path", target)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start())
 
 
-def upsert_stream(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def upsert_stream(df: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write each batch of an update stream to its own folder; the newest row of a key is in the highest batch."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or ONCE)).start())
 
 
 def newest(rows: DataFrame, keys: Sequence[str], batch: str = "batch") -> DataFrame:
     """Latest version of every key written by :func:`upsert_stream`."""
     values = [c for c in rows.columns if c not in {*keys, batch}]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(batch)).alias("__row")).select(*keys, "__row.*")
+
+
+def compact(spark: SparkSession, target: str, into: str, keys: Sequence[str], batch: str = "batch") -> None:
+    """Rewrite the batches of :func:`upsert_stream` as one, the newest row of each key, in a new folder."""
+    rows = spark.read.parquet(target)
+    last = rows.agg(F.max(batch)).first()[0]
+    newest(rows, keys, batch).write.mode("overwrite").parquet(f"{into}/{batch}={last}")
