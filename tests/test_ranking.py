@@ -64,7 +64,7 @@ def test_pick(skewed):
 def test_lookup_join_same_result_beyond_the_limit(spark, skewed, limit, how):
     rows, df = skewed
     dim = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, d int")
-    out = lookup_join(df, dim, ["k"], how, broadcast_rows=limit)
+    out = lookup_join(df, dim, ["k"], how, broadcast_bytes=limit)
     got = sorted(((r.i, r.d) for r in out.collect()))
     known = {"hot": 1, "a": 2}
     assert got == sorted((i, known.get(k)) for k, i, _ in rows if how == "left" or k in known)

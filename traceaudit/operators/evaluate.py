@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.operators.labels import MAX_CLASSES, label_codes
+from traceaudit.operators.labels import label_codes
 from traceaudit.operators.ranking import ranked, running_max
+from traceaudit.session import cut_lineage
 
 # The violation ids and agent names a prediction may use.
 VIOLATIONS = ("V1", "V2", "V3a", "V3b", "V4", "V5", "V6", "V7", "V8", "V9", "V10", "V11")
@@ -21,6 +22,20 @@ def known_or_null(value: Column, allowed: Sequence[str]) -> Column:
     return F.when(F.trim(value).isin(*allowed), F.trim(value))
 
 
+def read_predictions(replies: DataFrame, raw: str = "raw", violations: Sequence[str] = VIOLATIONS,
+                     agents: Sequence[str] = AGENTS) -> DataFrame:
+    """Predicted violation and agent of raw replies, as ``pred_violation`` and ``pred_agent``.
+
+    A reply that is not a JSON object, or names what is not allowed, gives nulls.
+    """
+    value = F.try_parse_json(F.col(raw))
+
+    def field(name: str, allowed: Sequence[str]) -> Column:
+        return known_or_null(F.try_variant_get(value, f"$.{name}", "string"), allowed)
+
+    return replies.withColumns({"pred_violation": field("violation_type", violations), "pred_agent": field("sub_agent", agents)})
+
+
 def call_cost(prompt_tokens: Column, completion_tokens: Column, prompt_rate: float = 2.0,
               completion_rate: float = 8.0) -> Column:
     """Cost of a call in USD; rates are USD per million tokens."""
@@ -36,11 +51,12 @@ def _cells(rows: DataFrame, true: str, pred: str, by: Sequence[str]) -> DataFram
 def confusion_matrix(rows: DataFrame, true: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """All pairs of classes with their count (zeros included) and share of the true class."""
     cells = _cells(rows, true, pred, [])
-    classes = cells.select(F.explode(F.array("y_true", "y_pred")).alias("c")).groupBy().agg(
-        F.array_sort(F.collect_set("c")).alias("all"))
-    checked = F.when(F.size("all") > MAX_CLASSES, F.raise_error(F.lit("too many classes"))).otherwise(F.col("all"))
-    grid = classes.select(F.explode(checked).alias("y_true"), "all").select(
-        "y_true", F.explode("all").alias("y_pred"))
+    classes = cut_lineage(label_codes(cells.select(F.explode(F.array("y_true", "y_pred")).alias("c")), "c"))
+    size = classes.count()
+    # Each class meets each code: the zero cells of the matrix are asked for.
+    codes = F.explode(F.slice(F.sequence(F.lit(0).cast("bigint"), F.lit(size).cast("bigint")), 1, size))
+    grid = classes.select(F.col("c").alias("y_true"), codes.alias("code")).join(
+        classes.withColumnRenamed("c", "y_pred"), "code").drop("code")
     full = grid.join(cells, ["y_true", "y_pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     support = cells.groupBy("y_true").agg(F.sum("n").alias("__support"))
     return full.join(support, "y_true", "left").select(

@@ -11,18 +11,11 @@ from traceaudit.functions.text import basename, normal_trace_name, trace_number
 from traceaudit.operators.lookup import lookup_join
 from traceaudit.operators.ranking import globally_ranked
 
-MAX_CLASSES = 100_000
-
 
 def label_codes(rows: DataFrame, column: str, code: str = "code") -> DataFrame:
-    """Label values numbered from 0 in sorted order.
-
-    Classes are few; more than ``MAX_CLASSES`` raise an error in the query.
-    """
-    values = rows.select(column).distinct().groupBy().agg(F.array_sort(F.collect_set(column)).alias("__all"))
-    checked = F.when(F.size("__all") > MAX_CLASSES, F.raise_error(F.lit(f"too many classes in {column}"))).otherwise(
-        F.col("__all"))
-    return values.select(F.posexplode(checked).alias(code, column)).select(column, F.col(code).cast("bigint"))
+    """Label values numbered from 0 in sorted order, by a range sort of the distinct ones."""
+    values = rows.filter(F.col(column).isNotNull()).select(column).distinct()
+    return globally_ranked(values, [column], "__pos").select(column, (F.col("__pos") - 1).cast("bigint").alias(code))
 
 
 def violation_column(rows: DataFrame) -> str:

@@ -22,10 +22,14 @@ def lane_aggregate(df: DataFrame, keys: Sequence[str], vector: str, width: int,
                    name: str = "features") -> DataFrame:
     """Group by ``keys`` and aggregate the vector element by element.
 
-    ``number`` builds the aggregate of one element from its Column.
+    ``number`` builds the aggregate of one element from its Column. A vector of
+    another length is an error; null vectors are left out.
     """
+    sized = F.when(F.size(vector) == width, F.col(vector)).when(F.col(vector).isNotNull(), F.raise_error(
+        F.concat(F.lit(f"a vector of {width} numbers is wanted, not of "), F.size(vector).cast("string"))).cast("array<double>"))
+    df = df.withColumn(vector, sized)
     if width <= LANE:
-        cells = [number(F.element_at(F.col(vector), i + 1)).alias(f"__v{i}") for i in range(width)]
+        cells = [number(F.get(F.col(vector), F.lit(i))).alias(f"__v{i}") for i in range(width)]
         out = df.groupBy(*keys).agg(*cells, *extra)
         packed = F.array(*[F.col(f"__v{i}") for i in range(width)]).alias(name)
         return out.select(*[c for c in out.columns if not c.startswith("__v")], packed)

@@ -144,7 +144,8 @@ def assign_controls(clean: DataFrame, targets: Sequence[tuple[str, str]], id_col
     original prompt of the target agent and restricts the targets to its agents.
     """
     if prompts is not None:
-        agents = {r[0] for r in prompts.select("agent").distinct().limit(10_000).collect()}
+        asked = sorted({agent for _, agent in targets})
+        agents = {r[0] for r in prompts.filter(F.col("agent").isin(asked)).select("agent").distinct().collect()}
         targets = [t for t in targets if t[1] in agents]
     rid = F.col(id_column).cast("string")
     options = F.array(*[F.struct(shuffle_key(seed, rid, F.lit(v), F.lit(a)).alias("k"),
@@ -163,5 +164,10 @@ def assign_controls(clean: DataFrame, targets: Sequence[tuple[str, str]], id_col
     if prompts is None:
         return out
     from traceaudit.operators.lookup import lookup_join
-    return lookup_join(out, prompts.select(F.col("agent").alias("target_agent"),
-                                           F.col("prompt").alias("original_system_prompt")), ["target_agent"])
+    joined = lookup_join(out, prompts.select(F.col("agent").alias("target_agent"),
+                                             F.col("prompt").alias("original_system_prompt")), ["target_agent"])
+    if "modified_system_prompt" not in joined.columns:
+        return joined
+    # A control without a prompt of its own shows the original one.
+    own = F.nullif("modified_system_prompt", F.lit(""))
+    return joined.withColumn("modified_system_prompt", F.coalesce(own, "original_system_prompt"))

@@ -174,7 +174,7 @@ def conversation_calls(spark, folder):
     text = F.col("text")
     is_call = F.col("role") == "assistant"
     return nodes.select(
-        *nodes.columns, F.lit("Answer the user.").alias("system_prompt"), F.when(is_call, F.substring(text, 1, 200)).alias("user_input"),
+        *nodes.columns, F.lit("Answer the user.").alias("system_prompt"), F.when(is_call, text).alias("user_input"),
         F.when(is_call, text).alias("output_text"), F.when(is_call, text).alias("output_any"),
         F.length("text").cast("bigint").alias("num_input_tokens"), F.col("span_idx").alias("num_output_tokens"))
 

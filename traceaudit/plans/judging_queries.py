@@ -197,7 +197,7 @@ cum AS (SELECT *, sum(c) OVER w - c AS lo, sum(c) OVER w AS hi, sum(c) OVER (PAR
         FROM cells WINDOW w AS (PARTITION BY judge_a, judge_b, stage ORDER BY a, b)),
 sizes AS (SELECT DISTINCT judge_a, judge_b, stage, n FROM cum),
 draws AS (SELECT s.*, r.r AS rep, CAST(('0x' || substr(md5('42:' || r.r || ':' || d.d), 1, 8)) AS BIGINT) % s.n AS i
-          FROM sizes s, range(100) r(r), LATERAL (SELECT unnest(range(CAST(s.n AS BIGINT))) AS d) d),
+          FROM sizes s, range(1000) r(r), LATERAL (SELECT unnest(range(CAST(s.n AS BIGINT))) AS d) d),
 boot AS (SELECT d.judge_a, d.judge_b, d.stage, d.rep, c.a, c.b FROM draws d JOIN cum c
          ON d.judge_a = c.judge_a AND d.judge_b = c.judge_b AND d.stage = c.stage AND d.i >= c.lo AND d.i < c.hi),
 {_kappa('boot', 'judge_a, judge_b, stage, rep', 'reps')},
@@ -207,8 +207,8 @@ SELECT k.judge_a, k.judge_b, k.stage, round({KAPPA}, 6) + 0.0 AS kappa, round(lo
 FROM kappas k JOIN (SELECT judge_a, judge_b, stage, quantile_cont(k, 0.025) AS lo, quantile_cont(k, 0.975) AS hi, count(k) AS used
                     FROM repk GROUP BY ALL) USING (judge_a, judge_b, stage)""")
 def kappa_bootstrap_ci(spark, folder):
-    """Kappa with bootstrap interval, 100 replicates of md5-drawn indexes."""
-    out = agreement.kappa_bootstrap(_consensus(spark, folder), A.JUDGES, replicates=100, method="index")
+    """Kappa with bootstrap interval, 1000 replicates of md5-drawn indexes."""
+    out = agreement.kappa_bootstrap(_consensus(spark, folder), A.JUDGES, replicates=1000, method="index")
     return out.withColumns({c: rounded(F.col(c)) for c in ("kappa", "ci_low", "ci_high")})
 
 

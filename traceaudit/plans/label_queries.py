@@ -331,11 +331,23 @@ def known_or_null(spark, folder):
 def fit_linear(spark, folder):
     """Softmax regression on the vectors, with the predicted label of each row."""
     v = A.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").cast("string").alias("label"))
-    return evaluate.fit_baseline(v, "label", "linear", max_iter=20)[2].select("vec_id", "label", "prediction_label")
+    return evaluate.fit_baseline(v, "label", "linear")[2].select("vec_id", "label", "prediction_label")
 
 
 @query("fit_mlp")
 def fit_mlp(spark, folder):
     """Multilayer perceptron on the vectors, with the predicted label of each row."""
     v = A.table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.col("label").cast("string").alias("label"))
-    return evaluate.fit_baseline(v, "label", "mlp", width=64, hidden=(32,), max_iter=20)[2].select("vec_id", "label", "prediction_label")
+    return evaluate.fit_baseline(v, "label", "mlp", width=64, hidden=(32,))[2].select("vec_id", "label", "prediction_label")
+
+
+@query("prediction_replies", """SELECT event_id,
+  CASE WHEN event_id % 5 IN (0, 1) THEN CASE event_id % 3 WHEN 0 THEN 'V6' WHEN 1 THEN 'V3a' END END AS pred_violation,
+  CASE WHEN event_id % 5 IN (0, 1) THEN 'CodeAgent' END AS pred_agent FROM events""")
+def prediction_replies(spark, folder):
+    """Violation and agent read from raw prediction replies; broken replies and unknown names are null."""
+    e, n = A.table(spark, folder, "events"), F.col("event_id")
+    kind = F.when(n % 3 == 0, "V6").when(n % 3 == 1, " V3a ").otherwise("V99")
+    body = F.concat(F.lit('{"violation_type": "'), kind, F.lit('", "sub_agent": "CodeAgent"}'))
+    raw = F.when(n % 5 <= 1, body).when(n % 5 == 2, F.concat(F.lit("I think "), body)).when(n % 5 == 3, '["V6"]').otherwise("")
+    return evaluate.read_predictions(e.select("event_id", raw.alias("raw"))).drop("raw")

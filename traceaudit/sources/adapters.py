@@ -18,10 +18,10 @@ def table(spark: SparkSession, folder: str, name: str, spread: bool = False) ->
     return spread_small(rows) if spread else rows
 
 
-def spread_small(rows: DataFrame) -> DataFrame:
-    """Repartition an input that arrives in fewer splits than there are cores; larger inputs stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+def spread_small(rows: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Share a table of at most ``most_bytes`` on disk among the cores; larger ones have splits enough and are never shuffled for it."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= most_bytes else rows
 
 
 def _by_type(column: Column, mapping: dict[str, str]) -> Column:

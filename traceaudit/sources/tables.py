@@ -103,10 +103,10 @@ def load_stored_labels(spark: SparkSession, folder: str) -> DataFrame:
              .text(folder, wholetext=True)
              .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at")))
     run = F.regexp_replace(basename(F.col("path")), r"_validation\.json$", "")
-    parsed = files.select(run.alias("run_id"), "at", "path", F.from_json("value", STORED_LABEL, {"mode": "PERMISSIVE"}).alias("l"))
     from traceaudit.functions.jsontext import is_object, strict_parse
-    good = files.select("path", is_object(strict_parse(F.col("value"))).alias("ok"))
-    newest = parsed.join(good.filter("ok"), "path", "left_semi").groupBy("run_id").agg(
+    parsed = files.filter(is_object(strict_parse(F.col("value")))).select(
+        run.alias("run_id"), "at", "path", F.from_json("value", STORED_LABEL, {"mode": "PERMISSIVE"}).alias("l"))
+    newest = parsed.groupBy("run_id").agg(
         F.max_by("l", F.struct("at", "path")).alias("l"))
     return newest.select(
         "run_id", F.coalesce("l.precheck_passed", F.lit(False)).alias("precheck_passed"),
@@ -123,14 +123,22 @@ def read_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Result rows with their order in the file (``row_no`` grows with the row)."""
-    rows = spark.read.option("header", "true").csv(path)
+    """Result rows with their place among all rows, ``row_no``, counted from 0.
+
+    Files follow each other by their path, blocks of a file by their start, rows
+    of a block as they stand.
+    """
+    rows = spark.read.option("header", "true").csv(path).select(
+        "*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__seq"))
     if "score" not in rows.columns:
         raise ValueError("results need a score column")
     out = rows.withColumn("score", F.col("score").try_cast("bigint"))
     if "exception" in rows.columns:
         out = out.withColumn("exception", F.col("exception").try_cast("boolean"))
-    return out.withColumn("row_no", F.monotonically_increasing_id())
+    from traceaudit.operators.ranking import globally_ranked
+    placed = globally_ranked(out, ["__path", "__block", "__seq"], "__row")
+    return placed.withColumn("row_no", F.col("__row") - 1).drop("__path", "__block", "__seq", "__row")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
