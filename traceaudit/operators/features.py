@@ -176,13 +176,13 @@ def assemble_features(nodes: DataFrame, signatures: DataFrame | None = None, nam
     ``prompt_hash, signature`` and ``names`` is ``name_suffix, name_embedding``;
     misses and absent tables give zeros. Other nodes have zeros in the call part.
     """
-    rows = common_features(nodes)
-    rows = clean_texts(output_features(rows))
-    rows = embed_texts(embed_texts(rows, "task_text", "task_emb", dim, encoder), "answer_text", "output_emb", dim, encoder)
+    # Lookups come first: where they split off hot keys, the texts are cleaned and encoded once, after the parts meet.
     zeros = F.array_repeat(F.lit(0.0), SIGNATURE_DIM)
-    rows = rows.withColumn("prompt_hash", prompt_hash(F.col("system_prompt")))
+    rows = common_features(nodes).withColumn("prompt_hash", prompt_hash(F.col("system_prompt")))
     rows = lookup_join(rows, signatures, ["prompt_hash"]) if signatures is not None else rows.withColumn("signature", zeros)
     rows = lookup_join(rows, names, ["name_suffix"]) if names is not None else rows.withColumn("name_embedding", zeros)
+    rows = clean_texts(output_features(rows))
+    rows = embed_texts(embed_texts(rows, "task_text", "task_emb", dim, encoder), "answer_text", "output_emb", dim, encoder)
 
     def numbers(columns) -> Column:
         return F.array(*[F.col(c).cast("double") for c in columns])

@@ -95,8 +95,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, width: int, kind: str = "gcn",
         proper = edges.filter(F.col("src_idx") != F.col("dst_idx"))
         degree = proper.groupBy("trace_id", F.col("dst_idx").alias("node_idx")).agg(
             F.count(F.lit(1)).alias("__in"))
-        known = vectors.join(degree, ["trace_id", "node_idx"], "left").withColumn(
-            "__deg", F.coalesce("__in", F.lit(0)) + F.lit(1.0))
+        known = cut_lineage(vectors.join(degree, ["trace_id", "node_idx"], "left").withColumn(
+            "__deg", F.coalesce("__in", F.lit(0)) + F.lit(1.0)))
         sent = proper.join(known.select("trace_id", F.col("node_idx").alias("src_idx"),
                                         scaled("__x", 1 / F.sqrt("__deg")).alias("__x")),
                            ["trace_id", "src_idx"]).select("trace_id", F.col("dst_idx").alias("node_idx"), "__x")

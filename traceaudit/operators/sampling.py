@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.functions.text import hex_bucket, shuffle_key
 from traceaudit.operators.ranking import ranked
+from traceaudit.session import cut_lineage
 
 
 def stratified_split(rows: DataFrame, strata: Sequence[str], id_column: str, seed: int = 42,
@@ -65,7 +66,7 @@ def rejected_sample(rows: DataFrame, reason: str, id_column: str, total: int = 3
     """
     keyed = (rows.withColumn(reason, F.coalesce(F.col(reason), F.lit("unknown")))
                  .withColumn("__key", shuffle_key(seed, F.col(id_column))))
-    best = _top(keyed, [reason], "__key", id_column, total)
+    best = cut_lineage(_top(keyed, [reason], "__key", id_column, total))        # at most `total` rows for each reason
     per_reason = best.groupBy(reason).agg(F.count(F.lit(1)).alias("__n"))
     share = per_reason.agg(F.greatest(F.lit(1).cast("bigint"), F.expr(f"{total} div count(1)"))).scalar()
     spare = per_reason.agg(F.lit(total) - F.sum(F.least(F.col("__n"), share))).scalar()
@@ -114,7 +115,7 @@ def stratified_sample(traces: DataFrame, labels: DataFrame, controls: DataFrame
     target_agent, designed_hard_soft``; ``labels`` holds ``run_id, accepted,
     precheck_passed, final_label, rejection_reason``.
     """
-    full = traces.join(labels, "run_id", "left")
+    full = cut_lineage(traces.join(labels, "run_id", "left"))       # the parts and the final rows read the joined table
     accepted = full.filter("accepted")
     if active:
         accepted = accepted.filter(F.col("violation_id").isin(*active))
@@ -125,9 +126,10 @@ def stratified_sample(traces: DataFrame, labels: DataFrame, controls: DataFrame
         for name in ("accepted", "final_label", "rejection_reason"):
             if name not in controls.columns:
                 controls = controls.withColumn(name, F.lit(None).cast(labels.schema[name].dataType))
+        controls = cut_lineage(controls)
         parts.append(("control", control_sample(controls, "run_id", clean, seed)))
         full = full.unionByName(controls, allowMissingColumns=True)
-    chosen = combine_strata(parts, "run_id")          # bounded by the sample sizes
+    chosen = cut_lineage(combine_strata(parts, "run_id"))          # bounded by the sample sizes
     return full.join(chosen.select("run_id"), "run_id", "left_semi").select(
         "run_id", "task_id", "violation_id", "target_agent", "designed_hard_soft",
         stratum_label(F.col("violation_category"), F.col("violation_id"), F.col("accepted"),

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceaudit.functions.text import let, prompt_hash
-from traceaudit.operators.lanes import lane_aggregate
+from traceaudit.session import cut_lineage
 
 
 def distinct_prompts(rows: DataFrame, text: str) -> DataFrame:
     """Distinct non-empty texts with their hash."""
     used = rows.filter(F.coalesce(F.col(text), F.lit("")) != "").select(
         prompt_hash(F.col(text)).alias("prompt_hash"), F.col(text).alias("prompt"))
-    return used.groupBy("prompt_hash").agg(F.first("prompt").alias("prompt"))
+    # Stored: every pass over the texts (terms, matrix, weights) starts from the distinct ones.
+    return cut_lineage(used.groupBy("prompt_hash").agg(F.first("prompt").alias("prompt")))
 
 
 def english_stop_words() -> list[str]:
@@ -142,11 +144,12 @@ def project(vectors: DataFrame, key: str, vocab: list[dict], dim: int = 32) -> D
 
     Spark's row matrix sums the term-by-term matrix in one pass (vocabulary
     squared, so a few megabytes at most); its eigenvectors are the right singular
-    vectors, and the projection is a join with one row per term and a sum. The
-    entry of largest size in every vector is made positive. Missing dimensions
-    are zero.
+    vectors, and the projection multiplies batches of rows by them where they
+    lie. The entry of largest size in every vector is made positive. Missing
+    dimensions are zero.
     """
     import numpy as np
+    from pyspark.ml.functions import vector_to_array
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
@@ -157,10 +160,14 @@ def project(vectors: DataFrame, key: str, vocab: list[dict], dim: int = 32) -> D
     right = right * np.where(right[np.abs(right).argmax(axis=0), range(right.shape[1])] < 0, -1.0, 1.0)
     padded = np.zeros((len(vocab), dim))
     padded[:, : right.shape[1]] = right
-    basis = _per_term(vectors.sparkSession, vocab, padded.tolist(), "array<double>")
-    sent = _entries(vectors, key).join(F.broadcast(basis), "idx")                 # one row per vocabulary term
-    sent = sent.withColumn("part", F.transform("value", lambda b: b * F.col("weight")))
-    return lane_aggregate(sent, [key], "part", dim, F.sum, name="signature")
+
+    def onto_basis(batches):
+        for batch in batches:
+            rows = np.stack(batch["weights"].to_numpy()) @ padded if len(batch) else np.zeros((0, dim))
+            yield pd.DataFrame({key: batch[key], "signature": list(rows)})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, vector_to_array("weights").alias("weights")).mapInPandas(onto_basis, f"`{key}` {kind}, signature array<double>")
 
 
 def text_signatures(docs: DataFrame, key: str, text: str, analyzer: str = "word", dim: int = 32,
@@ -184,11 +191,10 @@ def text_signatures(docs: DataFrame, key: str, text: str, analyzer: str = "word"
     zeros = F.array_repeat(F.lit(0.0), dim)
     if not vocab:
         return docs.select(key, zeros.alias("signature"))
-    found = project(weight_vectors(lists, key, vocab), key, vocab, dim)
-    return docs.select(key).join(found, key, "left").select(key, F.coalesce("signature", zeros).alias("signature"))
+    return project(weight_vectors(lists, key, vocab), key, vocab, dim)
 
 
 def node_name_signatures(nodes: DataFrame, dim: int = 32) -> DataFrame:
     """Signatures of the distinct node names (without their prefixes): ``name_suffix, name_embedding``."""
-    names = nodes.filter(F.coalesce("name_suffix", F.lit("")) != "").select("name_suffix").distinct()
+    names = cut_lineage(nodes.filter(F.coalesce("name_suffix", F.lit("")) != "").select("name_suffix").distinct())
     return text_signatures(names, "name_suffix", "name_suffix", "char", dim).withColumnRenamed("signature", "name_embedding")

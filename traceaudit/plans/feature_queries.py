@@ -174,7 +174,7 @@ def conversation_calls(spark, folder):
     text = F.col("text")
     is_call = F.col("role") == "assistant"
     return nodes.select(
-        *nodes.columns, F.lit("Answer the user.").alias("system_prompt"), F.when(is_call, text).alias("user_input"),
+        *nodes.columns, F.concat(F.lit("Answer as "), "role", F.lit(", style "), F.repeat(F.lit("x"), (F.col("trace_id") % 7).cast("int"))).alias("system_prompt"), F.when(is_call, text).alias("user_input"),
         F.when(is_call, text).alias("output_text"), F.when(is_call, text).alias("output_any"),
         F.length("text").cast("bigint").alias("num_input_tokens"), F.col("span_idx").alias("num_output_tokens"))
 
@@ -184,21 +184,24 @@ def assemble_features(spark, folder):
     """Whole feature vectors (860 numbers) of the conversation nodes."""
     calls = conversation_calls(spark, folder)
     prompts = signatures.distinct_prompts(calls, "system_prompt")
-    found = prompts.select("prompt_hash", F.array_repeat(F.lit(0.5), 32).alias("signature"))
+    # Numbers that tell the prompts apart: their lengths, counted up.
+    found = prompts.select("prompt_hash", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.length("prompt") + i).cast("double")).alias("signature"))
     return features.assemble_features(calls, found)
 
 
 @query("feature_layout", f"""WITH {NODES},
-f AS (SELECT trace_id, node_idx, coalesce(duration, -1.0) AS duration, node_type, span_idx, length(text) AS chars FROM node)
+f AS (SELECT trace_id, node_idx, coalesce(duration, -1.0) AS duration, node_type, role, span_idx, length(text) AS chars FROM node)
 SELECT trace_id, node_idx, CAST(860 AS BIGINT) AS width, round(duration, 3) + 0.0 AS f820, CASE node_type WHEN 'llm_call' THEN 0.0 ELSE 1.0 END::DOUBLE AS f821,
   2.0::DOUBLE AS f822, CAST(span_idx AS DOUBLE) AS f823,
+  CASE node_type WHEN 'llm_call' THEN 18 + length(role) + trace_id % 7 ELSE 0 END::DOUBLE AS f0,
+  CASE node_type WHEN 'llm_call' THEN 49 + length(role) + trace_id % 7 ELSE 0 END::DOUBLE AS f31,
   CASE node_type WHEN 'llm_call' THEN chars ELSE 0 END::DOUBLE AS f800,
   CASE node_type WHEN 'llm_call' THEN span_idx ELSE 0 END::DOUBLE AS f801 FROM f""")
 def feature_layout(spark, folder):
     """Chosen positions of the assembled vectors: width, common numbers and token counts."""
     out = assemble_features(spark, folder)
     at = {c: F.round(F.element_at("features", int(c[1:]) + 1).cast("double"), 3) + F.lit(0.0)
-          for c in ("f800", "f801", "f820", "f821", "f822", "f823")}
+          for c in ("f0", "f31", "f800", "f801", "f820", "f821", "f822", "f823")}
     return out.select("trace_id", "node_idx", F.size("features").cast("bigint").alias("width"), *[c.alias(n) for n, c in at.items()])
 
 

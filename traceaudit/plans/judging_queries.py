@@ -212,10 +212,13 @@ def kappa_bootstrap_ci(spark, folder):
     return out.withColumns({c: rounded(F.col(c)) for c in ("kappa", "ci_low", "ci_high")})
 
 
-@query("kappa_bootstrap_multinomial")
+@query("kappa_bootstrap_multinomial", f"""WITH {STAGED}, {_kappa('paired', 'judge_a, judge_b, stage')}
+SELECT judge_a, judge_b, stage, round({KAPPA}, 6) + 0.0 AS kappa, n, CASE WHEN {KAPPA} IS NOT NULL THEN true END AS inside FROM kappas""")
 def kappa_bootstrap_multinomial(spark, folder):
-    """Kappa with bootstrap interval, 1000 multinomial replicates."""
-    return agreement.kappa_bootstrap(_consensus(spark, folder), A.JUDGES)
+    """Kappa of 1000 multinomial replicates: the point value, and whether it lies inside the interval they draw."""
+    out = agreement.kappa_bootstrap(_consensus(spark, folder), A.JUDGES)
+    return out.select("judge_a", "judge_b", "stage", rounded(F.col("kappa")).alias("kappa"), "n",
+                      F.col("kappa").between(F.col("ci_low"), F.col("ci_high")).alias("inside"))
 
 
 @query("pending_judgments", """
