@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceaudit.llm.common import stored
+from traceaudit.operators.ranking import globally_ranked
 
 SCALE = 64
 # Rows of a candidate block and of a query block.
-BLOCK = 2_048
-QUERY_BLOCK = 1_024
+BLOCK = 4_096
+QUERY_BLOCK = 2_048
 LEADING = 16
+MOST_PARTS = 2_000
 # Sums of products below this are exact in floating point.
 EXACT = float(2 ** 53)
 
@@ -66,10 +68,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, size: int, order: list, name: str) -> DataFrame:
-    """Rows with the number of their block in ``order``: a sorted, stored layout, cut evenly inside each sort range."""
-    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33)
-    return placed.withColumn(name, F.concat_ws("-", part.cast("string"), F.floor((F.col("_m") - F.shiftleft(part, 33)) / size).cast("string"))).drop("_m")
+    """Rows with the number of their block in ``order``; a range sort over the cluster gives the places."""
+    placed = globally_ranked(rows, order, "_place")
+    return placed.withColumn(name, F.floor((F.col("_place") - 1) / size).cast("string")).drop("_place")
 
 
 def _packed(rows: DataFrame, block: str, width: int, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +93,8 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products in whole numbers."""
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < EXACT:
         return (q @ x.T).astype(np.int64)
-    exact = q.astype(object) @ x.T.astype(object)
+    whole = np.vectorize(int, otypes=[object])
+    exact = whole(q) @ whole(x.T)
     return np.vectorize(lambda s: max(-2**63, min(2**63 - 1, int(s))), otypes=[np.int64])(exact)
 
 
@@ -177,8 +179,10 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20) -> Data
              .withColumn("least", F.coalesce("_level", F.lit(float("-inf")))).drop("_level", "query_id"))
     queries = named(stored(_packed(known, "q_block", width, ("least",))))
     others = packed.filter(F.col("block") != first[0])
-    ids = others.select(F.collect_list("block").alias("_all"))                    # a name for each block
-    pairs = queries.withColumn("_b", F.explode(F.lit(ids.first()[0]).cast("array<string>"))).join(others, F.col("_b") == F.col("block")).drop("_b")
-    spread = pairs.repartition(F.col("q_block"), F.col("block"))
-    return _ranked(seen.unionByName(_search(spread, basis, width, k)), k).select(
+    names = [r["block"] for r in others.select("block").collect()]                # a name for each block
+    # Query blocks travel to the candidate blocks; a fixed number of parts keeps one block to a task where there are few.
+    parts = max(1, min(len(names), MOST_PARTS))
+    asking = queries.withColumn("_b", F.explode(F.lit(names).cast("array<string>"))).repartition(parts, "_b")
+    pairs = asking.join(others.repartition(parts, "block"), F.col("_b") == F.col("block")).drop("_b")
+    return _ranked(seen.unionByName(_search(pairs, basis, width, k)), k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
