@@ -70,6 +70,7 @@ def test_hot_grams_are_dealt_out_without_losing_links(corpus, monkeypatch):
     rows = corpus_rows()
     monkeypatch.setattr(jaccard.prefix_grams, "__defaults__", (3,))
     monkeypatch.setattr(jaccard.verify, "__defaults__", (0,))        # and by the shuffle of texts
+    monkeypatch.setattr(jaccard, "CROWD", 3)
     got = jaccard.jaccard_components(corpus(rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 

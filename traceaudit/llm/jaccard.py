@@ -13,6 +13,7 @@ copies costs a multiple of its size, and no link between components is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,14 @@ from traceaudit.llm.shingles import mix, shingle_sets
 
 # Links need 100 * intersection >= 75 * union, that is 175 * intersection >= 75 * (sum of the sizes).
 NEED, OF = 75, 175
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 BINS = 256
 # Estimated rows of one gram above which its group is dealt to several tasks.
 HOT_ROWS = 100_000
+# Rows of a gram from which its unconnected members first meet some of its largest component, before they meet each other.
+CROWD = 64
+PIVOTS = 8
 # Texts that are looked up by a broadcast list of their hashes; more are joined by shuffle.
 BROADCAST_TEXTS = 1_000_000
 
@@ -56,7 +60,7 @@ def survey(docs: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, _h bigint, node bigint, n int, bins binary, block int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, ids = np.zeros(1 << SKETCH_BITS, dtype=np.int64), None
+        sketch, ids = np.zeros(1 << SKETCH_BITS, dtype=np.int32), None
         for batch in batches:
             nodes, sizes, bins, ids = [], [], [], batch.column("doc_id")
             for grams in shingle_sets(batch.column("text")):
@@ -73,7 +77,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 [ids, batch.column("_h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary()), none,
                  pa.nulls(len(sizes), pa.binary())], names=["doc_id", "_h", "node", "n", "bins", "block", "counts"])
         if ids is not None:
-            parts = [p.astype(np.int64).tobytes() for p in np.split(sketch, SKETCH_BLOCKS)]
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SKETCH_BLOCKS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(SKETCH_BLOCKS, ids.type), pa.nulls(SKETCH_BLOCKS, pa.int64()), pa.nulls(SKETCH_BLOCKS, pa.int64()),
                  pa.nulls(SKETCH_BLOCKS, pa.int32()), pa.nulls(SKETCH_BLOCKS, pa.binary()),
@@ -87,15 +91,17 @@ def frequency_sketch(surveyed: DataFrame) -> np.ndarray:
     """How many documents hold a gram of each bucket: a table of fixed size over the whole corpus."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in table.column("counts").to_pylist())
-        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, dtype=np.int32)
+        for part in table.column("counts"):
+            total = np.maximum(total, total + np.frombuffer(zlib.decompress(part.as_py()), dtype=np.int32))     # a full counter stays full
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     partial = surveyed.filter("block is not null").select("block", "counts")
-    rows = partial.groupBy("block").applyInArrow(add, "block int, counts binary").collect()    # 2 MB in all
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    rows = partial.groupBy("block").applyInArrow(add, "block int, counts binary").collect()    # 16 MB in all
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     width = len(out) // SKETCH_BLOCKS
     for r in rows:
-        out[r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.int64)
+        out[r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int32)
     return out
 
 
@@ -118,7 +124,7 @@ def prefix_grams(docs: DataFrame, sketch: np.ndarray, hot_rows: int = HOT_ROWS)
                     nodes.append(node)
                     sizes.append(len(grams))
                     lists.append(grams[first].astype(np.int64))
-                    often = often[first]
+                    often = often[first].astype(np.int64)
                     salts.append(np.where(often > hot_rows, node % (1 + often // hot_rows), -1).astype(np.int32))
             if nodes:
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
@@ -142,10 +148,12 @@ def shared_grams(prefixes: DataFrame) -> DataFrame:
 
 
 def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
-    """Length filter, and positional filter: no more grams can be shared than stand before and after the common one on either side."""
+    """Length filter, and positional filter: from their first common gram on, both sets hold enough grams for a link.
+
+    Later common grams of a pair may fail the test; the first one never does.
+    """
     length = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * NEED
-    most = F.least(pos1, pos2) + 1 + F.least(n1 - pos1, n2 - pos2) - 1
-    return length & (most * OF >= (n1 + n2) * NEED)
+    return length & (F.least(n1 - pos1, n2 - pos2) * OF >= (n1 + n2) * NEED)
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
@@ -162,22 +170,36 @@ def _ordered(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def mixed_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the grams whose classes are not all connected, stored: gram, node, n, pos, comp, main (the largest component), rows."""
+    comp = roots.withColumnRenamed("node", "_node")
+    named = stored(shared.select("gram", "node", "n", "pos").join(comp, F.col("node") == F.col("_node"), "left")
+                   .select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("comp")))
+    # Counts per gram and component are combinable.
+    per = named.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("_c"))
+    top = per.groupBy("gram").agg(F.max(F.struct("_c", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k"), F.sum("_c").alias("rows")).filter("_k > 1")
+    top = stored(top.select(F.col("gram").alias("_gram"), F.col("_top.comp").alias("main"), "rows"))
+    return stored(named.join(top, F.col("gram") == F.col("_gram")).drop("_gram"))
+
+
+def pivot_pairs(mixed: DataFrame) -> DataFrame:
+    """In crowded groups, distinct pairs of each member outside the largest component with some of that component, drawn by hash."""
+    crowd = mixed.filter(F.col("rows") >= CROWD)
+    draw = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "pos")).alias(f"_p{k}") for k in range(PIVOTS)]
+    pivots = stored(crowd.filter("comp = main").groupBy("gram").agg(*draw).select(F.col("gram").alias("_gram"), *[f"_p{k}" for k in range(PIVOTS)]))
+    met = crowd.filter("comp <> main").join(pivots, F.col("gram") == F.col("_gram"))
+    each = met.select("node", "n", "pos", F.explode(F.array(*[f"_p{k}" for k in range(PIVOTS)])).alias("_p"))
+    return _ordered(each.filter(_may_link(F.col("n"), F.col("pos"), F.col("_p.n"), F.col("_p.pos"))), F.col("node"), F.col("_p.node"))
+
+
+def open_pairs(mixed: DataFrame) -> DataFrame:
     """Distinct pairs of classes that share a prefix gram, may link, and are not connected yet.
 
     In each group the members outside its largest component meet all others.
     """
-    comp = roots.withColumnRenamed("node", "_node")
-    named = stored(shared.join(comp, F.col("node") == F.col("_node"), "left")
-                   .select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("comp")))
-    # Per group and component counts are combinable; the largest component of a group is the largest count.
-    per = named.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("_c"))
-    top = per.groupBy("gram").agg(F.max(F.struct("_c", "comp")).alias("_top"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
-    top = stored(top.select(F.col("gram").alias("_gram"), F.col("_top.comp").alias("_main")))
-    mixed = stored(named.join(top, F.col("gram") == F.col("_gram")).select("gram", "node", "n", "pos", "comp", "_main"))
-    left = mixed.filter(F.col("comp") != F.col("_main")).select(*[F.col(c).alias(f"l_{c}") for c in ("gram", "node", "n", "pos", "comp")])
+    left = mixed.filter("comp <> main").select(*[F.col(c).alias(f"l_{c}") for c in ("gram", "node", "n", "pos", "comp")])
     met = left.join(mixed, (F.col("l_gram") == F.col("gram")) & (F.col("l_comp") != F.col("comp"))
-                    & ((F.col("comp") == F.col("_main")) | (F.col("l_node") < F.col("node")))
+                    & ((F.col("comp") == F.col("main")) | (F.col("l_node") < F.col("node")))
                     & _may_link(F.col("l_n"), F.col("l_pos"), F.col("n"), F.col("pos")))
     return _ordered(met, F.col("l_node"), F.col("node"))
 
@@ -226,12 +248,15 @@ def linked_classes(docs: DataFrame, surveyed: DataFrame) -> tuple[DataFrame, Dat
     rows = surveyed.filter("node is not null")
     classes = stored(rows.groupBy("node").agg(F.min("_h").alias("_h"), F.max("n").alias("n"), F.max("bins").alias("bins")))
     shared = shared_grams(prefix_grams(docs, frequency_sketch(surveyed)))
-    stars = stored(star_pairs(shared))
-    links = verify(suffix_filter(stars, classes), classes, docs)
-    roots = components(links)
-    rest = open_pairs(shared, roots).join(stars, ["a", "b"], "left_anti")
-    more = verify(suffix_filter(stored(rest), classes), classes, docs)
-    links = links.unionByName(more)
+    tried = stored(star_pairs(shared))
+    links = verify(suffix_filter(tried, classes), classes, docs)
+    mixed = mixed_groups(shared, components(links))
+    for rest in (pivot_pairs, open_pairs):
+        pairs = stored(rest(mixed).join(tried, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(verify(suffix_filter(pairs, classes), classes, docs)))
+        if rest is pivot_pairs:
+            tried = tried.unionByName(pairs)
+            mixed = mixed_groups(mixed, components(links))
     return links, components(links)
 
 
