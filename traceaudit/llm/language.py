@@ -21,7 +21,7 @@ from traceaudit.llm.common import fold_of, hash31, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 # Labelled documents of each language that a fit reads at most, the first by a hash of their id.
-LANGUAGE_ROWS = 1_500
+LANGUAGE_ROWS = 1_000
 ROUNDS = 3
 # Longest piece in characters; probability of a character that no piece covers; mass added to each piece.
 LONGEST = 8
@@ -46,7 +46,7 @@ class Segmenter:
 
     def __init__(self, pieces: list[str], probabilities: np.ndarray) -> None:
         """``probabilities`` is (languages, pieces)."""
-        self.number = {p: i for i, p in enumerate(pieces)}
+        self.number = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
         self.table = np.vstack([probabilities.T, np.full((1, probabilities.shape[0]), UNKNOWN)])      # (pieces + 1, languages)
         self.longest = max((len(p) for p in pieces), default=1)
 
@@ -60,11 +60,13 @@ class Segmenter:
             for i in range(n):
                 for j in range(i + 1, min(n, i + longest) + 1):
                     p = get(text[i:j])
-                    if p is None:
-                        if j > i + 1:
-                            continue
-                        p = other
-                    out += (w, i, j, p)
+                    if p is None or p < 0:                     # no piece; None: nor the start of one
+                        if j == i + 1:
+                            out += (w, i, j, other)
+                        if p is None:
+                            break
+                    else:
+                        out += (w, i, j, p)
         a = np.array(out, dtype=np.int64).reshape(-1, 4)
         return a[:, 0], a[:, 1], a[:, 2], a[:, 3]
 
@@ -199,7 +201,7 @@ def score_languages(docs: DataFrame, pieces: list[str], languages: list[str], ta
                 at = end
                 if len(known) > CACHE:
                     known, logs = {}, logs[:0]
-                fresh = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in known]
+                fresh = list(set().union(*found).difference(known))
                 if fresh and languages:
                     known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                     logs = np.vstack([logs, model.log_probabilities(fresh)])
