@@ -195,12 +195,18 @@ def pivot_pairs(mixed: DataFrame) -> DataFrame:
 def open_pairs(mixed: DataFrame) -> DataFrame:
     """Distinct pairs of classes that share a prefix gram, may link, and are not connected yet.
 
-    In each group the members outside its largest component meet all others.
+    In each group the members outside its largest component meet all others. A
+    pair comes out at its first common gram only: each row knows the grams that
+    stand before it in its own set, at most a quarter of the set.
     """
-    left = mixed.filter("comp <> main").select(*[F.col(c).alias(f"l_{c}") for c in ("gram", "node", "n", "pos", "comp")])
-    met = left.join(mixed, (F.col("l_gram") == F.col("gram")) & (F.col("l_comp") != F.col("comp"))
+    lists = mixed.groupBy("node").agg(F.collect_list(F.struct("pos", "gram")).alias("_all")).withColumnRenamed("node", "_node")
+    earlier = F.transform(F.filter("_all", lambda g: g["pos"] < F.col("pos")), lambda g: g["gram"])
+    rows = stored(mixed.join(lists, F.col("node") == F.col("_node")).withColumn("before", earlier).drop("_node", "_all"))
+    left = rows.filter("comp <> main").select(*[F.col(c).alias(f"l_{c}") for c in ("gram", "node", "n", "pos", "comp", "before")])
+    met = left.join(rows, (F.col("l_gram") == F.col("gram")) & (F.col("l_comp") != F.col("comp"))
                     & ((F.col("comp") == F.col("main")) | (F.col("l_node") < F.col("node")))
-                    & _may_link(F.col("l_n"), F.col("l_pos"), F.col("n"), F.col("pos")))
+                    & _may_link(F.col("l_n"), F.col("l_pos"), F.col("n"), F.col("pos"))
+                    & ~F.arrays_overlap("l_before", "before"))
     return _ordered(met, F.col("l_node"), F.col("node"))
 
 
