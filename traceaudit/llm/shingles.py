@@ -41,13 +41,18 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 _AHEAD, _BEHIND = _powers(CHUNK, _STEP), _powers(CHUNK, _STEP_BACK)
 
 
-def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+# Bytes that are no part of words of digits, a-z and everything beyond ASCII.
+PLAIN = np.ones(256, dtype=bool)
+PLAIN[48:58] = PLAIN[97:123] = PLAIN[128:] = False
+
+
+def word_places(data: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word of the bytes, and the places of its first and last byte; texts end at ``ends``."""
     global _AHEAD, _BEHIND
     if len(data) > len(_AHEAD):                           # a single long text
         _AHEAD, _BEHIND = _powers(len(data), _STEP), _powers(len(data), _STEP_BACK)
     data = _LOWER[data]
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = np.concatenate(([0], ends[:-1]))
@@ -63,7 +68,7 @@ def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix((run[stop] - before) * _BEHIND[start] + (stop - start + 1).astype(np.uint64)), start, stop
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, text after the last, bytes, ends of the texts in them) of about ``CHUNK`` bytes at a time; null is empty."""
     if len(texts) == 0:
         return
@@ -81,11 +86,11 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         at = to
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash of each word, number of its last two bytes, first word of each text and the end) of some texts at a time."""
-    for at, to, data, ends in _pieces(texts):
+def word_hashes(texts: pa.Array, blank: np.ndarray = _BLANK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash of each word, number of its last two bytes, first word of each text and the end) of some texts at a time; ``blank`` marks the bytes between words."""
+    for at, to, data, ends in pieces(texts):
         if len(data):
-            words, start, stop = _word_hashes(data, ends)
+            words, start, stop = word_places(data, ends, blank)
             low = _LOWER[data].astype(np.int64)
             ending = low[stop] * 31 + low[np.maximum(stop - 1, start)] * 7
             yield words, ending, np.concatenate(([0], np.searchsorted(start, ends)))
