@@ -22,16 +22,20 @@ from pyspark.sql import functions as F
 
 from traceaudit.llm.common import fold_of, hash31, stored
 from traceaudit.llm.quality import training_rows
+from traceaudit.llm.shingles import pieces, word_places
 
 # Labelled documents of one class, cues, training sentences and their tokens: the bounds of what a fit reads.
 CLASS_ROWS = 4_000
 CUES = 5_000
 SENTENCES = 12_000
-SENTENCE_TOKENS = 60
+SENTENCE_TOKENS = 40
 
-TOKEN = re.compile(r"\w+")
+# Tokens are runs of ASCII letters, digits, underscores and everything beyond ASCII; sentences end at these marks.
+TOKEN = re.compile("[0-9A-Za-z_\u0080-\U0010ffff]+")
 SENTENCE = re.compile(r"[.!?\n]+")
-CHUNK_CHARS = 400_000
+BETWEEN = np.array([b < 128 and not (chr(b).isalnum() or chr(b) == "_") for b in range(256)])
+BREAK = np.array([chr(b) in ".!?\n" for b in range(256)])
+KNOWN = 200_000
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -54,24 +58,24 @@ class Chain:
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
 
-def marginals(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Probability of the toxic state at each place.
-
-    ``emissions`` is (places, sentences), padded with zeros after a sentence's
-    end where nothing is read. The recursions carry the odds of the two states.
-    """
+def _odds(emissions: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of the toxic state by the token itself, by all up to it, and by all after it."""
     m00, m01, m10, m11 = np.exp(moves)
-    odds = np.exp(np.clip(emissions, -30, 30))
-    ahead = np.empty_like(odds)
-    back = np.empty_like(odds)
-    ahead[0] = odds[0]
-    for t in range(1, len(odds)):
+    own = np.exp(np.clip(emissions, -30, 30))
+    ahead, back = np.empty_like(own), np.ones_like(own)
+    ahead[0] = own[0]
+    for t in range(1, len(own)):
         a = ahead[t - 1]
-        ahead[t] = odds[t] * (m01 + m11 * a) / (m00 + m10 * a)
-    back[-1] = 1.0
-    for t in range(len(odds) - 2, -1, -1):
-        x = odds[t + 1] * back[t + 1]
+        ahead[t] = own[t] * (m01 + m11 * a) / (m00 + m10 * a)
+    for t in range(len(own) - 2, -1, -1):
+        x = own[t + 1] * back[t + 1]
         back[t] = (m10 + m11 * x) / (m00 + m01 * x)
+    return own, ahead, back
+
+
+def marginals(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Probability of the toxic state at each place; ``emissions`` is (places, sentences)."""
+    _, ahead, back = _odds(emissions, moves)
     joint = ahead * back
     return joint / (1 + joint)
 
@@ -91,38 +95,40 @@ def _tokens_of(text: str) -> list[list[str]]:
     return [words for part in SENTENCE.split(text.lower()) if (words := TOKEN.findall(part))]
 
 
-def score_texts(texts: list[str | None], chain: Chain, known: dict[str, float]) -> list[tuple[float, float, list[tuple[int, int]]]]:
+def score_texts(texts: pa.Array, chain: Chain, known: dict[int, float]) -> Iterator[tuple[float, float, list[tuple[int, int]]]]:
     """(largest marginal's log odds, log of 1 + the sum of marginals above 0.1, offending spans) of each text.
 
-    ``known`` keeps the emissions of words between calls. Spans are code point
-    offsets of neighbouring tokens whose marginal is one half or more.
+    ``known`` keeps the emissions of words between calls, by their hash. Spans
+    are code point offsets of neighbouring tokens whose marginal is one half or
+    more.
     """
     moves = np.array(chain.moves)
-    emissions: list[float] = []
-    lengths: list[int] = []
-    owners: list[int] = []
-    for i, text in enumerate(texts):
-        for words in _tokens_of(text or ""):
-            for w in words:
-                if w not in known:
-                    known[w] = chain.emission(w)
-            emissions.extend([known[w] for w in words])
-            lengths.append(len(words))
-            owners.append(i)
-    if len(known) > 200_000:
-        known.clear()
-    top, total = np.full(len(texts), -30.0), np.zeros(len(texts))
-    flagged: set[int] = set()
-    if lengths:
-        own = np.array(owners)
-        for group, block in _padded(np.array(emissions), np.array(lengths)):
-            m = marginals(block, moves)
-            most = m.max(axis=0)
-            np.maximum.at(top, own[group], np.log(np.clip(most, 1e-13, 1)) - np.log(np.clip(1 - most, 1e-13, 1)))
-            np.add.at(total, own[group], np.where(m > 0.1, m, 0.0).sum(axis=0))
-            flagged.update(own[group[most >= 0.5]].tolist())
-    spans = {i: _spans(texts[i], chain, moves) for i in flagged}
-    return [(float(top[i]), float(np.log1p(total[i])), spans.get(i, [])) for i in range(len(texts))]
+    for at, to, data, ends in pieces(texts):
+        n = to - at
+        top, total, flagged = np.full(n, -30.0), np.zeros(n), set()
+        words, start, stop = word_places(data, ends, BETWEEN) if len(data) else (np.zeros(0, dtype=np.uint64),) * 3
+        if len(words):
+            if len(known) > KNOWN:
+                known.clear()
+            kinds, first, which = np.unique(words, return_index=True, return_inverse=True)
+            weights = np.empty(len(kinds))
+            for k, (h, i) in enumerate(zip(kinds.tolist(), first.tolist(), strict=True)):
+                weight = known.get(h)
+                if weight is None:
+                    weight = known[h] = chain.emission(data[start[i]:stop[i] + 1].tobytes().decode("utf-8", "replace").lower())
+                weights[k] = weight
+            owner = np.searchsorted(ends, start, side="right")
+            part = np.cumsum(BREAK[data])[start]
+            begins = np.concatenate(([0], np.flatnonzero((np.diff(part) != 0) | (np.diff(owner) != 0)) + 1))
+            own = owner[begins]
+            for group, block in _padded(weights[which], np.diff(np.append(begins, len(words)))):
+                m = marginals(block, moves)
+                most = m.max(axis=0)
+                np.maximum.at(top, own[group], np.log(np.clip(most, 1e-13, 1)) - np.log(np.clip(1 - most, 1e-13, 1)))
+                np.add.at(total, own[group], np.where(m > 0.1, m, 0.0).sum(axis=0))
+                flagged.update(own[group[most >= 0.5]].tolist())
+        for i in range(n):
+            yield float(top[i]), float(np.log1p(total[i])), _spans(texts[at + i].as_py(), chain, moves) if i in flagged else []
 
 
 def _spans(text: str, chain: Chain, moves: np.ndarray) -> list[tuple[int, int]]:
@@ -150,16 +156,9 @@ def _evidence(docs: DataFrame, chain: Chain) -> DataFrame:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", top double, total double, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known: dict[int, float] = {}
         for batch in batches:
-            texts, at, found = batch.column("text").to_pylist(), 0, []
-            while at < len(texts):                    # a bounded amount of text at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < CHUNK_CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                found.extend(score_texts(texts[at:end], chain, known))
-                at = end
+            found = list(score_texts(batch.column("text"), chain, known))
             columns = [batch.column(c) for c in kept] + [
                 pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()),
                 pa.array([",".join(f"{a}:{b}" for a, b in f[2]) for f in found], pa.string())]
@@ -264,22 +263,11 @@ def fit_chain(sentences: list[tuple[list[str], list[int]]], rounds: int = 120, r
 
 def _expected(emission: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the toxic state and the expected number of each transition."""
-    one = marginals(emission, moves)
-    if len(emission) == 1:
-        return one, np.zeros(4)
-    # Odds of toxic before each place and after it, from the same recursions.
-    m = np.exp(moves)
-    odds = np.exp(np.clip(emission, -30, 30))
-    ahead, back = np.empty_like(odds), np.ones_like(odds)
-    ahead[0] = odds[0]
-    for t in range(1, len(odds)):
-        ahead[t] = odds[t] * (m[1] + m[3] * ahead[t - 1]) / (m[0] + m[2] * ahead[t - 1])
-    for t in range(len(odds) - 2, -1, -1):
-        x = odds[t + 1] * back[t + 1]
-        back[t] = (m[2] + m[3] * x) / (m[0] + m[1] * x)
-    a, x = ahead[:-1], (odds * back)[1:]
+    own, ahead, back = _odds(emission, moves)
+    joint = ahead * back
+    m, a, x = np.exp(moves), ahead[:-1], (own * back)[1:]
     cells = np.stack([np.full_like(a, m[0]), m[1] * x, m[2] * a, m[3] * a * x])
-    return one, (cells / cells.sum(axis=0)).sum(axis=(1, 2))
+    return joint / (1 + joint), (cells / cells.sum(axis=0)).sum(axis=(1, 2))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, class_rows: int = CLASS_ROWS) -> Chain:
