@@ -136,7 +136,9 @@ def fit_rules(rows: DataFrame, trees: int = 24, depth: int = 3, penalty: float =
 
     Without rows every score is one half; with one class only it is close to that class.
     """
-    rows = stored(rows.select(*[F.col(f"_s_{n}") for n in STATISTICS], "label", "weight").repartition(8))
+    # Rows have a place that depends on their values alone, so that a fit can be repeated.
+    used = [*[F.col(f"_s_{n}") for n in STATISTICS], F.col("label"), F.col("weight")]
+    rows = stored(rows.select(*used).repartition(8, *used).sortWithinPartitions(*used))
     classes = sorted(r[0] for r in rows.select("label").distinct().collect())
     if len(classes) < 2:
         return RuleModel({0.0: -4.0, 1.0: 4.0}[classes[0]] if classes else 0.0, ())
