@@ -75,6 +75,24 @@ def test_hot_grams_are_dealt_out_without_losing_links(corpus, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def brute_links(rows):
+    sets = [grams(r[1]) for r in rows]
+    count = [sum(100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets) if j != i and a and b) for i, a in enumerate(sets)]
+    return Counter((r[0], len(s), c) for r, s, c in zip(rows, sets, count, strict=True))
+
+
+@pytest.mark.parametrize("block_classes, block_grams, step", [(256, 1 << 20, 1 << 13), (4, 100, 7)])
+def test_all_links_are_counted(corpus, monkeypatch, block_classes, block_grams, step):
+    rng = random.Random(9)
+    base = [f"n{rng.randrange(10**6)}" for _ in range(100)]
+    rows = corpus_rows() + [(2000 + i, edited(rng, base, i % 3)) for i in range(30)]      # nearly all of them link with each other
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block_classes)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", block_grams)
+    monkeypatch.setattr(jaccard, "STEP_GRAMS", step)
+    got = jaccard.jaccard_components(corpus(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == brute_links(rows)
+
+
 def test_one_of_each(corpus):
     rows = [(2, "a b c d e f"), (1, "A b c d e f"), (3, "x y"), (4, None), (4, None), (5, ""), (2, "a b c d e f"), (3, "other words than that here")]
     docs = corpus(rows)

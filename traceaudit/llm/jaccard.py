@@ -5,10 +5,12 @@ first; two sets that are similar enough then share a gram among the first few of
 each. Documents meet on these prefix grams, pairs pass length, positional and
 suffix filters, and what is left is verified once per pair on the whole texts.
 
-Documents with equal sets are one class and are never paired. Groups that share
-a gram are first paired with two of their members only; further pairs are made
-only between members that are not connected yet, so that a group of thousands of
-copies costs a multiple of its size, and no link between components is lost.
+Documents with equal sets are one class and are never paired. For components,
+groups that share a gram are first paired with two of their members only; further
+pairs are made only between members that are not connected yet, so that a group
+of thousands of copies costs a multiple of its size, and no link between
+components is lost. As every link lies inside a component, links are counted
+there: all pairs of a component's classes are compared, block by block.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ HOT_ROWS = 100_000
 # Rows of a gram from which its unconnected members first meet some of its largest component, before they meet each other.
 CROWD = 64
 PIVOTS = 8
+# Classes, and grams, of a component that are compared with others at a time when links are counted; grams of a step of it.
+BLOCK_CLASSES, BLOCK_GRAMS = 256, 1 << 20
+STEP_GRAMS = 1 << 13
 # Texts that are looked up by a broadcast list of their hashes; more are joined by shuffle.
 BROADCAST_TEXTS = 1_000_000
 
@@ -249,10 +254,77 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, broadcast_text
     return stored(both.mapInArrow(run, "a bigint, b bigint"))
 
 
+def _intersections(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all ``sets`` with all ``others``."""
+    out = np.zeros((len(sets), len(others)), dtype=np.int64)
+    grams, place = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    row = np.repeat(np.arange(len(sets) + len(others)), [len(x) for x in [*sets, *others]])
+    mine = row < len(sets)
+    # Only grams of both sides count; they are numbered anew.
+    both = (np.bincount(place[mine], minlength=len(grams)) > 0) & (np.bincount(place[~mine], minlength=len(grams)) > 0)
+    use = both[place]
+    place, row = (np.cumsum(both) - 1)[place[use]], row[use]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    for at in range(0, int(both.sum()), STEP_GRAMS):
+        lo, hi = np.searchsorted(place, [at, at + STEP_GRAMS])
+        cells = np.zeros((len(sets) + len(others), STEP_GRAMS), dtype=np.float32)
+        cells[row[lo:hi], place[lo:hi] - at] = 1
+        out += (cells[:len(sets)] @ cells[len(sets):].T).astype(np.int64)
+    return out
+
+
+def _count_block(table: pa.Table) -> pa.Table:
+    """node, links of the classes of two blocks, or of one: rows that the classes of the other block, or the others of the block, stand for and that link."""
+    node = table.column("node").to_numpy()
+    table = table.take(np.unique(node, return_index=True)[1])
+    sets, node = [], table.column("node").to_numpy()
+    for chunk in table.column("text").chunks:
+        sets.extend(shingle_sets(chunk))
+    copies, block = table.column("copies").to_numpy(), table.column("block").to_numpy()
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    out = np.zeros(len(node), dtype=np.int64)
+    if len(a) and len(b):
+        link = _intersections([sets[i] for i in a], [sets[i] for i in b]) * OF >= (sizes[a][:, None] + sizes[b]) * NEED
+        if low == high:
+            np.fill_diagonal(link, False)
+            out[a] = link @ copies[a]
+        else:
+            out[a], out[b] = link @ copies[b], copies[a] @ link
+    return pa.table({"node": pa.array(node), "links": pa.array(out)})
+
+
+def link_counts(roots: DataFrame, classes: DataFrame, docs: DataFrame, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
+    """node, links of the classes in ``roots`` (node, root): how many rows of other classes each row of the class links with.
+
+    All pairs of a component are compared. Its classes are dealt into blocks by
+    hash, and each two blocks, and each block with itself, are a task of their own.
+    """
+    members = (roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+               .join(classes.select(F.col("node").alias("_x"), "n", "copies", "_one"), F.col("node") == F.col("_x")).drop("_x"))
+    members = stored(members)
+    per = members.groupBy("root").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n")).select(
+        F.col("root").alias("_root"), F.greatest(F.ceil(F.col("_c") / BLOCK_CLASSES), F.ceil(F.col("_n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = stored(members.join(per, F.col("root") == F.col("_root")).select(
+        "node", "root", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+        F.col("_one._h").alias("_key"), F.col("_one.doc_id").alias("_id")))
+    small = dealt.count() <= broadcast_texts                      # some 60 bytes a row
+    # One row brings the text of its class, or a few that agree in id and text.
+    found = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text")).join(
+        F.broadcast(dealt) if small else dealt, (F.col("_h") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    each = found.select("root", "node", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
+    each = each.select("root", "node", "copies", "block", "text", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"))
+    counted = each.groupBy("root", "low", "high").applyInArrow(_count_block, "node bigint, links bigint")
+    return counted.groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def linked_classes(docs: DataFrame, surveyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): verified links between classes that connect every component, and node with root of linked classes."""
+    """(classes, roots): node, _h, n, bins, copies (rows) and _one (hash and id of a row) of each class, and node with root of linked classes."""
     rows = surveyed.filter("node is not null")
-    classes = stored(rows.groupBy("node").agg(F.min("_h").alias("_h"), F.max("n").alias("n"), F.max("bins").alias("bins")))
+    classes = stored(rows.groupBy("node").agg(F.min("_h").alias("_h"), F.max("n").alias("n"), F.max("bins").alias("bins"), F.count(F.lit(1)).alias("copies"),
+                                                F.min(F.struct("_h", F.col("doc_id").isNull().alias("_none"), "doc_id")).alias("_one")))
     shared = shared_grams(prefix_grams(docs, frequency_sketch(surveyed)))
     tried = stored(star_pairs(shared))
     links = verify(suffix_filter(tried, classes), classes, docs)
@@ -263,22 +335,26 @@ def linked_classes(docs: DataFrame, surveyed: DataFrame) -> tuple[DataFrame, Dat
         if rest is pivot_pairs:
             tried = tried.unionByName(pairs)
             mixed = mixed_groups(mixed, components(links))
-    return links, components(links)
+    return classes, components(links)
 
 
-def _assigned(docs: DataFrame) -> DataFrame:
-    """doc_id, _h, n, node (null without words), group (class that stands for the component), _least and n_links of each row."""
+def _assigned(docs: DataFrame, counts: bool = False) -> DataFrame:
+    """doc_id, _h, n, node (null without words), group (class that stands for the component), _least and, with ``counts``, n_links of each row."""
     surveyed = survey(docs)
-    links, roots = linked_classes(docs, surveyed)
+    classes, roots = linked_classes(docs, surveyed)
     rows = surveyed.filter("block is null").select("doc_id", "_h", "node", "n")
     ids = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("_own"))
     roots = stored(roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root")).distinct())
     linked = ids.join(roots, "node").select("node", "root", "_own")
     least = linked.groupBy("root").agg(F.min("_own").alias("_all"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("_links"))
-    named = stored(ids.join(linked.select("node", "root"), "node", "left").join(least, "root", "left").join(degree, "node", "left")
-                   .select(F.col("node").alias("_node"), F.coalesce("root", "node").alias("group"), F.coalesce("_all", "_own").alias("_least"),
-                           F.coalesce("_links", F.lit(0)).alias("n_links")))
+    named = (ids.join(linked.select("node", "root"), "node", "left").join(least, "root", "left")
+             .select(F.col("node").alias("_node"), F.coalesce("root", "node").alias("group"), F.coalesce("_all", "_own").alias("_least")))
+    if counts:
+        linking = link_counts(roots.select("node", "root"), classes, docs).withColumnRenamed("node", "_x")
+        degree = (classes.join(linking, F.col("node") == F.col("_x"), "left")
+                  .select(F.col("node").alias("_y"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+        named = named.join(degree, F.col("_node") == F.col("_y")).drop("_y")
+    named = stored(named)
     return rows.join(named, F.col("node") == F.col("_node"), "left").drop("_node")
 
 
@@ -288,11 +364,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component_id is the smallest id that links reach. Null texts and texts
     without words have no shingles, link with nothing and are their own
     component. A null id never is the smallest, unless a component has no other.
-    Repeated rows and equal texts are one class. ``n_links`` counts the links
-    found for the document's class, enough to connect its component. An empty
-    table gives no rows.
+    Repeated rows and equal texts are one class. ``n_links`` counts all other
+    rows that the row links with, equal texts included. An empty table gives no
+    rows.
     """
-    return _assigned(docs.select("doc_id", "text")).select(
+    return _assigned(docs.select("doc_id", "text"), counts=True).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

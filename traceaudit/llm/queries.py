@@ -46,8 +46,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents on five-word shingles."""
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")
+    """Near-duplicate components of all documents on five-word shingles, and how many rows each links with."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op7_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
