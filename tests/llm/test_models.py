@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 
@@ -73,6 +74,26 @@ def test_forward_sums_all_segmentations():
     assert np.allclose([got[i] for i in range(len(pieces))], [2 * want[p] / total for p in pieces])
 
 
+def test_long_words_against_exact_arithmetic():
+    pieces = ["a", "aa", "aaaaaaaaa", "b", "ba", language.MARK, language.MARK + "a"]
+    table = np.array([[1e-6, 2e-7, 1e-9, 3e-6, 1e-7, 1e-3, 1e-5], [2e-6, 1e-7, 1e-9, 1e-6, 2e-7, 1e-3, 1e-5]])
+    words = ["a", "ab" * 150, "a" * 450, "z" * 500, "b" * 100 + "a" * 300]
+    model = language.Segmenter(pieces, table)
+    got = model.log_probabilities(words)
+    assert np.allclose(got, [model.forward_long(w) for w in words], rtol=1e-12)
+    for k in range(2):
+        prob = {p: Fraction(x) for p, x in zip(pieces, table[k].tolist(), strict=True)}
+        for word, logs in zip(words, got, strict=True):
+            text, sums = language.MARK + word, [Fraction(1)]
+            for end in range(1, len(text) + 1):
+                sums.append(sum(sums[i] * prob.get(text[i:end], Fraction(language.UNKNOWN) if end - i == 1 else 0) for i in range(max(0, end - 9), end)))
+            want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert math.isclose(logs[k], want, rel_tol=1e-9)
+    # Every letter of a long word is in one piece.
+    found = language.Segmenter(pieces, table[:1]).expected(["a" * 450], np.array([2.0]))
+    assert math.isclose(sum(n * len(p) for n, p in zip(found, pieces, strict=False)), 2 * 451, rel_tol=1e-9)
+
+
 def test_base_scores_and_counts(corpus):
     rows = [(i, t) for i, t, _ in text_rows(200)] + [(500, None), (501, ""), (501, ""), (None, "The THE the"), (502, "neverseen " * 3), (503, "und " * 30_000)]
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [" "] for _, t in rows]

@@ -32,6 +32,9 @@ WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 CHUNK_CHARS = 400_000
 CACHE = 100_000
+# Characters of words that are summed together; letters from which a word is summed alone.
+BLOCK_CHARS = 40_000
+LONG_WORD = 10_000
 
 
 def read_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[str]:
@@ -71,55 +74,75 @@ class Segmenter:
         return a[:, 0], a[:, 1], a[:, 2], a[:, 3]
 
     def forward(self, words: list[str], arcs: tuple | None = None) -> np.ndarray:
-        """Sums over the segmentations of each beginning: (words, longest word + 2, languages), scaled to doubles' range."""
+        """Natural log of the sums over the segmentations of each beginning: (words, longest word + 2, languages).
+
+        At each position the sums are taken relative to the one before, so that none underflows.
+        """
         w, i, j, p = arcs or self.arcs(words)
         size = max(len(x) for x in words) + 2
-        alpha = np.zeros((len(words), size, self.table.shape[1]))
-        alpha[:, 0] = 1
-        order = np.argsort(j, kind="stable")
+        logs = np.zeros((len(words), size, self.table.shape[1]))
+        order = np.argsort(j, kind="stable")                   # words stay in order
         cuts = np.searchsorted(j[order], np.arange(1, size + 1))
         for end in range(1, size):
             at = order[cuts[end - 1]:cuts[end]]
             if len(at):
-                np.add.at(alpha[:, end], w[at], alpha[w[at], i[at]] * self.table[p[at]])
-        return alpha
+                here, start = np.unique(w[at], return_index=True)
+                terms = np.exp(logs[w[at], i[at]] - logs[w[at], end - 1]) * self.table[p[at]]
+                logs[here, end] = logs[here, end - 1] + np.log(np.add.reduceat(terms, start, axis=0))
+        return logs
+
+    def forward_long(self, word: str) -> np.ndarray:
+        """Natural log of a long word's sum in each language; only the last sums are held."""
+        text = MARK + word
+        last = [np.zeros(self.table.shape[1])]                 # of the places before ``end``
+        for end in range(1, len(text) + 1):
+            terms = np.zeros(self.table.shape[1])
+            for k in range(1, len(last) + 1):
+                p = self.number.get(text[end - k:end], -1)
+                if p >= 0 or k == 1:
+                    terms += np.exp(last[-k] - last[-1]) * self.table[p if p >= 0 else len(self.table) - 1]
+            last = [*last[-max(1, self.longest - 1):], last[-1] + np.log(terms)]
+        return last[-1]
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
-        """Natural log of each word's probability in each language; words of any length are summed in pieces of 200 letters."""
-        parts, owner = [], []
-        for k, word in enumerate(words):
-            for c in range(0, len(word), 200):
-                parts.append(word[c:c + 200])
-                owner.append(k)
+        """Natural log of each word's probability in each language, whatever its length."""
         out = np.zeros((len(words), self.table.shape[1]))
-        lengths = np.array([len(x) for x in parts])
+        lengths = np.array([len(x) for x in words])
         order = np.argsort(lengths, kind="stable")
-        for block in np.array_split(order, max(1, len(order) // 2_000)):
-            chosen = [parts[b] for b in block]
-            if chosen:
-                alpha = self.forward(chosen)
-                last = alpha[np.arange(len(chosen)), lengths[block] + 1]
-                np.add.at(out, np.array(owner)[block], np.log(np.maximum(last, 1e-300)))
+        at = 0
+        while at < len(order):
+            to = at + 1
+            if lengths[order[at]] > LONG_WORD:
+                out[order[at]] = self.forward_long(words[order[at]])
+                at = to
+                continue
+            while to < len(order) and to - at < 2_000 and (to - at + 1) * lengths[order[to]] <= BLOCK_CHARS:
+                to += 1
+            block = order[at:to]
+            chosen = [words[b] for b in block]
+            logs = self.forward(chosen)
+            out[block] = logs[np.arange(len(chosen)), lengths[block] + 1]
+            at = to
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected occurrences of each piece, for the first language of the table, in ``words`` that occur ``counts`` times."""
         arcs = w, i, j, p = self.arcs(words)
-        alpha = self.forward(words, arcs)[:, :, 0]
+        logs = self.forward(words, arcs)[:, :, 0]
         ends = np.array([len(x) + 1 for x in words])
-        beta = np.zeros_like(alpha)
+        # beta[k] is the sum over the segmentations of the rest from k, times the forward sum at k, over the word's sum: at most 1.
+        beta = np.zeros_like(logs)
         beta[np.arange(len(words)), ends] = 1
-        weight = self.table[p, 0]
+        weight = self.table[p, 0] * np.exp(logs[w, i] - logs[w, j])
         order = np.argsort(-i, kind="stable")
-        cuts = np.searchsorted(-i[order], -np.arange(alpha.shape[1])[::-1], side="right")
+        cuts = np.searchsorted(-i[order], -np.arange(logs.shape[1])[::-1], side="right")
         at = 0
         for to in cuts:
             group = order[at:to]
             at = to
             if len(group):
                 np.add.at(beta, (w[group], i[group]), weight[group] * beta[w[group], j[group]])
-        total = np.maximum(alpha[np.arange(len(words)), ends], 1e-300)
-        share = counts[w] * alpha[w, i] * weight * beta[w, j] / total[w]
+        share = counts[w] * weight * beta[w, j]
         return np.bincount(p, weights=share, minlength=len(self.table))
 
 
