@@ -94,6 +94,10 @@ def test_long_words_against_exact_arithmetic():
     assert math.isclose(sum(n * len(p) for n, p in zip(found, pieces, strict=False)), 2 * 451, rel_tol=1e-9)
 
 
+def test_all_letter_pieces_are_used():
+    assert max(map(len, language.read_pieces())) > 9 and language.LANGUAGE_ROWS == 1_500
+
+
 def test_base_scores_and_counts(corpus):
     rows = [(i, t) for i, t, _ in text_rows(200)] + [(500, None), (501, ""), (501, ""), (None, "The THE the"), (502, "neverseen " * 3), (503, "und " * 30_000)]
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) + [" "] for _, t in rows]

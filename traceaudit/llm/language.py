@@ -21,10 +21,9 @@ from traceaudit.llm.common import fold_of, hash31, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 # Labelled documents of each language that a fit reads at most, the first by a hash of their id.
-LANGUAGE_ROWS = 1_000
+LANGUAGE_ROWS = 1_500
 ROUNDS = 3
-# Longest piece in characters; probability of a character that no piece covers; mass added to each piece.
-LONGEST = 8
+# Probability of a character that no piece covers; mass added to each piece.
 UNKNOWN = 1e-7
 SMOOTH = 0.05
 UNDETERMINED = "und"
@@ -37,11 +36,11 @@ BLOCK_CHARS = 40_000
 LONG_WORD = 10_000
 
 
-def read_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[str]:
+def read_pieces(path: str = VOCABULARY) -> list[str]:
     """Distinct pieces of the vocabulary in lower case that consist of letters, with or without the mark of a word's start."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= longest and (p.removeprefix(MARK).isalpha() or p == MARK))
+    return sorted(p for p in pieces if p.removeprefix(MARK).isalpha() or p == MARK)
 
 
 class Segmenter:
