@@ -377,7 +377,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, that with the smallest id, with all columns.
 
-    Rows without words are linked with nothing and stay.
+    Rows without words are linked with nothing and stay; those that repeat both
+    id and text, null ids included, are merged into one.
     """
     named = _assigned(docs.select("doc_id", "text"))
     first = named.filter("node is not null").groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", "_least").alias("i"), "doc_id", "_h")).alias("_m"))
