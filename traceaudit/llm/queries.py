@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import decontaminate, jaccard, language, lm, mixing, quality, secrets, sharding, topk, toxicity
+from traceaudit.llm import bpe, decontaminate, fim, jaccard, language, lm, mixing, quality, secrets, sharding, topk, toxicity
 from traceaudit.llm.common import table
 
+# Vocabulary files of public tokenizers; only the driver opens them.
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -65,9 +68,25 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged to fill in a middle, and restored."""
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents under a byte-level vocabulary, and the texts that they decode to."""
+    codec = bpe.Codec(spark, f"{TOKENIZERS}/byte_bpe_50k.json")
+    ids = codec.encode(table(spark, sf_dir, "documents"))
+    both = ids.withColumn("decoded", codec.decode(F.col("ids")))
+    return both.select("doc_id", bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_source_mix, op3_kd_shards, op4_quality_rules, op5_toxic_spans, op6_decontamination, op7_inner_products,
-    op8_jaccard_join, op9_language, op10_pitman_yor)}
+    op8_jaccard_join, op9_language, op10_pitman_yor, op11_fill_in_middle, op12_byte_bpe)}
 
 
 def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
@@ -144,4 +163,19 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op7_inner_products": _OP7_SQL, "op6_decontamination": _OP6_SQL, "op1_secret_scan": _op1_sql(), "op2_source_mix": _OP2_SQL}
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+r AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (SELECT *, array_to_string(u[1:least(c1, c2)], '') AS pre, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS mid,
+    array_to_string(u[greatest(c1, c2) + 1:], '') AS suf FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN len(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END)
+    AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES: dict[str, str] = {"op11_fill_in_middle": _OP11_SQL, "op7_inner_products": _OP7_SQL, "op6_decontamination": _OP6_SQL, "op1_secret_scan": _op1_sql(), "op2_source_mix": _OP2_SQL}
