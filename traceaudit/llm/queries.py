@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.llm import bpe, decontaminate, fim, jaccard, language, lm, mixing, quality, secrets, sharding, topk, toxicity
+from traceaudit.llm import bpe, conversations, decontaminate, fim, jaccard, language, lm, mixing, quality, secrets, sharding, topk, toxicity
 from traceaudit.llm.common import table
 
 # Vocabulary files of public tokenizers; only the driver opens them.
@@ -84,9 +84,15 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged, and their cheapest repairs."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(turns, conversations.damage(turns))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_source_mix, op3_kd_shards, op4_quality_rules, op5_toxic_spans, op6_decontamination, op7_inner_products,
-    op8_jaccard_join, op9_language, op10_pitman_yor, op11_fill_in_middle, op12_byte_bpe)}
+    op8_jaccard_join, op9_language, op10_pitman_yor, op11_fill_in_middle, op12_byte_bpe, op13_conversation_repair)}
 
 
 def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
