@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from traceaudit.llm import jaccard
+from traceaudit.llm import common, jaccard
 from traceaudit.llm.components import components
 from traceaudit.llm.shingles import shingle_sets
 
@@ -129,3 +129,33 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def folders(spark):
+    root = spark._jvm.org.apache.hadoop.fs.Path(common.durable_dir(spark))
+    return {f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)}
+
+
+def test_only_what_the_result_reads_stays_stored(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    docs, before, listed = corpus(corpus_rows()), folders(spark), len(common._STORED)
+    assert jaccard.jaccard_components(docs).count() == len(corpus_rows())
+    left = {f for f in folders(spark) - before if f.startswith("llm-")}
+    assert left == {p.rsplit("/", 1)[-1] for p in common._STORED[listed:]} and len(left) == 1
+
+
+def test_earlier_grams_only_save_work(corpus, monkeypatch):
+    rows = corpus_rows()
+    monkeypatch.setattr(jaccard, "CROWD", 1000)
+    for known in (1, 3):
+        monkeypatch.setattr(jaccard, "EARLIER", known)
+        got = jaccard.jaccard_components(corpus(rows)).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_counts_of_ranges_beyond_two_bytes():
+    rows = [np.arange(256) * 300, np.arange(256)]
+    packed = [jaccard._packed(r) for r in rows]
+    assert [len(p) for p in packed] == [1024, 512]
+    for packs, want in ((packed, rows), (packed[:1], rows[:1]), (packed[1:], rows[1:])):
+        assert (jaccard._unpacked(pa.array(packs)) == np.array(want)).all()

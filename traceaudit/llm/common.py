@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,8 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and leaves joins free to choose
-    their own partitioning. :func:`clear_stored` removes the folders.
+    their own partitioning. :func:`tidied` removes what a step no longer needs,
+    :func:`clear_stored` all folders.
     """
     path = f"{durable_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -38,12 +41,43 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidied(step: Callable) -> Callable:
+    """A step that deletes the tables stored while it ran, but those that its results still read.
+
+    A step returns a DataFrame or a tuple of them. Once its tables are gone
+    nothing can read the shuffles behind them either; a collection in the
+    driver's JVM lets Spark's cleaner drop those from the executors' disks.
+    """
+
+    @functools.wraps(step)
+    def run(*args, **kwargs):
+        begin = len(_STORED)
+        result = step(*args, **kwargs)
+        frames = result if isinstance(result, tuple) else (result,)
+        read = {file.rsplit("/", 1)[0].rsplit("/", 1)[-1] for frame in frames for file in frame.inputFiles()}
+        needed = [path for path in _STORED[begin:] if path.rsplit("/", 1)[-1] in read]
+        spent = [path for path in _STORED[begin:] if path not in needed]
+        if spent:
+            spark = frames[0].sparkSession
+            for path in spent:
+                _delete(spark, path)
+            _STORED[begin:] = needed
+            spark._jvm.System.gc()
+        return result
+
+    return run
+
+
 def clear_stored(spark: SparkSession) -> int:
     """Delete the tables that :func:`stored` has written in this process; returns how many."""
     done = 0
     while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        done += bool(_delete(spark, _STORED.pop()))
     return done
 
 

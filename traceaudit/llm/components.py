@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import stored
+from traceaudit.llm.common import stored, tidied
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,6 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+@tidied
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of every node that ``edges`` (a, b) touches, but roots.
 

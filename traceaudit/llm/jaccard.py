@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import stored
+from traceaudit.llm.common import stored, tidied
 from traceaudit.llm.components import components
 from traceaudit.llm.shingles import mix, shingle_sets
 
@@ -37,6 +37,8 @@ HOT_ROWS = 100_000
 # Rows of a gram from which its unconnected members first meet some of its largest component, before they meet each other.
 CROWD = 64
 PIVOTS = 8
+# Earlier grams of its set that a row of a crowded group knows.
+EARLIER = 8
 # Classes, and grams, of a component that are compared with others at a time when links are counted; grams of a step of it.
 BLOCK_CLASSES, BLOCK_GRAMS = 256, 1 << 20
 STEP_GRAMS = 1 << 13
@@ -53,6 +55,18 @@ def _node(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams).sum(dtype=np.uint64) + np.uint64(len(grams))], dtype=np.uint64)).astype(np.int64)[0])
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in two bytes each, or in four where two do not hold them."""
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int32).tobytes()
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    if all(len(r) == 2 * BINS for r in rows):
+        return np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(-1, BINS)
+    return np.array([np.frombuffer(r, dtype=np.uint16 if len(r) == 2 * BINS else np.int32) for r in rows], dtype=np.int32)
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """One stored pass over the texts: a row for each document, and partial counts of gram buckets.
 
@@ -73,7 +87,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 if len(grams):
                     np.add.at(sketch, _bucket(grams), 1)
                     nodes.append(_node(grams))
-                    bins.append(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes())
+                    bins.append(_packed(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=BINS)))
                 else:
                     nodes.append(None)
                     bins.append(None)
@@ -161,6 +175,7 @@ def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
     return length & (F.least(n1 - pos1, n2 - pos2) * OF >= (n1 + n2) * NEED)
 
 
+@tidied
 def star_pairs(shared: DataFrame) -> DataFrame:
     """Distinct pairs of each group's first and last class with its other classes."""
     me = F.struct("node", "n", "pos")
@@ -168,13 +183,14 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     ends = stored(ends)
     met = shared.join(ends.withColumnRenamed("gram", "_gram"), F.col("gram") == F.col("_gram"))
     each = met.select("node", "n", "pos", F.explode(F.array("_lo", "_hi")).alias("_p")).filter(F.col("_p.node") != F.col("node"))
-    return _ordered(each.filter(_may_link(F.col("n"), F.col("pos"), F.col("_p.n"), F.col("_p.pos"))), F.col("node"), F.col("_p.node"))
+    return stored(_ordered(each.filter(_may_link(F.col("n"), F.col("pos"), F.col("_p.n"), F.col("_p.pos"))), F.col("node"), F.col("_p.node")))
 
 
 def _ordered(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
 
+@tidied
 def mixed_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the grams whose classes are not all connected, stored: gram, node, n, pos, comp, main (the largest component), rows."""
     comp = roots.withColumnRenamed("node", "_node")
@@ -187,6 +203,7 @@ def mixed_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(named.join(top, F.col("gram") == F.col("_gram")).drop("_gram"))
 
 
+@tidied
 def pivot_pairs(mixed: DataFrame) -> DataFrame:
     """In crowded groups, distinct pairs of each member outside the largest component with some of that component, drawn by hash."""
     crowd = mixed.filter(F.col("rows") >= CROWD)
@@ -194,25 +211,28 @@ def pivot_pairs(mixed: DataFrame) -> DataFrame:
     pivots = stored(crowd.filter("comp = main").groupBy("gram").agg(*draw).select(F.col("gram").alias("_gram"), *[f"_p{k}" for k in range(PIVOTS)]))
     met = crowd.filter("comp <> main").join(pivots, F.col("gram") == F.col("_gram"))
     each = met.select("node", "n", "pos", F.explode(F.array(*[f"_p{k}" for k in range(PIVOTS)])).alias("_p"))
-    return _ordered(each.filter(_may_link(F.col("n"), F.col("pos"), F.col("_p.n"), F.col("_p.pos"))), F.col("node"), F.col("_p.node"))
+    return stored(_ordered(each.filter(_may_link(F.col("n"), F.col("pos"), F.col("_p.n"), F.col("_p.pos"))), F.col("node"), F.col("_p.node")))
 
 
+@tidied
 def open_pairs(mixed: DataFrame) -> DataFrame:
     """Distinct pairs of classes that share a prefix gram, may link, and are not connected yet.
 
     In each group the members outside its largest component meet all others. A
-    pair comes out at its first common gram only: each row knows the grams that
-    stand before it in its own set, at most a quarter of the set.
+    pair mostly comes out at its first common gram only: each row knows the first
+    few grams of its own set in such groups, and two rows that share an earlier
+    one of these leave the pair to it. Pairs that come out again are merged.
     """
-    lists = mixed.groupBy("node").agg(F.collect_list(F.struct("pos", "gram")).alias("_all")).withColumnRenamed("node", "_node")
-    earlier = F.transform(F.filter("_all", lambda g: g["pos"] < F.col("pos")), lambda g: g["gram"])
-    rows = stored(mixed.join(lists, F.col("node") == F.col("_node")).withColumn("before", earlier).drop("_node", "_all"))
+    spot = F.struct("pos", "gram")
+    lists = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(spot)), 1, EARLIER).alias("_first")).withColumnRenamed("node", "_node")
+    earlier = F.transform(F.filter("_first", lambda g: g["pos"] < F.col("pos")), lambda g: g["gram"])
+    rows = stored(mixed.join(lists, F.col("node") == F.col("_node")).withColumn("before", earlier).drop("_node", "_first"))
     left = rows.filter("comp <> main").select(*[F.col(c).alias(f"l_{c}") for c in ("gram", "node", "n", "pos", "comp", "before")])
     met = left.join(rows, (F.col("l_gram") == F.col("gram")) & (F.col("l_comp") != F.col("comp"))
                     & ((F.col("comp") == F.col("main")) | (F.col("l_node") < F.col("node")))
                     & _may_link(F.col("l_n"), F.col("l_pos"), F.col("n"), F.col("pos"))
                     & ~F.arrays_overlap("l_before", "before"))
-    return _ordered(met, F.col("l_node"), F.col("node"))
+    return stored(_ordered(met, F.col("l_node"), F.col("node")))
 
 
 def suffix_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -223,7 +243,7 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(f"bins_{s}").to_pylist()), dtype=np.int32).reshape(-1, BINS) for s in "ab")
+                x, y = (_unpacked(batch.column(f"bins_{s}")) for s in "ab")
                 sizes = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
                 good = pa.array(np.minimum(x, y).sum(axis=1, dtype=np.int64) * OF >= sizes * NEED)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
@@ -233,6 +253,11 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """Links among ``pairs`` (a, b), stored: those whose sets of grams are similar enough, counted on the whole texts."""
+    return _verified(pairs, classes, docs, broadcast_texts)
+
+
+@tidied
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, broadcast_texts: int) -> DataFrame:
     pairs = stored(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("_x")).distinct()
     wanted = stored(classes.join(nodes, F.col("node") == F.col("_x"), "left_semi").select("node", "_h"))
@@ -296,6 +321,7 @@ def _count_block(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(node), "links": pa.array(out)})
 
 
+@tidied
 def link_counts(roots: DataFrame, classes: DataFrame, docs: DataFrame, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """node, links of the classes in ``roots`` (node, root): how many rows of other classes each row of the class links with.
 
@@ -317,27 +343,40 @@ def link_counts(roots: DataFrame, classes: DataFrame, docs: DataFrame, broadcast
     each = found.select("root", "node", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
     each = each.select("root", "node", "copies", "block", "text", F.least("block", "_o").alias("low"), F.greatest("block", "_o").alias("high"))
     counted = each.groupBy("root", "low", "high").applyInArrow(_count_block, "node bigint, links bigint")
-    return counted.groupBy("node").agg(F.sum("links").alias("links"))
+    return stored(counted.groupBy("node").agg(F.sum("links").alias("links")))
 
 
+@tidied
 def linked_classes(docs: DataFrame, surveyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, roots): node, _h, n, bins, copies (rows) and _one (hash and id of a row) of each class, and node with root of linked classes."""
     rows = surveyed.filter("node is not null")
     classes = stored(rows.groupBy("node").agg(F.min("_h").alias("_h"), F.max("n").alias("n"), F.max("bins").alias("bins"), F.count(F.lit(1)).alias("copies"),
                                                 F.min(F.struct("_h", F.col("doc_id").isNull().alias("_none"), "doc_id")).alias("_one")))
+    links, mixed, tried = _connected(docs, surveyed, classes)
+    rest = open_pairs(mixed).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(verify(suffix_filter(rest, classes), classes, docs))
+    return classes, components(links)
+
+
+@tidied
+def _first_meetings(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, groups that are still mixed, pairs tried) after each group's first and last class have met the others."""
     shared = shared_grams(prefix_grams(docs, frequency_sketch(surveyed)))
-    tried = stored(star_pairs(shared))
+    tried = star_pairs(shared)
     links = verify(suffix_filter(tried, classes), classes, docs)
-    mixed = mixed_groups(shared, components(links))
-    for rest in (pivot_pairs, open_pairs):
-        pairs = stored(rest(mixed).join(tried, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(verify(suffix_filter(pairs, classes), classes, docs)))
-        if rest is pivot_pairs:
-            tried = tried.unionByName(pairs)
-            mixed = mixed_groups(mixed, components(links))
-    return classes, components(links)
+    return links, mixed_groups(shared, components(links)), tried
+
+
+@tidied
+def _connected(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same after crowded groups have met their pivots as well."""
+    links, mixed, tried = _first_meetings(docs, surveyed, classes)
+    pairs = stored(pivot_pairs(mixed).join(tried, ["a", "b"], "left_anti"))
+    links = stored(links.unionByName(verify(suffix_filter(pairs, classes), classes, docs)))
+    return links, mixed_groups(mixed, components(links)), stored(tried.unionByName(pairs))
 
 
+@tidied
 def _assigned(docs: DataFrame, counts: bool = False) -> DataFrame:
     """doc_id, _h, n, node (null without words), group (class that stands for the component), _least and, with ``counts``, n_links of each row."""
     surveyed = survey(docs)
@@ -355,9 +394,10 @@ def _assigned(docs: DataFrame, counts: bool = False) -> DataFrame:
                   .select(F.col("node").alias("_y"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
         named = named.join(degree, F.col("_node") == F.col("_y")).drop("_y")
     named = stored(named)
-    return rows.join(named, F.col("node") == F.col("_node"), "left").drop("_node")
+    return stored(rows.join(named, F.col("node") == F.col("_node"), "left").drop("_node"))
 
 
+@tidied
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of ``docs`` (doc_id, text).
 
@@ -374,6 +414,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+@tidied
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, that with the smallest id, with all columns.
 
