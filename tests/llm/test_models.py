@@ -148,3 +148,37 @@ def test_contexts_are_distributions():
     counts = rng.poisson(0.3, size=(6, 50)) * rng.integers(1, 40, size=(6, 50))
     logs = lm.sample_contexts(counts, np.array([0, 1, 1, 0])).logs
     assert logs.shape == (6, 50) and np.allclose((10 ** logs).sum(axis=1), 1)
+
+
+def test_only_letters_make_words(spark, corpus):
+    table = np.full((2, 3), 1 / 3)
+    docs = corpus([(1, "½ ² ① ³ 42 _ ٣"), (2, "a½"), (3, None), (4, ""), (5, "Ⅷ"), (6, "ß")])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.score_languages(docs, ["▁", "a", "ß"], ["x", "y"], table).collect()}
+    assert [got[i] for i in (1, 3, 4, 5)] == [("und", 0.0)] * 4
+    assert got[2] == got[6] == ("x", 0.5)
+
+
+def test_arcs_against_a_plain_search():
+    rng = random.Random(8)
+    letters = "abcé中𝒳"
+    pieces = sorted({"▁", *("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)), "▁ab", "▁c", "abcabcabc"})
+    model = language.Segmenter(pieces, np.ones((1, len(pieces))) / len(pieces))
+    words = ["".join(rng.choice(letters + "z") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    number, want = {p: i for i, p in enumerate(pieces)}, set()
+    for w, word in enumerate(words):
+        text = "▁" + word
+        for i in range(len(text)):
+            want |= {(w, i, j, number[text[i:j]]) for j in range(i + 1, len(text) + 1) if text[i:j] in number}
+            if text[i] not in number:
+                want.add((w, i, i + 1, len(pieces)))
+    arcs = model.arcs(words)
+    assert len(arcs[0]) == len(want) and set(zip(*(a.tolist() for a in arcs), strict=True)) == want
+    assert (np.diff(arcs[0]) >= 0).all()
+
+
+def test_long_training_words_are_learned_whole(corpus):
+    docs = corpus([(i, "ab" * 3_000 + " ba", "x") for i in range(1, 9)] + [(i, "cd " * 50, "y") for i in range(20, 30)])
+    words = {r["word"]: r["n"] for r in language.training_words(docs).collect()}
+    assert max(map(len, words)) == 6_000
+    names, table = language.fit_languages(language.training_words(docs), ["▁", "a", "ab", "b", "c", "cd", "d"])
+    assert names == ["x", "y"] and np.allclose(table.sum(axis=1), 1) and table[0, 2] > 10 * table[0, 5]

@@ -8,16 +8,16 @@ cut it into pieces, found by a forward pass; a text is the product of its words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceaudit.llm.common import fold_of, hash31, stored
+from traceaudit.llm.shingles import mix
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 # Labelled documents of each language that a fit reads at most, the first by a hash of their id.
@@ -27,50 +27,109 @@ ROUNDS = 3
 UNKNOWN = 1e-7
 SMOOTH = 0.05
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
+# Letters alone make words, in training and in scoring; numbers of any script, such as halves and squares, are none.
+WORD = regex.compile(r"\p{L}+")
 MARK = "▁"
 CHUNK_CHARS = 400_000
 CACHE = 100_000
 # Characters of words that are summed together; letters from which a word is summed alone.
 BLOCK_CHARS = 40_000
 LONG_WORD = 10_000
+# A training word is read in parts of so many letters.
+TRAINING_LETTERS = 1_000_000
+# Odd number whose powers place the letters of a piece in its hash.
+_STEP = 0x9E3779B97F4A7C15
 
 
 def read_pieces(path: str = VOCABULARY) -> list[str]:
     """Distinct pieces of the vocabulary in lower case that consist of letters, with or without the mark of a word's start."""
+    import sentencepiece
+
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
     return sorted(p for p in pieces if p.removeprefix(MARK).isalpha() or p == MARK)
 
 
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words in a row, and where each word ends."""
+    return (np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64),
+            np.cumsum([len(w) for w in words], dtype=np.int64))
+
+
+def _sums(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the mixed letters times powers of the step, and the inverse powers."""
+    ahead = np.full(len(letters), _STEP, dtype=np.uint64)
+    behind = np.full(len(letters) + 1, pow(_STEP, -1, 1 << 64), dtype=np.uint64)
+    ahead[:1] = behind[0] = 1
+    ahead, behind = np.multiply.accumulate(ahead), np.multiply.accumulate(behind)
+    return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(letters + np.uint64(1)) * ahead, dtype=np.uint64))), behind
+
+
+def _hashes(sums: np.ndarray, behind: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` letters from each place."""
+    return (sums[at + length] - sums[at]) * behind[at]
+
+
+def _blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Words of like lengths that are summed together; a long word is alone."""
+    order, at = np.argsort(lengths, kind="stable"), 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and to - at < 2_000 and (to - at + 1) * lengths[order[to]] <= BLOCK_CHARS:
+            to += 1
+        yield order[at:to]
+        at = to
+
+
 class Segmenter:
     """Forward and backward sums over the segmentations of words, for all languages at once."""
 
     def __init__(self, pieces: list[str], probabilities: np.ndarray) -> None:
         """``probabilities`` is (languages, pieces)."""
-        self.number = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
+        self.number = {p: i for i, p in enumerate(pieces)}
         self.table = np.vstack([probabilities.T, np.full((1, probabilities.shape[0]), UNKNOWN)])      # (pieces + 1, languages)
         self.longest = max((len(p) for p in pieces), default=1)
+        # Per length: the sorted hashes of all beginnings of pieces, and the piece that each is, or -1.
+        self.beginnings = []
+        for length in range(1, self.longest + 1):
+            known = {p[:length]: -1 for p in pieces if len(p) >= length} | {p: i for p, i in self.number.items() if len(p) == length}
+            letters, ends = _letters(list(known))
+            hashes = _hashes(*_sums(letters), ends - length, length)
+            order = np.argsort(hashes)
+            self.beginnings.append((hashes[order], np.array(list(known.values()), dtype=np.int64)[order]))
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, start, end, piece) of all pieces inside the marked words; single characters always have an arc."""
-        out: list[int] = []
-        get, other, longest = self.number.get, len(self.table) - 1, self.longest
-        for w, word in enumerate(words):
-            text = MARK + word
-            n = len(text)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = get(text[i:j])
-                    if p is None or p < 0:                     # no piece; None: nor the start of one
-                        if j == i + 1:
-                            out += (w, i, j, other)
-                        if p is None:
-                            break
-                    else:
-                        out += (w, i, j, p)
-        a = np.array(out, dtype=np.int64).reshape(-1, 4)
-        return a[:, 0], a[:, 1], a[:, 2], a[:, 3]
+        """(word, start, end, piece) of all pieces inside the marked words, by word; single characters always have an arc.
+
+        Places are looked up by 64-bit hashes, all words at a time: those where a
+        piece begins with the letters so far go on to the next length.
+        """
+        letters, ends = _letters([MARK + w for w in words])
+        sums = _sums(letters)
+        starts = np.concatenate(([0], ends[:-1]))
+        owner = np.repeat(np.arange(len(words)), ends - starts)
+        alive, found = np.arange(len(letters)), []
+        for length, (hashes, numbers) in enumerate(self.beginnings, 1):
+            alive = alive[alive + length <= ends[owner[alive]]]
+            mine = _hashes(*sums, alive, length)
+            spot = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+            known = hashes[spot] == mine
+            piece = np.where(known, numbers[spot], -1)
+            if length == 1:
+                piece[piece < 0] = len(self.table) - 1
+            whole = piece >= 0
+            found.append((alive[whole], np.full(int(whole.sum()), length), piece[whole]))
+            alive = alive[known]
+            if not len(alive):
+                break
+        if not found:                                      # a vocabulary without pieces
+            found = [(alive, np.ones(len(alive), dtype=np.int64), np.full(len(alive), len(self.table) - 1))]
+        place, length, piece = (np.concatenate(part) for part in zip(*found, strict=True))
+        order = np.argsort(place, kind="stable")
+        place, length, piece = place[order], length[order], piece[order]
+        word = owner[place]
+        begin = place - starts[word]
+        return word, begin, begin + length, piece
 
     def forward(self, words: list[str], arcs: tuple | None = None) -> np.ndarray:
         """Natural log of the sums over the segmentations of each beginning: (words, longest word + 2, languages).
@@ -97,7 +156,7 @@ class Segmenter:
         for end in range(1, len(text) + 1):
             terms = np.zeros(self.table.shape[1])
             for k in range(1, len(last) + 1):
-                p = self.number.get(text[end - k:end], -1)
+                p = self.number.get(text[end - k:end], -1) if k <= end else -1
                 if p >= 0 or k == 1:
                     terms += np.exp(last[-k] - last[-1]) * self.table[p if p >= 0 else len(self.table) - 1]
             last = [*last[-max(1, self.longest - 1):], last[-1] + np.log(terms)]
@@ -107,21 +166,12 @@ class Segmenter:
         """Natural log of each word's probability in each language, whatever its length."""
         out = np.zeros((len(words), self.table.shape[1]))
         lengths = np.array([len(x) for x in words])
-        order = np.argsort(lengths, kind="stable")
-        at = 0
-        while at < len(order):
-            to = at + 1
-            if lengths[order[at]] > LONG_WORD:
-                out[order[at]] = self.forward_long(words[order[at]])
-                at = to
-                continue
-            while to < len(order) and to - at < 2_000 and (to - at + 1) * lengths[order[to]] <= BLOCK_CHARS:
-                to += 1
-            block = order[at:to]
+        for block in _blocks(lengths):
             chosen = [words[b] for b in block]
-            logs = self.forward(chosen)
-            out[block] = logs[np.arange(len(chosen)), lengths[block] + 1]
-            at = to
+            if lengths[block[0]] > LONG_WORD:
+                out[block[0]] = self.forward_long(chosen[0])
+            else:
+                out[block] = self.forward(chosen)[np.arange(len(chosen)), lengths[block] + 1]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -155,12 +205,17 @@ def training_words(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = L
     The choice is made on ids and languages alone, before any text is read.
     """
     known = docs.filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != held))
+    order = hash31(F.lit("language"), F.col("doc_id"))
+    # Far more rows than are wanted go no further than their own task; a language stays some thousand rows, whatever its size.
+    bound = F.least(F.lit(1.0), F.lit(2.0 * rows + 1_000) / F.count(F.lit(1))) * float(1 << 31)
+    bounds = known.groupBy(F.col("lang").alias("_of")).agg(bound.alias("_bound"))
+    near = known.select("doc_id", F.col("lang").alias("_lang"), order.alias("_order")).join(F.broadcast(bounds), F.col("_lang") == F.col("_of"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "doc_id"))
-    chosen = (known.select("doc_id", F.col("lang").alias("_lang"), hash31(F.lit("language"), F.col("doc_id")).alias("_order"))
+    chosen = (near.filter(F.col("_order") < F.col("_bound"))
               .withColumn("_rank", rank).filter(F.col("_rank") <= rows).select(F.col("doc_id").alias("_id"), "_lang").distinct())
     # Bounded by rows times languages, 30 bytes each.
     texts = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
-    words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,200}"), F.lit(0))).alias("word"))
+    words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{TRAINING_LETTERS}}}"), F.lit(0))).alias("word"))
     return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -186,7 +241,9 @@ def fit_languages(words: DataFrame, pieces: list[str], rounds: int = ROUNDS) ->
                 lang, word, n = (np.array(batch.column(c).to_pylist(), dtype=t) for c, t in (("lang", object), ("word", object), ("n", float)))
                 for name in sorted(set(lang)):
                     mine = lang == name
-                    found = models[name].expected(list(word[mine]), n[mine])[:-1]
+                    some, times = list(word[mine]), n[mine]
+                    found = sum(models[name].expected([some[b] for b in block], times[block])
+                                for block in _blocks(np.array([len(x) for x in some])))[:-1]
                     at = np.flatnonzero(found > 0)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(found[at])], names=["lang", "piece", "n"])
 
