@@ -4,6 +4,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,40 @@ def test_marginals_sum_over_all_labellings():
         for a, b in zip(tags, tags[1:]):
             pairs[2 * a + b] += w / sum(weight.values())
     assert np.allclose(toxicity._expected(emissions, moves)[1], pairs)
+
+
+CHAIN = toxicity.Chain({"w=idiot": 12.0, "p=idio": 1.0, "s=iot": 0.5, "r=größen": 3.0, "w=蠢": 11.0, "q=naïve": 2.0}, bias=-8.0)
+
+
+def test_hashed_features_equal_the_named_ones():
+    words = ["idiot", "IDIOT", "idio", "riot", "größenwahn", "蠢", "x", "naïveté", "_", "42", "idiots"]
+    text = " ".join(words)
+    data, ends = np.frombuffer(text.lower().encode(), dtype=np.uint8), np.array([len(text.lower().encode())])
+    start, stop = toxicity.word_edges(data, ends, toxicity.BETWEEN)
+    got = toxicity.emissions(data, toxicity.Bytes(data), start, stop, CHAIN, CHAIN.tables())
+    assert np.allclose(got, [CHAIN.emission(w.lower()) for w in words])
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("you idiot now", [(4, 9)]), ("you “idiot” now", [(5, 10)]), ("you—idiot—now", [(4, 9)]), ("IDIOT", [(0, 5)]), ("好人。蠢。好人", [(3, 4)]), ("蠢！好", [(0, 1)]),
+    ("an idiotic word", []), ("¿idiot?", [(1, 6)]), ("«idiot»", [(1, 6)]), ("", []), (None, []), ("😀idiot😀", [(1, 6)]), ("é idiot", [(2, 7)])])
+def test_typographic_marks_end_tokens(text, spans):
+    (top, _, found), = toxicity.score_texts(pa.array([text], pa.string()), CHAIN)
+    assert found == spans and (top > 0) == bool(spans)
+
+
+def test_tokens_in_bulk_are_those_of_the_pattern():
+    texts = ["a—b “c” d。e！f ½g 中文、字 ñandú’s", "naïve​x ýz ©®™ 𝒳𝒴 😀ok", "١٢ हिन्दी — test"]
+    for text in texts:
+        data = toxicity.plain_breaks(np.frombuffer(text.encode(), dtype=np.uint8))
+        raw = text.encode()
+        start, stop = toxicity.word_edges(data, np.array([len(data)]), toxicity.BETWEEN)
+        assert [raw[a:b + 1].decode() for a, b in zip(start, stop, strict=True)] == toxicity.TOKEN.findall(text)
+
+
+def test_sentences_together_equal_sentences_alone():
+    rng = np.random.default_rng(3)
+    lengths = np.array([3, 1, 7, 3, 40, 1, 2])
+    values, moves = rng.normal(size=lengths.sum()) * 5, rng.normal(size=4)
+    parts = [toxicity.marginals(part[:, None], moves)[:, 0] for part in np.split(values, np.cumsum(lengths)[:-1])]
+    assert np.allclose(toxicity.sentence_marginals(values, lengths, moves), np.concatenate(parts))

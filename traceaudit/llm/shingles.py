@@ -41,17 +41,32 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 _AHEAD, _BEHIND = _powers(CHUNK, _STEP), _powers(CHUNK, _STEP_BACK)
 
 
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for ``n`` bytes; those for a single long text are not kept."""
+    return (_AHEAD, _BEHIND) if n <= CHUNK else (_powers(n, _STEP), _powers(n, _STEP_BACK))
+
+
 # Bytes that are no part of words of digits, a-z and everything beyond ASCII.
 PLAIN = np.ones(256, dtype=bool)
 PLAIN[48:58] = PLAIN[97:123] = PLAIN[128:] = False
 
 
-def word_places(data: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word of the bytes, and the places of its first and last byte; texts end at ``ends``."""
-    global _AHEAD, _BEHIND
-    if len(data) > len(_AHEAD):                           # a single long text
-        _AHEAD, _BEHIND = _powers(len(data), _STEP), _powers(len(data), _STEP_BACK)
-    data = _LOWER[data]
+class Bytes:
+    """Hashes of any runs of some bytes, A-Z lower-cased: equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.data = _LOWER[data]
+        ahead, self.behind = _tables(len(data))
+        self.sums = np.cumsum(_BYTE[self.data] * ahead[:len(data)], dtype=np.uint64)
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from each ``start`` to each ``stop``, both included."""
+        before = np.where(start > 0, self.sums[start - 1], np.uint64(0))
+        return mix((self.sums[stop] - before) * self.behind[start] + (stop - start + 1).astype(np.uint64))
+
+
+def word_edges(data: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and the last byte of each word; texts end at ``ends``."""
     inside = ~blank[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -62,10 +77,14 @@ def word_places(data: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[
     stops[:-1] &= ~inside[1:]
     last = ends[ends > 0] - 1
     stops[last] = inside[last]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(stops)
-    run = np.cumsum(_BYTE[data] * _AHEAD[:len(data)], dtype=np.uint64)
-    before = np.where(start > 0, run[start - 1], np.uint64(0))
-    return mix((run[stop] - before) * _BEHIND[start] + (stop - start + 1).astype(np.uint64)), start, stop
+    return np.flatnonzero(begins), np.flatnonzero(stops)
+
+
+def word_places(data: np.ndarray, ends: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word of the bytes, and the places of its first and last byte; texts end at ``ends``."""
+    known = Bytes(data)
+    start, stop = word_edges(known.data, ends, blank)
+    return known.hashes(start, stop), start, stop
 
 
 def pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -9,12 +9,13 @@ every text; the marginals give a document's score and its offending offsets.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -22,25 +23,63 @@ from pyspark.sql import functions as F
 
 from traceaudit.llm.common import fold_of, hash31, stored
 from traceaudit.llm.quality import training_rows
-from traceaudit.llm.shingles import pieces, word_places
+from traceaudit.llm.shingles import Bytes, pieces, word_edges
 
 # Labelled documents of one class, cues, training sentences and their tokens: the bounds of what a fit reads.
 CLASS_ROWS = 4_000
 CUES = 5_000
 SENTENCES = 12_000
-SENTENCE_TOKENS = 40
+SENTENCE_TOKENS = 60
 
-# Tokens are runs of ASCII letters, digits, underscores and everything beyond ASCII; sentences end at these marks.
-TOKEN = re.compile("[0-9A-Za-z_\u0080-\U0010ffff]+")
-SENTENCE = re.compile(r"[.!?\n]+")
+# Tokens are runs of letters, marks, digits and underscores, for cues, training and scoring alike; sentences end at these marks.
+TOKEN_CLASS = r"[\p{L}\p{M}\p{N}_]"
+TOKEN = regex.compile(TOKEN_CLASS + "+")
+STOPS = ".!?\n\u3002\uff01\uff0e\uff1f\uff61"
+SENTENCE = regex.compile(f"[{STOPS}]+")
 BETWEEN = np.array([b < 128 and not (chr(b).isalnum() or chr(b) == "_") for b in range(256)])
-BREAK = np.array([chr(b) in ".!?\n" for b in range(256)])
-KNOWN = 200_000
+BREAK = np.array([b < 128 and chr(b) in STOPS for b in range(256)])
+# Features of a token: a mark and the letters that it takes, from the start or, negative, from the end; 0 takes the word.
+PARTS = (("w=", 0), ("p=", 4), ("q=", 5), ("r=", 6), ("s=", -3))
+# Marginals below this are not summed in a document's score: thousands of clean tokens would add up.
+LEAST_MARGINAL = 0.1
+
+
+def _beyond_tokens() -> np.ndarray:
+    """For each code point its stand-in byte if it is no part of a token: a stop, a blank, or 0 for parts of tokens."""
+    table = np.full(0x110000, 0x20, dtype=np.uint8)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    inside = "".join(regex.findall(TOKEN_CLASS, every))
+    table[np.frombuffer(inside.encode("utf-32-le"), dtype="<u4")] = 0
+    table[[ord(c) for c in STOPS]] = ord(".")
+    return table
+
+
+_STAND_IN: list[np.ndarray] = []
+
+
+def plain_breaks(data: np.ndarray) -> np.ndarray:
+    """The bytes with every character beyond ASCII that is no part of a token overwritten by blanks, or by stops if it ends a sentence."""
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return data
+    if not _STAND_IN:
+        _STAND_IN.append(_beyond_tokens())
+    width = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0).astype(np.int64)
+    code = (data[lead] & (0x7F >> width)).astype(np.int64)
+    for k in range(1, 4):
+        more = width > k
+        code[more] = (code[more] << 6) | (data[np.minimum(lead[more] + k, len(data) - 1)] & 0x3F)
+    other = _STAND_IN[0][np.minimum(code, 0x10FFFF)]
+    out, change = data.copy(), other > 0
+    for k in range(4):
+        here = change & (width > k)
+        out[np.minimum(lead[here] + k, len(data) - 1)] = other[here]
+    return out
 
 
 def features(word: str) -> tuple[str, ...]:
     """Features of a token: the word, its beginnings and its end."""
-    return ("w=" + word, "p=" + word[:4], "q=" + word[:5], "r=" + word[:6], "s=" + word[-3:])
+    return tuple(mark + (word[:n] if n > 0 else word[n:] if n else word) for mark, n in PARTS)
 
 
 @dataclass
@@ -57,6 +96,36 @@ class Chain:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per kind of feature the sorted hashes of its values and their weights."""
+        out = []
+        for mark, _ in PARTS:
+            found = {f[len(mark):]: w for f, w in self.weights.items() if f.startswith(mark)}
+            data = [f.encode() for f in found]
+            stop = np.cumsum([len(d) for d in data], dtype=np.int64)
+            hashes = np.zeros(0, dtype=np.uint64)
+            if len(stop):
+                hashes = Bytes(np.frombuffer(b"".join(data), dtype=np.uint8)).hashes(np.concatenate(([0], stop[:-1])), stop - 1)
+            order = np.argsort(hashes)
+            out.append((hashes[order], np.array(list(found.values()), dtype=float)[order]))
+        return out
+
+
+def emissions(data: np.ndarray, known: Bytes, start: np.ndarray, stop: np.ndarray, chain: Chain, tables: list) -> np.ndarray:
+    """Emission of each token, its features looked up by the hashes of its bytes."""
+    heads = np.flatnonzero((data & 0xC0) != 0x80)              # where characters begin
+    first, last = np.searchsorted(heads, start, "right") - 1, np.searchsorted(heads, stop, "right") - 1
+    heads = np.append(heads, len(data))
+    out = np.full(len(start), chain.bias)
+    for (_, n), (hashes, weights) in zip(PARTS, tables, strict=True):
+        if len(hashes):
+            begin = heads[np.maximum(first, last + 1 + n)] if n < 0 else start
+            end = heads[np.minimum(first + n, last + 1)] - 1 if n > 0 else stop
+            mine = known.hashes(begin, end)
+            spot = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+            out += np.where(hashes[spot] == mine, weights[spot], 0.0)
+    return out
+
 
 def _odds(emissions: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Odds of the toxic state by the token itself, by all up to it, and by all after it."""
@@ -80,6 +149,36 @@ def marginals(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return joint / (1 + joint)
 
 
+def sentence_marginals(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Probability of the toxic state of each token; the sentences, of at least one token each, follow one another.
+
+    All sentences go on together, the longest first, so that a step works on those that reach its place.
+    """
+    m00, m01, m10, m11 = np.exp(moves)
+    order = np.argsort(-lengths, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    steps = int(lengths.max())
+    reach = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(steps), side="right")     # sentences with a token at each place
+    off = np.concatenate(([0], np.cumsum(reach)))
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(emissions)) - (np.cumsum(lengths) - lengths)[sentence]
+    spot = off[place] + rank[sentence]
+    own = np.empty_like(emissions)
+    own[spot] = np.exp(np.clip(emissions, -30, 30))
+    ahead, back = own.copy(), np.ones_like(own)
+    for t in range(1, steps):
+        n, here, last = reach[t], off[t], off[t - 1]
+        a = ahead[last:last + n]
+        ahead[here:here + n] *= (m01 + m11 * a) / (m00 + m10 * a)
+    for t in range(steps - 2, -1, -1):
+        n, here, after = reach[t + 1], off[t], off[t + 1]
+        x = own[after:after + n] * back[after:after + n]
+        back[here:here + n] = (m10 + m11 * x) / (m00 + m01 * x)
+    joint = ahead * back
+    return (joint / (1 + joint))[spot]
+
+
 def _padded(values: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sentences of equal length at a time: their numbers, and their values as (places, sentences)."""
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -95,38 +194,31 @@ def _tokens_of(text: str) -> list[list[str]]:
     return [words for part in SENTENCE.split(text.lower()) if (words := TOKEN.findall(part))]
 
 
-def score_texts(texts: pa.Array, chain: Chain, known: dict[int, float]) -> Iterator[tuple[float, float, list[tuple[int, int]]]]:
+def score_texts(texts: pa.Array, chain: Chain) -> Iterator[tuple[float, float, list[tuple[int, int]]]]:
     """(largest marginal's log odds, log of 1 + the sum of marginals above 0.1, offending spans) of each text.
 
-    ``known`` keeps the emissions of words between calls, by their hash. Spans
-    are code point offsets of neighbouring tokens whose marginal is one half or
-    more.
+    Spans are code point offsets of neighbouring tokens whose marginal is one half
+    or more.
     """
-    moves = np.array(chain.moves)
-    for at, to, data, ends in pieces(texts):
+    moves, tables = np.array(chain.moves), chain.tables()
+    for at, to, data, ends in pieces(pc.utf8_lower(texts)):
         n = to - at
         top, total, flagged = np.full(n, -30.0), np.zeros(n), set()
-        words, start, stop = word_places(data, ends, BETWEEN) if len(data) else (np.zeros(0, dtype=np.uint64),) * 3
-        if len(words):
-            if len(known) > KNOWN:
-                known.clear()
-            kinds, first, which = np.unique(words, return_index=True, return_inverse=True)
-            weights = np.empty(len(kinds))
-            for k, (h, i) in enumerate(zip(kinds.tolist(), first.tolist(), strict=True)):
-                weight = known.get(h)
-                if weight is None:
-                    weight = known[h] = chain.emission(data[start[i]:stop[i] + 1].tobytes().decode("utf-8", "replace").lower())
-                weights[k] = weight
+        data = plain_breaks(data)
+        start, stop = word_edges(data, ends, BETWEEN) if len(data) else (np.zeros(0, dtype=np.int64),) * 2
+        if len(start):
+            known = Bytes(data)
+            _, one, which = np.unique(known.hashes(start, stop), return_index=True, return_inverse=True)
+            weights = emissions(data, known, start[one], stop[one], chain, tables)
             owner = np.searchsorted(ends, start, side="right")
             part = np.cumsum(BREAK[data])[start]
             begins = np.concatenate(([0], np.flatnonzero((np.diff(part) != 0) | (np.diff(owner) != 0)) + 1))
             own = owner[begins]
-            for group, block in _padded(weights[which], np.diff(np.append(begins, len(words)))):
-                m = marginals(block, moves)
-                most = m.max(axis=0)
-                np.maximum.at(top, own[group], np.log(np.clip(most, 1e-13, 1)) - np.log(np.clip(1 - most, 1e-13, 1)))
-                np.add.at(total, own[group], np.where(m > 0.1, m, 0.0).sum(axis=0))
-                flagged.update(own[group[most >= 0.5]].tolist())
+            m = sentence_marginals(weights[which], np.diff(np.append(begins, len(start))), moves)
+            most = np.maximum.reduceat(m, begins)
+            np.maximum.at(top, own, np.log(np.clip(most, 1e-13, 1)) - np.log(np.clip(1 - most, 1e-13, 1)))
+            total += np.bincount(owner, weights=np.where(m > LEAST_MARGINAL, m, 0.0), minlength=n)
+            flagged.update(own[most >= 0.5].tolist())
         for i in range(n):
             yield float(top[i]), float(np.log1p(total[i])), _spans(texts[at + i].as_py(), chain, moves) if i in flagged else []
 
@@ -156,9 +248,8 @@ def _evidence(docs: DataFrame, chain: Chain) -> DataFrame:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", top double, total double, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, float] = {}
         for batch in batches:
-            found = list(score_texts(batch.column("text"), chain, known))
+            found = list(score_texts(batch.column("text"), chain))
             columns = [batch.column(c) for c in kept] + [
                 pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()),
                 pa.array([",".join(f"{a}:{b}" for a, b in f[2]) for f in found], pa.string())]
@@ -173,7 +264,7 @@ def cues(rows: DataFrame, limit: int = CUES) -> set[str]:
     ``rows`` has text, label and weight. A cue is in at least 4 toxic documents,
     and its share of toxic documents is at least 15 times that of clean ones.
     """
-    words = F.expr(r"array_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+', 0))")
+    words = F.expr(r"array_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{M}\\p{N}_]+', 0))")
     parts = F.expr("""array_distinct(flatten(transform(_words, w -> array(concat('w=', w), concat('p=', left(w, 4)),
         concat('q=', left(w, 5)), concat('r=', left(w, 6))))))""")
     each = rows.select("label", words.alias("_words")).select("label", F.explode(parts).alias("cue"))
