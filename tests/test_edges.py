@@ -117,7 +117,12 @@ def test_class_codes_and_matrix(spark):
 def test_embedded_objects():
     assert judging._enclosed('a {"x": {"y": 1}} b {"z": 2} {"open": 1') == ['{"x": {"y": 1}}', '{"z": 2}']
     assert judging._enclosed("no braces") == [] and judging._enclosed("}{") == []
-    assert S._embedded_objects('x 12 "a {\\"q\\": 1} b" {"a": 1}[{"b": 2}] {broken {"c": 3}') == ['{"a": 1}', '{"c": 3}']
+
+
+def test_scan_steps_over_values(spark, tmp_path):
+    (tmp_path / "a.log").write_text('x 12 "a {\\"q\\": 1} b" {"a": 1}[{"b": 2}] {broken {"c": 3}')
+    rows = S.ingest_spans(spark, str(tmp_path), "scan").collect()
+    assert [r.span_json for r in sorted(rows, key=lambda r: r.span_idx)] == ['{"a": 1}', '{"c": 3}']
 
 
 def test_controls_show_the_original_prompt(spark):

@@ -4,6 +4,7 @@ from traceaudit.plans import (  # noqa: F401
     feature_queries,
     judging_queries,
     label_queries,
+    source_queries,
     span_queries,
     stream_queries,
 )

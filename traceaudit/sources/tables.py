@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceaudit.functions.text import basename
+from traceaudit.sources.files import full_path
+from traceaudit.sources.jsonarray import numbered, read_json_array
 
 # Agents with a prompt file, and the violation types in use.
 PROMPT_AGENTS = ("APIPlannerAgent", "APICodePlannerAgent", "ShortlisterAgent", "TaskDecompositionAgent",
@@ -36,17 +38,15 @@ STORED_LABEL = T.StructType([
     T.StructField("judge1_results", RESULT_LIST), T.StructField("judge2_results", RESULT_LIST)])
 
 
-def load_manifest(spark: SparkSession, path: str, skip_failed: bool = True) -> DataFrame:
-    """Runs of a JSON manifest: an object with ``runs`` or a bare list.
+def load_manifest(spark: SparkSession, path: str, skip_failed: bool = True, base: str | None = None, glob: str = "*.json") -> DataFrame:
+    """Runs of JSON manifests: an object with ``runs`` or a bare list, read by many tasks; ``run_pos`` is the place in the file.
 
-    A run without a log path gets the default one. Failed runs are left out
-    unless ``skip_failed`` is off.
+    A run without a log path gets the default one. With ``base``, the folder that
+    the paths are relative to, ``log_path`` is the path under which the log readers
+    know the log. Failed runs are left out unless ``skip_failed`` is off.
     """
-    as_list = spark.read.text(path, wholetext=True).select("value")
-    wrapped = F.from_json("value", T.StructType([T.StructField("runs", T.ArrayType(RUN))]))["runs"]
-    bare = F.from_json("value", T.ArrayType(RUN))
-    listed = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)
-    rows = as_list.select(F.posexplode(listed).alias("run_pos", "run")).select("run_pos", "run.*")
+    listed = numbered(read_json_array(spark, path, "runs", glob), "run_pos")
+    rows = listed.select(F.col("run_pos").cast("int").alias("run_pos"), F.from_json("text", RUN).alias("run")).select("run_pos", "run.*")
     text = [f.name for f in RUN.fields if isinstance(f.dataType, T.StringType)]
     for name in text:
         rows = rows.withColumn(name, F.coalesce(name, F.lit("")))
@@ -54,19 +54,23 @@ def load_manifest(spark: SparkSession, path: str, skip_failed: bool = True) -> D
     rows = (rows.withColumn("log_path", F.coalesce(F.nullif("log_path", F.lit("")), default))
                 .withColumn("task_pass_percentage", F.coalesce("task_pass_percentage", F.lit(0.0)))
                 .withColumn("log_file", basename(F.col("log_path"))))
+    if base is not None:
+        root = F.lit(full_path(base).rstrip("/") + "/")
+        rows = rows.withColumn("log_path", F.when(F.col("log_path").rlike("^(/|[a-z0-9]+:/)"), F.col("log_path")).otherwise(F.concat(root, "log_path")))
     return rows.filter(F.col("run_status") != "failed") if skip_failed else rows
 
 
 def load_runs(manifest: DataFrame, texts: DataFrame, prompts: DataFrame) -> DataFrame:
     """Validation records: runs with the texts taken from their logs and the original prompt.
 
-    ``texts`` holds ``log_file, target_agent, modified_system_prompt, user_input,
-    agent_response`` per run. Runs without a modified prompt are dropped; other
+    ``texts`` holds ``log_path`` (or, where the paths are not known, ``log_file``),
+    ``target_agent, modified_system_prompt, user_input, agent_response`` per run. Runs without a modified prompt are dropped; other
     missing texts become empty.
     """
     from traceaudit.operators.lookup import lookup_join
+    from traceaudit.operators.selection import shared_key
     keyed = manifest.withColumnRenamed("agent", "target_agent").withColumnRenamed("hard_soft", "designed_hard_soft")
-    full = keyed.join(texts, ["log_file", "target_agent"], "inner").filter(F.col("modified_system_prompt").isNotNull())
+    full = keyed.join(texts, [shared_key(keyed, texts), "target_agent"], "inner").filter(F.col("modified_system_prompt").isNotNull())
     originals = prompts.select(F.col("agent").alias("target_agent"), F.col("prompt").alias("original_system_prompt"))
     full = lookup_join(full, originals, ["target_agent"])
     return full.select(
@@ -118,8 +122,8 @@ def load_stored_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV manifest with a header; all columns are text."""
-    return spark.read.option("header", "true").csv(path)
+    """CSV manifest with a header; all columns are text, a quote inside quotes is doubled."""
+    return spark.read.option("header", "true").option("escape", '"').csv(path)
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +132,7 @@ def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     Files follow each other by their path, blocks of a file by their start, rows
     of a block as they stand.
     """
-    rows = spark.read.option("header", "true").csv(path).select(
+    rows = spark.read.option("header", "true").option("escape", '"').csv(path).select(
         "*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__seq"))
     if "score" not in rows.columns:
