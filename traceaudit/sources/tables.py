@@ -70,7 +70,9 @@ def load_runs(manifest: DataFrame, texts: DataFrame, prompts: DataFrame) -> Data
     from traceaudit.operators.lookup import lookup_join
     from traceaudit.operators.selection import shared_key
     keyed = manifest.withColumnRenamed("agent", "target_agent").withColumnRenamed("hard_soft", "designed_hard_soft")
-    full = keyed.join(texts, [shared_key(keyed, texts), "target_agent"], "inner").filter(F.col("modified_system_prompt").isNotNull())
+    key = shared_key(keyed, texts)
+    found = texts.select(key, "target_agent", "modified_system_prompt", "user_input", "agent_response")
+    full = keyed.join(found, [key, "target_agent"], "inner").filter(F.col("modified_system_prompt").isNotNull())
     originals = prompts.select(F.col("agent").alias("target_agent"), F.col("prompt").alias("original_system_prompt"))
     full = lookup_join(full, originals, ["target_agent"])
     return full.select(
