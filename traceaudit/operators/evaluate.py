@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,32 +138,47 @@ def early_stop(epochs: DataFrame, metric: Column, run: str = "run_id", order: st
 
     An epoch is a new best when its metric beats the best so far by more than
     ``min_delta``; training stops after ``patience`` epochs without one. Only
-    epochs above everything before them can be a new best, so just those are
-    brought together per run and folded in order; numbering the epochs and
-    finding them runs in buckets.
+    epochs above everything before them can be a new best, so just those go, in
+    order, through the fold of their run, which holds the best and its epoch;
+    numbering the epochs and finding them runs in buckets.
     """
     bucket = F.floor(F.col(order) / bucket_size)
     rows = epochs.select(run, F.col(order), metric.alias("__m"))
     placed = ranked(rows, [run], [order], bucket, "epoch", "epochs")
     marked = running_max(placed, [run], ["epoch"], F.floor(F.col("epoch") / bucket_size), F.col("__m"), "__before")
     peaks = marked.filter(F.col("__before").isNull() | (F.col("__m") > F.col("__before")))
-    listed = peaks.groupBy(run).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("epoch").cast("bigint").alias("epoch"), F.col("__m").alias("m")))).alias("peaks"),
-        F.max(F.col("epochs").cast("bigint")).alias("epochs"))
-    start = F.struct(F.lit(0).cast("bigint").alias("best_epoch"), F.lit(0.0).alias("best"),
-                     F.lit(False).alias("stopped"))
-
-    def step(acc: Column, p: Column) -> Column:
-        late = acc["stopped"] | (p["epoch"] - acc["best_epoch"] > patience)
-        better = ~late & (p["m"] > acc["best"] + F.lit(min_delta))
-        return F.struct(F.when(better, p["epoch"]).otherwise(acc["best_epoch"]).alias("best_epoch"),
-                        F.when(better, p["m"]).otherwise(acc["best"]).alias("best"), late.alias("stopped"))
-
-    out = listed.withColumn("__end", F.aggregate("peaks", start, step))
-    best_epoch = F.col("__end.best_epoch")
-    return out.select(run, best_epoch.alias("best_epoch"), F.col("__end.best").alias("best_metric"),
-                      F.least(F.col("epochs"), best_epoch + patience).alias("last_epoch"),
-                      (F.col("epochs") >= best_epoch + patience).alias("stopped_early"))
+    peaks = peaks.select(run, F.col("epoch").cast("bigint").alias("epoch"), F.col("__m").cast("double").alias("m"), F.col("epochs").cast("bigint").alias("epochs"))
+    kind = peaks.schema[run].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A run is four numbers, however many epochs raise its metric.
+        held = None
+        for batch in batches:
+            ended = []
+            for name, epoch, m, epochs_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held is None or held[0] != name:
+                    ended += [held[:4]] if held else []
+                    held = [name, 0, 0.0, epochs_, False]
+                if held[4] or epoch - held[1] > patience:
+                    held[4] = True
+                elif m > held[2] + min_delta:
+                    held[1], held[2] = epoch, m
+            if ended:
+                yield _columns(ended, batch.schema.field(0).type)
+            last = batch.schema.field(0).type
+        if held is not None:
+            yield _columns([held[:4]], last)
+
+    out = (peaks.repartition(run).sortWithinPartitions(run, "epoch")
+           .mapInArrow(fold, f"`{run}` {kind}, best_epoch bigint, best_metric double, epochs bigint"))
+    stops = F.col("best_epoch") + patience
+    return out.select(run, "best_epoch", "best_metric", F.least("epochs", stops).alias("last_epoch"), (F.col("epochs") >= stops).alias("stopped_early"))
+
+
+def _columns(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
+    parts = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(parts[0], kind), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64()), pa.array(parts[3], pa.int64())],
+                                      names=["run", "best_epoch", "best_metric", "epochs"])
 
 
 def fit_baseline(vectors: DataFrame, label: str, kind: str = "linear", features: str = "features",

@@ -114,6 +114,41 @@ def propagate(nodes: DataFrame, edges: DataFrame, width: int, kind: str = "gcn",
     return out.select("trace_id", "node_idx", unit_length(F.coalesce("__mean", zeros)).alias("features"))
 
 
+def propagate_layers(nodes: DataFrame, edges: DataFrame, width: int, kind: str = "gcn", layers: int = 2,
+                     features: str = "features") -> DataFrame:
+    """Several layers of :func:`propagate`, each on the vectors of the one before.
+
+    The edges are weighted once and stored by their sending node, with the self
+    loops of ``gcn``; from then on a layer shuffles vectors to where their edges
+    are and the messages, summed before the shuffle, to their receivers.
+    """
+    if kind not in ("gcn", "sage"):
+        raise ValueError(f"unknown kind {kind!r}")
+    places = nodes.select("trace_id", "node_idx")
+    if kind == "gcn":
+        proper = edges.filter(F.col("src_idx") != F.col("dst_idx")).select("trace_id", "src_idx", "dst_idx")
+        inward = proper.groupBy("trace_id", F.col("dst_idx").alias("node_idx")).agg(F.count(F.lit(1)).alias("__in"))
+        degree = cut_lineage(places.join(inward, ["trace_id", "node_idx"], "left").select(
+            "trace_id", "node_idx", (F.coalesce("__in", F.lit(0)) + F.lit(1.0)).alias("__deg")))
+        ends = [degree.select("trace_id", F.col("node_idx").alias(f"{end}_idx"), F.col("__deg").alias(f"__{end}")) for end in ("src", "dst")]
+        weighted = proper.join(ends[0], ["trace_id", "src_idx"]).join(ends[1], ["trace_id", "dst_idx"]).select(
+            "trace_id", "src_idx", "dst_idx", (1 / F.sqrt(F.col("__src") * F.col("__dst"))).alias("__w"))
+        loops = degree.select("trace_id", F.col("node_idx").alias("src_idx"), F.col("node_idx").alias("dst_idx"), (1 / F.col("__deg")).alias("__w"))
+        links, number = weighted.unionByName(loops), F.sum
+    else:
+        links, number = edges.select("trace_id", "src_idx", "dst_idx", F.lit(1.0).alias("__w")), F.avg
+    links = cut_lineage(links.repartition("trace_id", "src_idx"))
+    now = nodes.select("trace_id", F.col("node_idx").alias("src_idx"), F.col(features).alias("__x"))
+    for _ in range(layers):
+        sent = links.join(now, ["trace_id", "src_idx"]).select("trace_id", F.col("dst_idx").alias("node_idx"), scaled("__x", F.col("__w")).alias("__m"))
+        summed = lane_aggregate(sent, ["trace_id", "node_idx"], "__m", width, number, name="__sum")
+        if kind == "sage":
+            zeros = F.array_repeat(F.lit(0.0), width)
+            summed = places.join(summed, ["trace_id", "node_idx"], "left").withColumn("__sum", unit_length(F.coalesce("__sum", zeros)))
+        now = cut_lineage(summed.select("trace_id", F.col("node_idx").alias("src_idx"), F.col("__sum").alias("__x")))
+    return now.select("trace_id", F.col("src_idx").alias("node_idx"), F.col("__x").alias("features"))
+
+
 def batch_ids(traces: DataFrame, size: int = 100) -> DataFrame:
     """Number the traces in name order and group them in batches of ``size``."""
     from traceaudit.operators.ranking import globally_ranked

@@ -115,26 +115,62 @@ def stratified_sample(traces: DataFrame, labels: DataFrame, controls: DataFrame
     target_agent, designed_hard_soft``; ``labels`` holds ``run_id, accepted,
     precheck_passed, final_label, rejection_reason``.
     """
-    full = cut_lineage(traces.join(labels, "run_id", "left"))       # the parts and the final rows read the joined table
-    accepted = full.filter("accepted")
-    if active:
-        accepted = accepted.filter(F.col("violation_id").isin(*active))
-    turned_down = full.filter("not accepted and precheck_passed")
-    parts = [("accepted", balanced_sample(accepted, "violation_id", "final_label", "run_id", per_type, seed)),
-             ("rejected", rejected_sample(turned_down, "rejection_reason", "run_id", rejected, seed))]
+    known = [c for c in labels.columns if c != "run_id"]
+    full = traces.join(labels, "run_id", "left").withColumn("__control", F.lit(False))
     if controls is not None:
-        for name in ("accepted", "final_label", "rejection_reason"):
+        for name in known:
             if name not in controls.columns:
                 controls = controls.withColumn(name, F.lit(None).cast(labels.schema[name].dataType))
-        controls = cut_lineage(controls)
-        parts.append(("control", control_sample(controls, "run_id", clean, seed)))
-        full = full.unionByName(controls, allowMissingColumns=True)
-    chosen = cut_lineage(combine_strata(parts, "run_id"))          # bounded by the sample sizes
-    return full.join(chosen.select("run_id"), "run_id", "left_semi").select(
+        full = full.unionByName(controls.withColumn("__control", F.lit(True)), allowMissingColumns=True)
+    rows = full.select(
         "run_id", "task_id", "violation_id", "target_agent", "designed_hard_soft",
-        stratum_label(F.col("violation_category"), F.col("violation_id"), F.col("accepted"),
-                      F.col("rejection_reason")).alias("stratum"),
-        "accepted", "final_label", "rejection_reason")
+        stratum_label(F.col("violation_category"), F.col("violation_id"), F.col("accepted"), F.col("rejection_reason")).alias("stratum"),
+        "accepted", "final_label", "rejection_reason", "precheck_passed", "__control", shuffle_key(seed, F.col("run_id")).alias("__key"))
+    typed = F.col("violation_id").isin(*active) if active else F.lit(True)
+    # Each row is offered to the one stratum that it may stand for; that stratum's smallest keys are all that is kept of it.
+    part = (F.when(F.col("__control"), "control")
+            .when(F.col("accepted") & typed & F.col("final_label").isin("hard", "soft"), "accepted")
+            .when(~F.col("accepted") & F.col("precheck_passed"), "rejected"))
+    cell = F.when(part == "accepted", F.concat_ws("|", "violation_id", "final_label")).when(part == "rejected", F.coalesce("rejection_reason", F.lit("unknown")))
+    offered = rows.withColumns({"__part": part, "__cell": F.coalesce(cell, F.lit(""))}).filter("__part is not null")
+    best = _smallest(offered, ["__part", "__cell"], max(per_type, rejected, clean))
+    return _within_quotas(best, per_type, rejected, clean).select(
+        "run_id", "task_id", "violation_id", "target_agent", "designed_hard_soft", "stratum", "accepted", "final_label", "rejection_reason")
+
+
+def _smallest(rows: DataFrame, groups: Sequence[str], limit: int) -> DataFrame:
+    """The ``limit`` rows of each group with the smallest keys, with their ``__rank``.
+
+    Each map task keeps as many before the shuffle, which makes it a mergeable
+    sketch of the smallest keys of all strata in one pass.
+    """
+    order = Window.partitionBy(*groups).orderBy("__key", "run_id")
+    return rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= limit)
+
+
+def _within_quotas(best: DataFrame, per_type: int, rejected: int, clean: int) -> DataFrame:
+    """What the quotas leave of the strata's smallest rows; all windows here run over those few rows."""
+    of_type = Window.partitionBy("__part", F.when(F.col("__part") == "accepted", F.col("violation_id")))
+    capped = F.col("__rank") <= per_type
+    hard, soft = (F.count_if(capped & (F.col("final_label") == label)).over(of_type) for label in ("hard", "soft"))
+    take_hard = F.least(F.lit(per_type // 2), hard)
+    take_soft = F.least(F.lit(per_type) - take_hard, soft)
+    take_hard = F.least(F.lit(per_type) - take_soft, hard)
+    in_part = Window.partitionBy("__part")
+    reasons = F.size(F.collect_set("__cell").over(in_part))
+    share = F.greatest(F.lit(1), F.floor(F.lit(rejected) / reasons))
+    sized = best.withColumns({"__hard": take_hard, "__soft": take_soft, "__share": share})
+    sized = sized.withColumn("__spare", F.lit(rejected) - F.count_if(F.col("__rank") <= F.col("__share")).over(in_part))
+    # What a reason has beyond its share stands in one line, in the order of the keys, for what is left of the total.
+    line = Window.partitionBy("__part", F.col("__rank") > F.col("__share")).orderBy("__key", "run_id")
+    sized = sized.withColumn("__place", F.row_number().over(line))
+    kept = (F.when(F.col("__part") == "control", F.col("__rank") <= clean)
+            .when(F.col("__part") == "accepted", F.col("__rank") <= F.when(F.col("final_label") == "hard", F.col("__hard")).otherwise(F.col("__soft")))
+            .otherwise((F.col("__rank") <= rejected) & ((F.col("__rank") <= F.col("__share")) | (F.col("__place") <= F.col("__spare")))))
+    chosen = sized.filter(kept)
+    # A run that several parts chose stands for the first of them.
+    first = F.when(F.col("__part") == "accepted", 0).when(F.col("__part") == "rejected", 1).otherwise(2)
+    return chosen.withColumn("__first", F.min(first).over(Window.partitionBy("run_id"))).filter(first == F.col("__first"))
 
 
 def assign_controls(clean: DataFrame, targets: Sequence[tuple[str, str]], id_column: str = "run_id",

@@ -78,6 +78,43 @@ def vocabulary(lists: DataFrame, max_features: int = 500, max_df: float = 0.9) -
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)
 
 
+# Terms that the sketch of one task tracks, and how many times as many candidates as wanted terms are counted again.
+TRACKED, SPARE = 100_000, 4
+
+
+def frequent_vocabulary(lists: DataFrame, max_features: int = 500, max_df: float = 0.9, tracked: int = TRACKED, spare: int = SPARE) -> DataFrame:
+    """The same as :func:`vocabulary`, without a shuffle of all terms.
+
+    A mergeable sketch per task finds candidates; they alone are counted again,
+    exactly. A term that is no candidate occurs at most as often as the last
+    candidate is estimated, or as the sketch can miss. If the last wanted term
+    occurs more often than that, the result is proven; else more candidates are
+    taken, and in the end all terms are counted.
+    """
+    sizes = lists.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+    room = 1
+    while room < tracked / 0.75:
+        room *= 2
+    missed = 3.5 * sizes["terms"] / room                   # the sketch's bound on what it does not tell
+    wanted = max_features * spare
+    every = lists.select(F.explode("terms").alias("term"))
+    while wanted <= min(tracked, 10_000) and sizes["terms"]:
+        found = every.agg(F.expr(f"approx_top_k(term, {wanted}, {tracked})").alias("top")).first()["top"]
+        bound = max(missed if missed >= 1 else 0, found[-1]["count"] if len(found) >= wanted else 0)
+        names = lists.sparkSession.createDataFrame([(r["item"],) for r in found], "term string")     # at most `wanted` rows
+        once = lists.select(F.explode(F.array_distinct("terms")).alias("term"))
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        both = every.select("term", one.alias("tf"), none.alias("df")).unionByName(once.select("term", none.alias("tf"), one.alias("df")))
+        counts = both.join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        kept = cut_lineage(counts.withColumn("docs", F.lit(sizes["n"]).cast("bigint")).filter(F.col("df") <= F.lit(max_df) * F.col("docs"))
+                           .orderBy(F.desc("tf"), "term").limit(max_features))
+        last = kept.agg(F.count(F.lit(1)), F.min("tf")).first()
+        if bound < 1 or (last[0] == max_features and last[1] > bound):
+            return kept.orderBy(F.desc("tf"), "term")
+        wanted *= 4
+    return vocabulary(lists, max_features, max_df)
+
+
 def fixed_vocabulary(vocab: DataFrame) -> list[dict]:
     """The vocabulary computed once, as at most ``max_features`` driver rows in its order."""
     return [r.asDict() for r in vocab.collect()]
@@ -129,7 +166,7 @@ def keywords(docs: DataFrame, key: str, text: str, top_n: int = 50, stop_words:
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
     lists = word_lists(docs, key, text, stop_words)
-    vocab = fixed_vocabulary(vocabulary(lists, max_features, max_df))
+    vocab = fixed_vocabulary(frequent_vocabulary(lists, max_features, max_df))
     if not vocab:
         return docs.select(F.lit("").alias("term"), F.lit(0.0).alias("score")).filter(F.lit(False))
     mean = weight_vectors(lists, key, vocab).agg(Summarizer.mean(F.col("weights")).alias("m"))

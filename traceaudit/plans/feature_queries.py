@@ -289,6 +289,22 @@ def propagate_sage(spark, folder):
     return _flat(graph.propagate(A.graph_nodes(spark, folder), A.graph_edges(spark, folder), 64, "sage"), ["trace_id", "node_idx"])
 
 
+def _layer(last: str, name: str) -> str:
+    return f"""{name}m AS (SELECT e.t, e.d AS n, v.dim, v.x / sqrt(a.d * b.d) AS x FROM e JOIN {last} v ON v.t = e.t AND v.n = e.s
+        JOIN deg a ON a.t = e.t AND a.n = e.s JOIN deg b ON b.t = e.t AND b.n = e.d
+      UNION ALL SELECT v.t, v.n, v.dim, v.x / d FROM {last} v JOIN deg USING (t, n)),
+{name} AS (SELECT t, n, dim, sum(x) AS x FROM {name}m GROUP BY ALL)"""
+
+
+@query("propagate_layers", f"""WITH {EDGES},
+deg AS (SELECT vec_id // 50 AS t, vec_id % 50 AS n, CASE WHEN vec_id % 50 > 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS d FROM embeddings),
+{_layer('v', 'l1')}, {_layer('l1', 'l2')}, {_layer('l2', 'l3')}
+SELECT t AS trace_id, n AS node_idx, dim, round(x, 5) + 0.0 AS x FROM l3""")
+def propagate_layers(spark, folder):
+    """Three layers of degree-normalised neighbour sums."""
+    return _flat(graph.propagate_layers(A.graph_nodes(spark, folder), A.graph_edges(spark, folder), 64, "gcn", 3), ["trace_id", "node_idx"])
+
+
 @query("hash_prompts", """SELECT doc_id, substr(sha256(text), 1, 16) AS prompt_hash FROM documents""")
 def hash_prompts(spark, folder):
     """Content hash of every document."""

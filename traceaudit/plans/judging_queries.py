@@ -221,6 +221,13 @@ def kappa_bootstrap_multinomial(spark, folder):
                       F.col("kappa").between(F.col("ci_low"), F.col("ci_high")).alias("inside"))
 
 
+@query("kappa_bootstrap_bounds")
+def kappa_bootstrap_bounds(spark, folder):
+    """Kappa of 1000 multinomial replicates with both bounds and the replicates used; the tests hold them against drawn indexes."""
+    out = agreement.kappa_bootstrap(_consensus(spark, folder), A.JUDGES)
+    return out.withColumns({c: rounded(F.col(c)) for c in ("kappa", "ci_low", "ci_high")})
+
+
 @query("pending_judgments", """
 WITH done AS (SELECT DISTINCT user_id AS trace_id, 'J' || CAST(event_id % 3 AS VARCHAR) AS judge_model,
                 CASE WHEN (event_id // 3) % 2 = 0 THEN 'j1' ELSE 'j2' END AS stage, (event_id // 6) % 12 AS run_idx
