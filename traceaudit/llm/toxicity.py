@@ -201,10 +201,10 @@ def score_texts(texts: pa.Array, chain: Chain) -> Iterator[tuple[float, float, l
     or more.
     """
     moves, tables = np.array(chain.moves), chain.tables()
-    for at, to, data, ends in pieces(pc.utf8_lower(texts)):
+    for at, to, raw, ends in pieces(pc.utf8_lower(texts)):
         n = to - at
-        top, total, flagged = np.full(n, -30.0), np.zeros(n), set()
-        data = plain_breaks(data)
+        top, total, spans = np.full(n, -30.0), np.zeros(n), [[] for _ in range(n)]
+        data = plain_breaks(raw)
         start, stop = word_edges(data, ends, BETWEEN) if len(data) else (np.zeros(0, dtype=np.int64),) * 2
         if len(start):
             known = Bytes(data)
@@ -218,28 +218,28 @@ def score_texts(texts: pa.Array, chain: Chain) -> Iterator[tuple[float, float, l
             most = np.maximum.reduceat(m, begins)
             np.maximum.at(top, own, np.log(np.clip(most, 1e-13, 1)) - np.log(np.clip(1 - most, 1e-13, 1)))
             total += np.bincount(owner, weights=np.where(m > LEAST_MARGINAL, m, 0.0), minlength=n)
-            flagged.update(own[most >= 0.5].tolist())
+            for text, first, last in _spans(m, owner, begins, start, stop, raw, ends):
+                spans[text].append((first, last))
         for i in range(n):
-            yield float(top[i]), float(np.log1p(total[i])), _spans(texts[at + i].as_py(), chain, moves) if i in flagged else []
-
-
-def _spans(text: str, chain: Chain, moves: np.ndarray) -> list[tuple[int, int]]:
-    """Offsets of the offending tokens of one text, neighbours merged."""
-    found: list[tuple[int, int]] = []
-    at = 0
-    for end in [m.span() for m in SENTENCE.finditer(text)] + [(len(text), len(text))]:
-        tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text, at, end[0])]
-        at = end[1]
-        if tokens:
-            m = marginals(np.array([[chain.emission(w.lower())] for _, _, w in tokens]), moves)[:, 0]
-            last = None
-            for k in np.flatnonzero(m >= 0.5):
-                if last is not None and k == last + 1:
-                    found[-1] = (found[-1][0], tokens[k][1])
-                else:
-                    found.append((tokens[k][0], tokens[k][1]))
-                last = k
-    return found
+            yield float(top[i]), float(np.log1p(total[i])), spans[i]
+
+
+def _spans(m: np.ndarray, owner: np.ndarray, begins: np.ndarray, start: np.ndarray, stop: np.ndarray, raw: np.ndarray,
+           ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, first code point, code point after the last) of the offending tokens, neighbours in a sentence merged.
+
+    Lower case has as many code points as the text itself.
+    """
+    bad = np.flatnonzero(m >= 0.5)
+    if not len(bad):
+        return
+    sentence = np.searchsorted(begins, bad, side="right")
+    joined = (np.diff(bad) == 1) & (np.diff(sentence) == 0)
+    first, last = bad[np.append(True, ~joined)], bad[np.append(~joined, True)]
+    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    text = owner[first]
+    base = chars[np.concatenate(([0], ends[:-1]))[text]]
+    yield from zip(text.tolist(), (chars[start[first]] - base).tolist(), (chars[stop[last] + 1] - base).tolist(), strict=True)
 
 
 def _evidence(docs: DataFrame, chain: Chain) -> DataFrame:
