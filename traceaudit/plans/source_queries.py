@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.operators import labels, selection
 from traceaudit.plans.registry import query
-from traceaudit.plans.span_queries import CALLS, write_logs
+from traceaudit.plans.span_queries import CALLS, logs_of
 from traceaudit.session import durable_dir
 from traceaudit.sources import adapters as A
 from traceaudit.sources import logsource as L
@@ -45,9 +45,7 @@ SELECT 'run' || trace_id AS log, 'span' || CAST(span_idx % 4 AS VARCHAR) AS name
 FROM call WHERE span_idx % 5 <> 0 AND agent = 'APIPlannerAgent' AND span_idx % 4 IN (1, 2, 3) GROUP BY ALL""")
 def span_log_filtered(spark, folder):
     """Spans of one agent and some names, filtered and cut to four columns inside the log format."""
-    target = _place(spark)
-    write_logs(spark, folder, target)
-    rows = L.read_spans(spark, target, "*.txt", ("log_path", "name", "agent"), 1 << 20)
+    rows = L.read_spans(spark, logs_of(spark, folder), "*.txt", ("log_path", "name", "agent"), 1 << 20)
     kept = rows.filter((F.col("agent") == "APIPlannerAgent") & F.col("name").isin("span1", "span2", "span3"))
     return kept.groupBy(_log().alias("log"), "name", "agent").agg(F.count(F.lit(1)).alias("n"))
 
@@ -65,17 +63,14 @@ def _span_rows(rows: DataFrame) -> DataFrame:
 @query("span_log_batch", _SPAN_ROWS)
 def span_log_batch(spark, folder):
     """All columns of the log format, read as a batch."""
-    target = _place(spark)
-    write_logs(spark, folder, target)
-    return _span_rows(L.read_spans(spark, target, "*.txt", split_bytes=1 << 20))
+    return _span_rows(L.read_spans(spark, logs_of(spark, folder), "*.txt", split_bytes=1 << 20))
 
 
 @query("span_log_stream", _SPAN_ROWS)
 def span_log_stream(spark, folder):
     """The same rows from the log format read as a stream."""
     target = _place(spark)
-    write_logs(spark, folder, f"{target}/logs")
-    rows = _span_rows(L.stream_spans(spark, f"{target}/logs", "*.txt", split_bytes=1 << 20))
+    rows = _span_rows(L.stream_spans(spark, logs_of(spark, folder), "*.txt", split_bytes=1 << 20))
     (rows.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/cp")
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(rows.schema).parquet(f"{target}/out")
@@ -292,3 +287,31 @@ def log_report(spark, folder):
     body = F.when(F.col("user_id") % 3 > 0, '{"name": "a", "attributes": {}}\n').otherwise("no span\n")
     target = write_files(users.select(F.format_string("u%s/task.log", "user_id").alias("name"), body.alias("body")), _place(spark))
     return S.ingest_report(S.list_logs(spark, target), S.ingest_spans(spark, target))
+
+
+@query("list_attributes", """
+SELECT 'doc' || doc_id AS name, lang AS first_of_list, '' AS first_of_none, CAST(doc_id AS VARCHAR) AS number, '["a","b"]' AS text FROM documents""")
+def list_attributes(spark, folder):
+    """Attributes that are lists stand for their first element, texts that look like lists for themselves."""
+    d = A.table(spark, folder, "documents")
+    held = F.to_json(F.struct(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.struct(
+        F.array("lang", "source").alias("list"), F.array().cast("array<string>").alias("none"), F.col("doc_id").alias("number"), F.lit('["a","b"]').alias("text")).alias("attributes")))
+    target = _place(spark)
+    d.select(held.alias("value")).write.text(target)
+    spans = S.ingest_spans(spark, target, "split", "*.txt")
+    return spans.select("name", *[selection.attr(k).alias(n) for k, n in (("list", "first_of_list"), ("none", "first_of_none"), ("number", "number"), ("text", "text"))])
+
+
+_INPUT = """CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN text || '## variable_1' WHEN 2 THEN 'Variables History ' || text WHEN 3 THEN 'Variables History: No variables stored' || text
+  WHEN 4 THEN 'Relevant variables from history' || text || '# Variables Summary' WHEN 5 THEN 'Relevant Variables from History # Variables Summary'
+  WHEN 6 THEN 'Relevant variables from history' || text ELSE NULL END"""
+
+
+@query("inputs_with_variables", f"""
+WITH t AS (SELECT doc_id, {_INPUT} AS t FROM documents)
+SELECT doc_id, coalesce(contains(t, '## variable_') OR (contains(t, 'Variables History') AND NOT contains(t, 'No variables stored'))
+  OR ((contains(t, 'Relevant variables from history') OR contains(t, 'Relevant Variables from History')) AND contains(t, '# Variables Summary')), false) AS has_variables FROM t""")
+def inputs_with_variables(spark, folder):
+    """Which inputs carry variables of earlier steps, over all ways to say so."""
+    d = A.table(spark, folder, "documents")
+    return d.select("doc_id", selection.has_variables(F.expr(_INPUT)).alias("has_variables"))
