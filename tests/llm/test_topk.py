@@ -48,3 +48,40 @@ def test_large_numbers_are_exact():
     q = np.array([[2.0 ** 30 + 1, 3.0]])
     x = np.array([[2.0 ** 30 + 3, 5.0], [-(2.0 ** 32), 1.0]])
     assert topk._scores(q, x).tolist() == [[(2 ** 30 + 1) * (2 ** 30 + 3) + 15, -(2 ** 30 + 1) * 2 ** 32 + 3]]
+
+
+def shipped(spark, monkeypatch, rows):
+    """Pairs of blocks that are made, and the result."""
+    counts, plain = [], topk.block_pairs
+
+    def counted(*args):
+        pairs = plain(*args)
+        assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
+        counts.append(pairs.count())
+        return pairs
+
+    with monkeypatch.context() as m:
+        m.setattr(topk, "BLOCK", 20)
+        m.setattr(topk, "QUERY_BLOCK", 10)
+        m.setattr(topk, "block_pairs", counted)
+        got = run(spark, rows, 5, 4)
+        return sum(counts), got
+
+
+def test_pairs_are_left_out_before_they_are_made(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    units = rng.normal(size=(400, 8))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    even = [(i, [float(x) for x in v]) for i, v in enumerate(units)]
+    skewed = [(i, [float(x) * 30 / (1 + i) for x in v]) for i, v in enumerate(units)]
+    all_pairs = 20 * 8                                                # blocks of candidates times blocks of queries
+    made, got = shipped(spark, monkeypatch, even)
+    assert set(got) == brute(even, 5, 4) and made <= all_pairs
+    fewer, got = shipped(spark, monkeypatch, skewed)
+    assert set(got) == brute(skewed, 5, 4) and fewer < all_pairs / 3
+
+
+def test_negative_products_and_empty_lengths(spark, monkeypatch):
+    rows = [(i, [-1.0 - i % 7, -0.5]) if i % 5 else (i, [1.0, 2.0 + i % 3]) for i in range(1, 90)] + [(100, [0.0, 0.0]), (105, [0.0, 0.0])]
+    made, got = shipped(spark, monkeypatch, rows)
+    assert set(got) == brute(rows, 5, 4) and len(got) == len(set(got))

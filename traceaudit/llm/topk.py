@@ -3,9 +3,11 @@
 Candidates are laid out in blocks of descending length. Vectors are rotated to
 the principal axes of the candidates, so that a few leading coordinates carry
 most of a product; the rest is bounded by the Cauchy-Schwarz inequality. Queries
-meet the longest block first, which sets their thresholds; after that a block is
-left out if its length cannot reach the threshold, and a row if its partial sum
-plus the bound cannot. What is left is scored in whole numbers.
+meet the blocks in rounds of descending length, twice as many blocks each time, with
+thresholds renewed in between. A pair of blocks is made only if the longest
+candidate can reach the threshold of a query, and the search ends with the first
+round that has none; inside a pair a row is left out if its partial sum plus the
+bound cannot. What is left is scored in whole numbers.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import stored
+from traceaudit.llm.common import stored, tidied
 from traceaudit.operators.ranking import globally_ranked
 
 SCALE = 64
@@ -26,6 +28,8 @@ BLOCK = 4_096
 QUERY_BLOCK = 2_048
 LEADING = 16
 MOST_PARTS = 2_000
+# Share and amount by which bounds are widened against rounding.
+SLACK = 1e-6
 # Sums of products below this are exact in floating point.
 EXACT = float(2 ** 53)
 
@@ -101,7 +105,7 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def best_in_block(qid: np.ndarray, q: np.ndarray, least: np.ndarray, cid: np.ndarray, x: np.ndarray, top: float, basis: np.ndarray,
                   k: int, leading: int = LEADING) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, candidates, scores) of up to ``k`` rows of one block for each query; rows that cannot reach ``least`` are passed over."""
-    slack = 1e-6
+    slack = SLACK
     reach = np.sqrt((q * q).sum(axis=1)) * top
     asked = np.flatnonzero(reach * (1 + slack) + slack >= least)
     if not len(asked) or not len(cid):
@@ -145,6 +149,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+@tidied
 def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id ``every`` divides, the ``k`` rows with the largest inner products.
 
@@ -168,21 +173,52 @@ def top_inner_products(vectors: DataFrame, every: int = 20, k: int = 20) -> Data
     placed = stored(_blocks(rows, BLOCK, [F.desc("norm"), F.col("vec_id")], "block"))
     packed = stored(_packed(placed, "block", width))
     asked = stored(_blocks(rows.filter(F.pmod("vec_id", F.lit(every)) == 0), QUERY_BLOCK, [F.col("vec_id")], "q_block"))
-    first = [r["block"] for r in packed.orderBy(F.desc("top"), "block").select("block").limit(1).collect()]
-    open_ = _packed(asked.withColumn("least", F.lit(float("-inf"))), "q_block", width, ("least",))
-    named = lambda d: d.withColumnRenamed("ids", "q_ids").withColumnRenamed("data", "q_data").drop("top")
-    seed = _search(named(open_).withColumn("_b", F.lit(first[0])).join(packed, F.col("_b") == F.col("block")).drop("_b"), basis, width, k)
-    seen = stored(_ranked(seed, k).select("query_id", "vec_id", "score"))
-    # The k-th score so far: nothing below it can be among the best k. Fewer than k: no threshold.
-    level = seen.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("_level"))
-    known = (asked.join(level, F.col("vec_id") == F.col("query_id"), "left")
-             .withColumn("least", F.coalesce("_level", F.lit(float("-inf")))).drop("_level", "query_id"))
-    queries = named(stored(_packed(known, "q_block", width, ("least",))))
-    others = packed.filter(F.col("block") != first[0])
-    names = [r["block"] for r in others.select("block").collect()]                # a name for each block
+    total = packed.count()
+    seen, low, span = None, 0, 1
+    while low < total:
+        found = _round(asked, packed, seen, low, low + span, basis, width, k)
+        if found is None:                                 # all later blocks are shorter still
+            break
+        seen, low, span = found, low + span, 2 * span
+    if seen is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return _ranked(seen, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _round(asked: DataFrame, packed: DataFrame, seen: DataFrame | None, low: int, high: int, basis: np.ndarray, width: int, k: int) -> DataFrame | None:
+    """The best rows after some more blocks, stored; None if none of these blocks can hold one."""
+    known = asked.withColumn("least", F.lit(float("-inf")))
+    if seen is not None:
+        # The k-th score so far: nothing below it can be among the best k. Fewer than k: no threshold.
+        level = seen.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("_level"))
+        known = (asked.join(level, F.col("vec_id") == F.col("query_id"), "left")
+                 .withColumn("least", F.coalesce("_level", F.lit(float("-inf")))).drop("_level", "query_id"))
+    known = stored(known)
+    pairs = stored(block_pairs(known, packed, low, high))
+    made = pairs.count()
+    if not made:
+        return None
+    queries = (_packed(known.join(pairs.select(F.col("q_block").alias("_q")).distinct(), F.col("q_block") == F.col("_q"), "left_semi"), "q_block", width, ("least",))
+               .withColumnRenamed("ids", "q_ids").withColumnRenamed("data", "q_data").drop("top"))
     # Query blocks travel to the candidate blocks; a fixed number of parts keeps one block to a task where there are few.
-    parts = max(1, min(len(names), MOST_PARTS))
-    asking = queries.withColumn("_b", F.explode(F.lit(names).cast("array<string>"))).repartition(parts, "_b")
-    pairs = asking.join(others.repartition(parts, "block"), F.col("_b") == F.col("block")).drop("_b")
-    return _ranked(seen.unionByName(_search(pairs, basis, width, k)), k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    parts = max(1, min(made, MOST_PARTS))
+    met = pairs.join(queries.withColumnRenamed("q_block", "_q"), F.col("q_block") == F.col("_q")).drop("_q", "q_block").withColumnRenamed("block", "_b")
+    both = met.repartition(parts, "_b").join(packed.repartition(parts, "block"), F.col("_b") == F.col("block")).drop("_b")
+    found = _search(both, basis, width, k)
+    best = found if seen is None else seen.unionByName(found)
+    return stored(_ranked(best, k).select("query_id", "vec_id", "score"))
+
+
+def block_pairs(known: DataFrame, packed: DataFrame, low: int, high: int) -> DataFrame:
+    """(q_block, block) of the candidate blocks number ``low`` to ``high`` - 1 that a query block has to meet: some query's
+    threshold is within its own length times that of the longest candidate.
+
+    This is decided on one number per block; vectors travel for these pairs only.
+    """
+    free = (F.col("least") == float("-inf")) | ((F.col("norm") == 0) & (F.col("least") <= SLACK))
+    need = (F.when(free, float("-inf")).when(F.col("norm") == 0, float("inf"))
+            .otherwise((F.col("least") - SLACK) / (F.col("norm") * (1 + SLACK)) * (1 - F.signum(F.col("least") - SLACK) * 1e-9)))
+    wanted = known.groupBy("q_block").agg(F.min(need).alias("need"))
+    number = F.col("block").cast("long")
+    some = packed.select("block", "top").filter((number >= low) & (number < high))
+    return some.join(wanted, F.col("top") >= F.col("need")).select("q_block", "block")
