@@ -47,3 +47,13 @@ def test_only_unseen_pairs_are_scanned(spark, corpus):
 
 def test_empty_table(corpus):
     assert secrets.secret_report(corpus([])).count() == 0
+
+
+def test_credentials_of_any_length_in_addresses(corpus):
+    user, key = "u" * 300, "k" * 70_000
+    texts = [f"see https://{user}:{key}@host.example/x", "ftp://a:bcd@h", "postgres://me:secr3t@db.local:5432", "http://plain.example:80/p@q", "git+ssh://x:yyyy@h and http://a:zzzz@i"]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(corpus(list(enumerate(texts))), rules=secrets.MORE_RULES).collect()}
+    want = r"[a-z][a-z0-9+]{1,15}://[^\s/:@]+:[^\s/@]{4,}@[A-Za-z0-9.-]+"
+    for i, text in enumerate(texts):
+        assert got[i] == ",".join(f"url:{m.start()}:{m.end()}" for m in re.finditer(want, text))
+    assert got[0].endswith(str(len(texts[0]) - 2)) and got[1] == got[3] == ""

@@ -45,7 +45,7 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"PRIVATE KEY-----"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"\.eyJ"),
-    Rule("url", 1, r"[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:[^\s/@]{4,128}@[A-Za-z0-9.-]+", r"://[^\s/@]+@"),
+    Rule("url", 2, r"[a-z][a-z0-9+]{1,15}://[^\s/:@]+:[^\s/@]{4,}@[A-Za-z0-9.-]+", r"://[^\s/@]+@"),
 )
 
 
