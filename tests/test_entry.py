@@ -14,6 +14,8 @@ assert e.entry(spark).count() == 6
 for name in ("parse_verdicts", "clean_texts", "validity_features", "kappa_bootstrap_multinomial"):
     assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     e.queries()[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+for name in ("span_log_stream", "early_verdicts"):        # their workers see no files that were added to the session
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 print("fine")
 """
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from traceaudit.operators.judging import HARD, NONE, POLICY_ABSENT, POLICY_PRESENT, SOFT, STAGES
+from traceaudit.session import send_whole
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COLUMNS = ("trace_id", "judge_model", "stage", "run_idx", "judgment")
@@ -109,6 +110,7 @@ def early_verdicts(judgments: DataFrame, time: str = "ts", delay: str = "10 minu
     others; its state is dropped ``keep_minutes`` after that. Votes older than the
     watermark are not dropped but judged by the state. Start the result with :func:`start`.
     """
+    send_whole(__name__)
     kind = judgments.schema
     rows = judgments.withWatermark(time, delay).select(*COLUMNS, judgments[time].alias("ts"))
     schema = f"trace_id {kind['trace_id'].dataType.simpleString()}, judge_model {kind['judge_model'].dataType.simpleString()}, {OUTPUT}"
