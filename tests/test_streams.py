@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_spans import chat, write
 from traceaudit.operators import judging
+from traceaudit.sources import spans
 from traceaudit.sources.spans import ingest_spans
 from traceaudit.streaming import streams
 
@@ -79,3 +80,19 @@ def test_log_stream_takes_only_new_files(spark, tmp_path):
     want = ingest_spans(spark, str(logs)).select(columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
     assert got.filter(F.col("log_file") == "b.log").count() == 1
+
+
+def test_batches_of_small_logs_are_numbered_without_a_shuffle(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for n in range(5):
+        write(logs, f"{n}.log", chat(f"A{n}"), "noise", *[chat(f"B{i}") for i in range(n)])
+    files = [(f"file:{p}", f"name:{p}", p.stat().st_size) for p in sorted(logs.iterdir())]
+    small = spans.spans_of_files(spark, files)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
+    columns = ["log_file", "span_idx", "name", "attributes", "span_json"]
+    want = sorted(repr(r) for r in ingest_spans(spark, str(logs)).select(columns).collect())
+    assert sorted(repr(r) for r in small.select(columns).collect()) == want
+    assert {r.log_path for r in small.collect()} == {name for _, name, _ in files[1:]}          # the only piece of the first is broken
+    # Files of several ranges are numbered across them.
+    assert sorted(repr(r) for r in spans.spans_of_files(spark, files, 16).select(columns).collect()) == want
