@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceaudit.session import cut_lineage
-from traceaudit.sources.files import TAIL, Reader, list_files
+from traceaudit.sources.files import TAIL, Reader, list_files, task_count
 
 SPLIT_BYTES = 64 << 20
 QUOTE, SLASH = 0x22, 0x5C
@@ -176,9 +176,11 @@ def read_json_array(spark: SparkSession, path: str, key: str = "runs", glob: str
 
     files = list_files(path, glob)
     parts = [(uri, first, min(size, first + split_bytes), size) for uri, size, _ in files for first in range(0, size, split_bytes)]
-    ranges = spark.createDataFrame(parts, "log_path string, first bigint, last bigint, size bigint")
-    if parts:
-        ranges = ranges.repartition(min(len(parts), 100_000), "log_path", "first")
+    tasks = task_count([last - first for _, first, last, _ in parts], spark.sparkContext.defaultParallelism)
+    schema = pa.schema([("log_path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("size", pa.int64())])
+    columns = zip(*parts, strict=True) if parts else [[], [], [], []]
+    ranges = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+    ranges = ranges.repartition(tasks, "log_path", "first")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +215,7 @@ def read_json_array(spark: SparkSession, path: str, key: str = "runs", glob: str
                     if held:
                         yield _rows(uri, held)
 
-    return known.repartition("log_path", "first").mapInArrow(read, "log_path string, start bigint, text string")
+    return known.repartition(tasks, "log_path", "first").mapInArrow(read, "log_path string, start bigint, text string")
 
 
 def _rows(uri: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
