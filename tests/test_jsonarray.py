@@ -64,3 +64,35 @@ def test_read_by_many_tasks(spark, tmp_path):
         got.setdefault(r.log_path.rsplit("/", 1)[-1], []).append((r.pos, json.loads(r.text)))
     assert {k: sorted(v, key=lambda x: x[0]) for k, v in got.items()} == {"a.json": list(enumerate(rows)), "b.json": list(enumerate(rows[:7]))}
     assert J.read_json_array(spark, str(tmp_path), split_bytes=256).rdd.getNumPartitions() >= 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_range_is_looked_at_in_pieces(tmp_path, seed, monkeypatch):
+    rng = random.Random(seed)
+    sizes = []
+    read = Reader.read
+    monkeypatch.setattr(Reader, "read", lambda self, start, stop: (sizes.append(stop - start), read(self, start, stop))[1])
+    for n, piece in enumerate((1, 3, 10, 64)):
+        monkeypatch.setattr(J, "PIECE", piece)
+        monkeypatch.setattr(J, "TAIL", 64)
+        rows = [value(rng) for _ in range(30)]
+        path = tmp_path / f"{n}.json"
+        path.write_text(json.dumps({"note": 'say "runs": [1]', "runs": rows, "after": [[4], 5]}), encoding="utf-8")
+        for split in (7, 50, 1 << 20):
+            assert in_pieces(path, "runs", split) == rows, (n, split)
+    assert max(sizes) <= 64
+
+
+def test_files_are_written_piece_by_piece(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from traceaudit.plans.span_queries import write_pieces
+    items = spark.range(3000).select(F.concat(F.lit("f"), (F.col("id") % 3).cast("string"), F.lit("/x.json")).alias("name"), F.lit(True).alias("item"),
+                                     F.col("id").alias("pos"), F.col("id").cast("string").alias("value"))
+    ends = items.select("name").distinct().select("name", F.lit(False).alias("item"), F.inline(F.expr("array(struct(-1L as pos, '[' as value), struct(9999L as pos, ']' as value))")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        write_pieces(items.unionByName(ends), str(tmp_path), ",")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in range(3):
+        assert json.loads((tmp_path / f"f{k}" / "x.json").read_text()) == list(range(k, 3000, 3))

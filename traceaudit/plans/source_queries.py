@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from traceaudit.operators import labels, selection
 from traceaudit.plans.registry import query
-from traceaudit.plans.span_queries import CALLS, logs_of
+from traceaudit.plans.span_queries import CALLS, logs_of, write_pieces
 from traceaudit.session import durable_dir
 from traceaudit.sources import adapters as A
 from traceaudit.sources import logsource as L
@@ -106,10 +106,14 @@ def _runs(spark, folder) -> DataFrame:
 def _manifests(spark, folder) -> str:
     """Manifests of forty parts: JSON objects, every third one a bare list."""
     run = F.struct("run_id", "task_id", "agent", "violation_id", "run_status", "log_path", "task_pass_percentage")
-    parts = _runs(spark, folder).groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", run.alias("run")))), lambda r: r["run"]).alias("runs"))
-    text = F.to_json("runs")
-    body = F.when(F.col("part") % 3 == 0, text).otherwise(F.concat(F.lit('{"made": [1, {"runs": [2]}], "runs": '), text, F.lit(', "end": "]"}')))
-    return write_files(parts.select(F.format_string("part%s/manifest.json", "part").alias("name"), body.alias("body")), _place(spark))
+    runs = _runs(spark, folder)
+    bare = F.col("part") % 3 == 0
+    head = F.struct(F.lit(-1).cast("bigint").alias("pos"), F.when(bare, "[").otherwise('{"made": [1, {"runs": [2]}], "runs": [').alias("value"))
+    end = F.struct(F.lit((1 << 63) - 1).alias("pos"), F.when(bare, "]").otherwise('], "end": "]"}').alias("value"))
+    name = F.format_string("part%s/manifest.json", "part").alias("name")
+    around = runs.select("part").distinct().select(name, F.lit(False).alias("item"), F.inline(F.array(head, end)))
+    items = runs.select(name, F.lit(True).alias("item"), F.col("pos").cast("bigint").alias("pos"), F.to_json(run).alias("value"))
+    return write_pieces(items.unionByName(around), _place(spark), ",")
 
 
 @query("manifest_runs", f"""WITH {_RUNS} SELECT {_RUN_COLUMNS},

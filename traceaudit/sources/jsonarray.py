@@ -23,6 +23,7 @@ from traceaudit.session import cut_lineage
 from traceaudit.sources.files import TAIL, Reader, list_files, task_count
 
 SPLIT_BYTES = 64 << 20
+PIECE = 2 << 20                                            # bytes of a range looked at at a time
 QUOTE, SLASH = 0x22, 0x5C
 _TURN = np.zeros(256, dtype=np.int8)
 _TURN[[0x5B, 0x7B]] = 1
@@ -81,23 +82,42 @@ def _openings(reader: Reader, data: bytes, first: int, key: str) -> list[int]:
     return sorted(at for at in found if at >= 0)
 
 
+def _slashes_after(raw: bytes, before: int) -> int:
+    """How many backslashes stand right before the end of some bytes that follow ``before`` of them."""
+    tail = len(raw) - len(raw.rstrip(b"\\"))
+    return tail + (before if tail == len(raw) else 0)
+
+
 def _summary(reader: Reader, uri: str, first: int, last: int, size: int, key: str) -> dict:
-    raw = reader.read(first, last)
-    data = np.frombuffer(raw, dtype=np.uint8)
+    """The step of a range, read block by block: memory is that of a block, whatever the range."""
     slashes = _escaped_before(reader, first)
-    openings = np.array(_openings(reader, raw, first, key), dtype=np.int64)
-    row = {"log_path": uri, "first": first, "last": last, "size": size, "opens": []}
+    parity, turn, lows, opens = [0, 1], [0, 0], [[], []], []
+    for at in range(first, max(last, first + 1), PIECE):
+        raw = reader.read(at, min(last, at + PIECE))
+        data = np.frombuffer(raw, dtype=np.uint8)
+        openings = np.array(_openings(reader, raw, at, key), dtype=np.int64)
+        for inside in (0, 1):
+            places, turns, parity[inside] = _walk(data, parity[inside], slashes)
+            depth = turn[inside] + np.cumsum(turns)
+            low = np.minimum.accumulate(depth[::-1])[::-1]     # the lowest depth from here on
+            for k in np.flatnonzero(np.isin(places, openings)):
+                after = int(low[k + 1]) if k + 1 < len(low) else None
+                opens.append((at + int(places[k]), inside, int(depth[k]), after, len(lows[inside])))
+            lows[inside].append(int(low[0]) if len(low) else None)
+            turn[inside] = int(depth[-1]) if len(depth) else turn[inside]
+        slashes = _slashes_after(raw, slashes)
+    row = {"log_path": uri, "first": first, "last": last, "size": size, "outside": parity[0], "opens": []}  # the other beginning ends the other way round
+    later: list[list[int | None]] = []                          # the lowest depth in the blocks after each
     for inside, name in ((0, "out"), (1, "in")):
-        places, turns, parity = _walk(data, inside, slashes)
-        depth = np.cumsum(turns)
-        if not inside:
-            row["outside"] = parity                        # the other beginning ends the other way round
-        row[f"{name}_turn"] = int(depth[-1]) if len(depth) else 0
-        row[f"{name}_low"] = int(depth.min()) if len(depth) else 0
-        low = np.minimum.accumulate(depth[::-1])[::-1]     # the lowest depth from here on
-        for k in np.flatnonzero(np.isin(places, openings)):
-            after = int(low[k + 1]) if k + 1 < len(low) else int(depth[k])
-            row["opens"].append({"at": first + int(places[k]), "inside": inside, "depth": int(depth[k]) - 1, "low": after})
+        least, after = None, []
+        for one in reversed(lows[inside]):
+            after.append(least)
+            least = one if least is None else least if one is None else min(one, least)
+        later.append(after[::-1])
+        row[f"{name}_turn"], row[f"{name}_low"] = turn[inside], 0 if least is None else least
+    for at, inside, depth, after, block in sorted(opens, key=lambda o: (o[1], o[0])):
+        below = [x for x in (after, later[inside][block]) if x is not None]
+        row["opens"].append({"at": at, "inside": inside, "depth": depth - 1, "low": min(below) if below else depth})
     return row
 
 
@@ -129,7 +149,7 @@ def _joined(steps: pd.DataFrame) -> pd.DataFrame:
 def _elements(reader: Reader, first: int, last: int, size: int, inside: int, depth: int, opened: int, target: int) -> Iterator[tuple[int, bytes]]:
     """(place, text) of the elements that begin in a range: after the opening bracket or a comma that stands in it."""
     begin, parts = None, []                                    # the element that is being read
-    at, stop, slashes = first, last, _escaped_before(reader, first)
+    at, stop, slashes = first, min(last, first + PIECE), _escaped_before(reader, first)
     while at < size:
         raw = reader.read(at, stop)
         data = np.frombuffer(raw, dtype=np.uint8)
@@ -158,9 +178,8 @@ def _elements(reader: Reader, first: int, last: int, size: int, inside: int, dep
         if begin is not None:
             parts.append(raw[used:])
         inside, depth = int(parity[-1]), int(level[-1])
-        tail = len(raw) - len(raw.rstrip(b"\\"))
-        slashes = tail + (slashes if tail == len(raw) else 0)
-        at, stop = at + len(raw), min(size, at + len(raw) + TAIL)
+        slashes, at = _slashes_after(raw, slashes), at + len(raw)
+        stop = min(last, at + PIECE) if at < last else min(size, at + TAIL)
 
 
 def read_json_array(spark: SparkSession, path: str, key: str = "runs", glob: str = "*.json", split_bytes: int = SPLIT_BYTES,
