@@ -96,3 +96,9 @@ def test_files_are_written_piece_by_piece(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for k in range(3):
         assert json.loads((tmp_path / f"f{k}" / "x.json").read_text()) == list(range(k, 3000, 3))
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    for n in range(80):
+        (tmp_path / f"{n}.json").write_text(json.dumps([n, n + 1]))
+    assert J.read_json_array(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
