@@ -1,3 +1,4 @@
+import importlib
 import random
 import re
 from collections import Counter
@@ -136,6 +137,15 @@ def folders(spark):
     return {f.getPath().getName() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)}
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    written, module = [], importlib.import_module("traceaudit.llm.components")
+    monkeypatch.setattr(module, "stored", lambda df: written.append(1) or common.stored(df))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 60)], "a long, b long")
+    assert {r.node: r.root for r in components(stars).collect()} == {i: i % 3 for i in range(3, 60)} and len(written) == 1
+    joined = stars.unionByName(spark.createDataFrame([(58, 59), (2, 3)], "a long, b long"))
+    assert {r.node: r.root for r in components(joined).collect()} == {i: 0 for i in range(1, 60)}
+
+
 def test_only_what_the_result_reads_stays_stored(spark, corpus, monkeypatch):
     monkeypatch.setattr(jaccard, "CROWD", 3)
     docs, before, listed = corpus(corpus_rows()), folders(spark), len(common._STORED)

@@ -25,17 +25,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of every node that ``edges`` (a, b) touches, but roots.
 
-    Each round halves the depth of the trees; the edges are stored between rounds.
+    Each round halves the depth of the trees; the edges are stored between rounds. Edges that are stars already take no round.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct())
-    mark = _mark(now)
-    while True:
+    while not _settled(now):
         now = stored(_star(stored(_star(now, True)), False))
-        after = _mark(now)
-        if after == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges to smaller nodes are stars: no node has two of them, or has one and is the end of others."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    per = ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.count(F.lit(1)).alias("n"))
+    return per.filter((F.col("ups") > 0) & (F.col("n") > 1)).isEmpty()

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,12 +125,11 @@ def frequency_sketch(surveyed: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_grams(docs: DataFrame, sketch: np.ndarray, hot_rows: int = HOT_ROWS) -> DataFrame:
+def prefix_grams(docs: DataFrame, sketch: Broadcast, hot_rows: int = HOT_ROWS) -> DataFrame:
     """gram, salt, node, n, pos: the first grams of each set in the order (bucket frequency, hash), one row each.
 
     A set of n grams needs the first n // 4 + 1 of them. ``salt`` deals the rows of a hot gram to several groups; it is -1 for others.
     """
-    sketch = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -352,28 +352,34 @@ def linked_classes(docs: DataFrame, surveyed: DataFrame) -> tuple[DataFrame, Dat
     rows = surveyed.filter("node is not null")
     classes = stored(rows.groupBy("node").agg(F.min("_h").alias("_h"), F.max("n").alias("n"), F.max("bins").alias("bins"), F.count(F.lit(1)).alias("copies"),
                                                 F.min(F.struct("_h", F.col("doc_id").isNull().alias("_none"), "doc_id")).alias("_one")))
-    links, mixed, tried = _connected(docs, surveyed, classes)
+    roots, mixed, tried = _connected(docs, surveyed, classes)
     rest = open_pairs(mixed).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verify(suffix_filter(rest, classes), classes, docs))
-    return classes, components(links)
+    return classes, _grown(roots, verify(suffix_filter(rest, classes), classes, docs))
+
+
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: what was linked before is a star of one edge a node, not all its links."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 @tidied
 def _first_meetings(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, groups that are still mixed, pairs tried) after each group's first and last class have met the others."""
-    shared = shared_grams(prefix_grams(docs, frequency_sketch(surveyed)))
+    """(roots, groups that are still mixed, pairs tried) after each group's first and last class have met the others."""
+    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(surveyed))
+    shared = shared_grams(prefix_grams(docs, sketch))
+    sketch.destroy()                                              # 16 MB on the driver and on each executor
     tried = star_pairs(shared)
-    links = verify(suffix_filter(tried, classes), classes, docs)
-    return links, mixed_groups(shared, components(links)), tried
+    roots = components(verify(suffix_filter(tried, classes), classes, docs))
+    return roots, mixed_groups(shared, roots), tried
 
 
 @tidied
 def _connected(docs: DataFrame, surveyed: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same after crowded groups have met their pivots as well."""
-    links, mixed, tried = _first_meetings(docs, surveyed, classes)
+    roots, mixed, tried = _first_meetings(docs, surveyed, classes)
     pairs = stored(pivot_pairs(mixed).join(tried, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(verify(suffix_filter(pairs, classes), classes, docs)))
-    return links, mixed_groups(mixed, components(links)), stored(tried.unionByName(pairs))
+    roots = _grown(roots, verify(suffix_filter(pairs, classes), classes, docs))
+    return roots, mixed_groups(mixed, roots), stored(tried.unionByName(pairs))
 
 
 @tidied
