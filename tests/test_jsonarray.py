@@ -102,3 +102,11 @@ def test_many_small_files_share_tasks(spark, tmp_path):
     for n in range(80):
         (tmp_path / f"{n}.json").write_text(json.dumps([n, n + 1]))
     assert J.read_json_array(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_many_files_cost_no_table_each(spark, tmp_path, monkeypatch):
+    for n in range(40):
+        (tmp_path / f"f{n:02}.json").write_text('{"note": "runs\\": [", "runs": [%s]}' % ", ".join(f'{{"n": {n}, "k": {k}}}' for k in range(n)))
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda *_: pytest.fail("a pandas table for one file"))
+    got = [(json.loads(r.text)["n"], json.loads(r.text)["k"]) for r in J.read_json_array(spark, str(tmp_path), split_bytes=64).orderBy("log_path", "start").collect()]
+    assert got == [(n, k) for n in range(40) for k in range(n)]

@@ -31,6 +31,8 @@ _TURN[[0x5D, 0x7D]] = -1
 STEPS = ("log_path string, first bigint, last bigint, size bigint, outside int, out_turn bigint, out_low bigint, in_turn bigint, in_low bigint, "
          "opens array<struct<at:bigint,inside:int,depth:bigint,low:bigint>>")
 
+PLACED = pa.schema([("log_path", pa.string()), *[(n, pa.int64()) for n in ("first", "last", "size", "inside", "depth", "opened", "target")]])
+
 
 def _escaped_before(reader: Reader, at: int) -> int:
     """How many backslashes stand right before a place."""
@@ -121,29 +123,38 @@ def _summary(reader: Reader, uri: str, first: int, last: int, size: int, key: st
     return row
 
 
-def _joined(steps: pd.DataFrame) -> pd.DataFrame:
-    """The ranges of one file that hold a part of the array, each with its true beginning."""
-    rows, inside, depth, opened, target = [], 0, 0, -1, -1
-    for r in steps.sort_values("first").itertuples(index=False):
-        turn, low = (r.in_turn, r.in_low) if inside else (r.out_turn, r.out_low)
-        begun = opened >= 0
-        closed = begun and depth + low < target
-        if begun:
-            rows.append((r.log_path, r.first, r.last, r.size, inside, depth, opened, target))
-        else:
-            for one in r.opens:
+class _Joined:
+    """Takes the steps in order of file and place; gives those ranges that hold a part of the file's array, each with its true beginning."""
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+
+    def take(self, r: dict) -> tuple | None:
+        if r["log_path"] != self.path:
+            self.path, self.inside, self.depth, self.opened, self.target, self.over = r["log_path"], 0, 0, -1, -1, False
+        if self.over:
+            return None
+        low = r["in_low"] if self.inside else r["out_low"]
+        inside, depth, begun = self.inside, self.depth, self.opened >= 0
+        closed = begun and depth + low < self.target
+        if not begun:
+            for one in r["opens"]:
                 level = depth + one["depth"]
                 # The array stands at the top, or under the key of the object at the top.
                 if one["inside"] == inside and level in (0, 1):
-                    opened, target = int(one["at"]), level + 1
-                    rows.append((r.log_path, r.first, r.last, r.size, inside, depth, opened, target))
-                    closed = depth + one["low"] < target
+                    self.opened, self.target, begun = int(one["at"]), level + 1, True
+                    closed = depth + one["low"] < self.target
                     break
-        if closed:
-            break
-        depth += turn
-        inside = (r.outside + inside) % 2
-    return pd.DataFrame(rows, columns=["log_path", "first", "last", "size", "inside", "depth", "opened", "target"])
+        self.over = closed
+        self.depth += r["in_turn"] if inside else r["out_turn"]
+        self.inside = (r["outside"] + inside) % 2
+        return (self.path, r["first"], r["last"], r["size"], inside, depth, self.opened, self.target) if begun else None
+
+
+def _joined(steps: pd.DataFrame) -> pd.DataFrame:
+    """The same of a table of steps in any order."""
+    rows = [row for row in map(_Joined().take, steps.sort_values(["log_path", "first"]).to_dict("records")) if row]
+    return pd.DataFrame(rows, columns=PLACED.names)
 
 
 def _elements(reader: Reader, first: int, last: int, size: int, inside: int, depth: int, opened: int, target: int) -> Iterator[tuple[int, bytes]]:
@@ -203,43 +214,53 @@ def read_json_array(spark: SparkSession, path: str, key: str = "runs", glob: str
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for uri, first, last, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 with Reader(uri) as reader:
                     head = reader.read(0, 256).lstrip()
                     if heads and not (head.startswith(b"{") and any(m in head for m in heads)):
                         continue
-                    row = _summary(reader, uri, first, last, size, key)
-                yield pa.RecordBatch.from_pylist([row], schema=made)
+                    rows.append(_summary(reader, uri, first, last, size, key))
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=made)
 
     opens = pa.list_(pa.struct([("at", pa.int64()), ("inside", pa.int32()), ("depth", pa.int64()), ("low", pa.int64())]))
     numbers = ("first", "last", "size", "out_turn", "out_low", "in_turn", "in_low")
     made = pa.schema([("log_path", pa.string()), *[(n, pa.int64()) for n in numbers[:3]], ("outside", pa.int32()),
                       *[(n, pa.int64()) for n in numbers[3:]], ("opens", opens)])
     steps = ranges.mapInArrow(summed, STEPS)
-    known = cut_lineage(steps.groupBy("log_path").applyInPandas(
-        _joined, "log_path string, first bigint, last bigint, size bigint, inside bigint, depth bigint, opened bigint, target bigint"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = _Joined()
+        for batch in batches:
+            kept = [row for row in map(fold.take, batch.to_pylist()) if row]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), PLACED, strict=True)], schema=PLACED)
+
+    known = cut_lineage(steps.repartition("log_path").sortWithinPartitions("log_path", "first").mapInArrow(
+        joined, "log_path string, first bigint, last bigint, size bigint, inside bigint, depth bigint, opened bigint, target bigint"))  # as PLACED
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, int, str]] = []
+        weight = 0
         for batch in batches:
             for uri, *where in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 with Reader(uri) as reader:
-                    held: list[tuple[int, str]] = []
-                    weight = 0
                     for at, raw in _elements(reader, *where):
-                        held.append((at, raw.decode("utf-8", "replace")))
+                        held.append((uri, at, raw.decode("utf-8", "replace")))
                         weight += len(raw)
-                        if weight > 8 << 20:
-                            yield _rows(uri, held)
+                        if weight > 8 << 20 or len(held) >= 10_000:
+                            yield _rows(held)
                             held, weight = [], 0
-                    if held:
-                        yield _rows(uri, held)
+        if held:
+            yield _rows(held)
 
     return known.repartition(tasks, "log_path", "first").mapInArrow(read, "log_path string, start bigint, text string")
 
 
-def _rows(uri: str, held: list[tuple[int, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([uri] * len(held)), pa.array([a for a, _ in held], pa.int64()), pa.array([t for _, t in held])],
-                                      names=["log_path", "start", "text"])
+def _rows(held: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    uris, starts, texts = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(uris), pa.array(starts, pa.int64()), pa.array(texts)], names=["log_path", "start", "text"])
 
 
 def numbered(elements: DataFrame, name: str, bytes_per_bucket: int = SPLIT_BYTES) -> DataFrame:
