@@ -57,6 +57,20 @@ def test_frequent_terms_equal_all_counted(spark, tracked, spare):
     assert signatures.frequent_vocabulary(lists.limit(0), 5).count() == 0
 
 
+def test_frequent_terms_read_the_lists_twice(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def terms(i):
+        made.add(1)
+        return [f"t{k}" for k in range(1, 9) for _ in range(i % k)]
+
+    lists = spark.range(0, 200, 1, 4).select("id", terms("id").alias("terms"))
+    got = [(r.term, r.tf, r.df, r.docs) for r in signatures.frequent_vocabulary(lists, 3, 0.95).collect()]
+    assert got == [(f"t{k}", sum(i % k for i in range(200)), sum(i % k > 0 for i in range(200)), 200) for k in (8, 7, 6)]
+    assert made.value <= 600                                # once to count, once for the sketch and once for its filter of empty lists
+
+
 @pytest.mark.parametrize("kind", ["gcn", "sage"])
 def test_layers_are_powers(spark, kind):
     rng = np.random.default_rng(2)

@@ -91,23 +91,20 @@ def frequent_vocabulary(lists: DataFrame, max_features: int = 500, max_df: float
     occurs more often than that, the result is proven; else more candidates are
     taken, and in the end all terms are counted.
     """
-    sizes = lists.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
     room = 1
     while room < tracked / 0.75:
         room *= 2
-    missed = 3.5 * sizes["terms"] / room                   # the sketch's bound on what it does not tell
-    wanted = max_features * spare
+    docs, wanted = lists.count(), max_features * spare
     every = lists.select(F.explode("terms").alias("term"))
-    while wanted <= min(tracked, 10_000) and sizes["terms"]:
-        found = every.agg(F.expr(f"approx_top_k(term, {wanted}, {tracked})").alias("top")).first()["top"]
+    while wanted <= min(tracked, 10_000):
+        seen = every.agg(F.expr(f"approx_top_k(term, {wanted}, {tracked})").alias("top"), F.count(F.lit(1)).alias("terms")).first()
+        found = seen["top"] or []
+        if not found:
+            break
+        missed = 3.5 * seen["terms"] / room                # the sketch's bound on what it does not tell
         bound = max(missed if missed >= 1 else 0, found[-1]["count"] if len(found) >= wanted else 0)
-        names = lists.sparkSession.createDataFrame([(r["item"],) for r in found], "term string")     # at most `wanted` rows
-        once = lists.select(F.explode(F.array_distinct("terms")).alias("term"))
-        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-        both = every.select("term", one.alias("tf"), none.alias("df")).unionByName(once.select("term", none.alias("tf"), one.alias("df")))
-        counts = both.join(F.broadcast(names), "term", "left_semi").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-        kept = cut_lineage(counts.withColumn("docs", F.lit(sizes["n"]).cast("bigint")).filter(F.col("df") <= F.lit(max_df) * F.col("docs"))
-                           .orderBy(F.desc("tf"), "term").limit(max_features))
+        counts = candidate_counts(lists, [r["item"] for r in found]).withColumn("docs", F.lit(docs).cast("bigint"))
+        kept = cut_lineage(counts.filter(F.col("df") <= F.lit(max_df) * F.col("docs")).orderBy(F.desc("tf"), "term").limit(max_features))
         last = kept.agg(F.count(F.lit(1)), F.min("tf")).first()
         if bound < 1 or (last[0] == max_features and last[1] > bound):
             return kept.orderBy(F.desc("tf"), "term")
@@ -115,6 +112,18 @@ def frequent_vocabulary(lists: DataFrame, max_features: int = 500, max_df: float
     return vocabulary(lists, max_features, max_df)
 
 
+def candidate_counts(lists: DataFrame, terms: list[str]) -> DataFrame:
+    """term, tf, df (corpus count, document count) of some terms: each document's counts are made where it lies, and only these become rows."""
+    from pyspark.ml.feature import CountVectorizerModel
+    counted = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="__tf").transform(lists)
+    # Bound once: named twice, the counts and the terms behind them would be made twice.
+    pairs = let(F.unwrap_udt("__tf"), lambda v: F.arrays_zip(v["indices"].alias("idx"), v["values"].alias("n")))
+    sparse = counted.select(F.inline(pairs))
+    names = lists.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
+    sums = sparse.groupBy("idx").agg(F.sum(F.col("n").cast("bigint")).alias("tf"), F.count(F.lit(1)).alias("df"))
+    return sums.join(F.broadcast(names), "idx").select("term", "tf", "df")                                   # one row a candidate
+
+
 def fixed_vocabulary(vocab: DataFrame) -> list[dict]:
     """The vocabulary computed once, as at most ``max_features`` driver rows in its order."""
     return [r.asDict() for r in vocab.collect()]
