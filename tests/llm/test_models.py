@@ -182,3 +182,53 @@ def test_long_training_words_are_learned_whole(corpus):
     assert max(map(len, words)) == 6_000
     names, table = language.fit_languages(language.training_words(docs), ["▁", "a", "ab", "b", "c", "cd", "d"])
     assert names == ["x", "y"] and np.allclose(table.sum(axis=1), 1) and table[0, 2] > 10 * table[0, 5]
+
+
+def pair_rows(n=400, kinds=300):
+    """Texts of random pairs; a pair's first word settles the second, and all first words end alike."""
+    rng = random.Random(6)
+    return [(i, " ".join(f"c{k}ing f{k}er" for k in (rng.randrange(kinds) for _ in range(rng.randrange(10, 40))))) for i in range(n)]
+
+
+def test_every_word_is_a_context(corpus):
+    got = [r for r in lm.score_texts(corpus(pair_rows())).collect() if r.held_out]
+    # Every other word costs log10(300) = 2.5, the words between them little, however many contexts there are.
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -1.5
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(corpus, monkeypatch):
+    docs, want = corpus([*pair_rows(60, 40), *((1_000 + i, t) for i, t, _ in text_rows(60)), (None, "c1ing f2er new"), (7_000, None)]), None
+    for lookup, dishes, rounds, part in ((1 << 18, 1 << 20, 4, 1 << 16), (12, 1 << 20, 1, 1 << 16), (1 << 18, 5, 3, 1 << 16), (0, 0, 2, 1 << 16)):
+        for name, value in (("LOOKUP", lookup), ("DISHES", dishes), ("ROUNDS", rounds), ("PART", part)):
+            monkeypatch.setattr(lm, name, value)
+        got = sorted((str(r.doc_id), r.n_known, round(r.score, 7)) for r in lm.score_texts(docs).collect())
+        want = want or got
+        assert got == want
+
+
+def test_all_pairs_are_counted_and_probabilities_add_up(corpus, monkeypatch):
+    from pyspark.sql import functions as F
+    rows = [*pair_rows(60, 40), *((1_000 + i, t) for i, t, _ in text_rows(60))]
+    for part in (1 << 16, 3):                                      # whole restaurants, and restaurants in parts
+        monkeypatch.setattr(lm, "PART", part)
+        pairs = lm._pair_counts(corpus(rows), F.col("doc_id") % 10 == 0)
+        counts, held = Counter(), set()
+        for i, text in rows:
+            tokens = [" ", *text.split(), " "]
+            for pair in zip(tokens[:-1], tokens[1:], strict=True):
+                counts[pair] += i % 10 != 0
+                held |= {pair} if i % 10 == 0 else set()
+        found = [(r.u, r.w, r.c, r.asked) for r in pairs.collect()]
+        assert len({(u, w) for u, w, _, _ in found}) == len(found)
+        assert sorted((c, a) for _, _, c, a in found) == sorted((c, p in held) for p, c in counts.items() if c)
+        tables, words, d, unknown = lm._seated(pairs, lm._words_of(pairs))
+        words = {r.h: r for r in words.collect()}
+        assert math.isclose(sum(r.r for r in words.values()) + unknown, 1, rel_tol=1e-12)
+        taken = Counter()
+        for r in tables.collect():
+            assert r.c > 1 and 1 <= r.t <= r.c
+            taken[r.u] += r.c - d * r.t
+        for u, _, c, _ in found:
+            taken[u] += (1 - d) * (c == 1)
+        # What the pairs take of a context and what it passes to the root make the whole.
+        assert all(math.isclose(taken[u] + r.share, r.c + lm.STRENGTH, rel_tol=1e-12) for u, r in words.items())

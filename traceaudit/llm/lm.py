@@ -1,37 +1,45 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
-Words are told apart by a 64-bit hash. The most frequent ones are dishes of
-their own; all others share the dish "rare", behind which stands a restaurant of
-rare words of any number. A frequent word's followers have a restaurant for that
-word, whose parent is the restaurant of all words with the same ending, whose
-parent is the root; other words' followers sit in the ending's restaurant at
-once. Seatings are sampled by Gibbs sweeps, and predictive probabilities are
-averages over the samples.
-
-Counts cover all training texts. The tables of frequent words and contexts have
-a fixed size and are broadcast; rare words are counted, seated and looked up by
-joins.
+Words are told apart by a 64-bit hash. Every word of the training texts has a
+restaurant of its own for the words that follow it, and every word is a dish of
+its own; the parent of these restaurants is the root, the restaurant of all
+words, whose base spreads one share over the known words and keeps one for the
+unknown. Nothing bounds the number of restaurants or dishes.
+
+Counts of all pairs are made by a shuffle. Pairs that occur once have one table;
+the others are seated by Gibbs sweeps in Spark's tasks. The tables of each word
+are added up for the root at each exchange: after the burn-in and after the
+samples. Between exchanges a restaurant sweeps on with the root's probabilities
+of the last one. Probabilities come from tables averaged over the samples, and
+those of all words and the unknown add up to 1 in each context.
+
+The most frequent words and pairs are broadcast to spare rows; all others are
+counted, seated and looked up by joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceaudit.llm.common import fold_of, stored
+from traceaudit.llm.common import fold_of, stored, tidied
 from traceaudit.llm.shingles import mix, word_hashes
 
-# Dishes besides "rare"; words with a restaurant of their own; endings; words whose counts are broadcast.
-DISHES = 2_047
-WORD_CONTEXTS = 128
-ENDINGS = 128
+# Words, and dishes of contexts, that are broadcast at most; the rest is joined.
 LOOKUP = 1 << 18
+DISHES = 1 << 20
+# Pairs of one restaurant that are seated together; larger ones are seated in parts.
+PART = 1 << 16
+# Rows that are worked on at a time.
+GATHER = 1 << 20
+# Rounds in which pairs are looked up, each with its share of them on disk.
+ROUNDS = 4
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
 END = np.uint64(0x5EED0E4D5EED0E4D)
@@ -135,129 +143,334 @@ class Lookup:
 
     hashes: np.ndarray
     counts: np.ndarray
-    dishes: np.ndarray          # number of the dish, or -1
-    rare: np.ndarray            # log10 probability among rare words
-    other: int                  # the dish "rare"
+    roots: np.ndarray           # probability at the root
+    shares: np.ndarray          # strength and discounts of the word's restaurant, which go to the root
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash, or -1."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        return _find(self.hashes, hashes)
 
 
-def _token_counts(train: DataFrame) -> DataFrame:
-    """h, c: occurrences of each token in the training texts, stored. An end follows each text."""
+def _find(among: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+    return np.where(among[at] == hashes, at, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [h for h, _, _ in word_hashes(batch.column("text"))]
-            if parts:
-                h, c = np.unique(np.concatenate([*parts, np.full(batch.num_rows, END)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-    return stored(train.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
+def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit number of a pair; with it the context gives the word back."""
+    return ((u << np.uint64(21)) | (u >> np.uint64(43))) ^ w
 
 
-def _context_ids(places: np.ndarray, endings: np.ndarray, lookup: Lookup) -> np.ndarray:
-    """Restaurant in which the word after each token sits."""
-    dish = np.where(places >= 0, lookup.dishes[places], -1) if len(lookup.dishes) else np.full(len(places), -1)
-    return np.where((dish >= 0) & (dish < WORD_CONTEXTS), dish, WORD_CONTEXTS + endings)
+def _pair_of(u: Column, w: Column) -> Column:
+    """The same in Spark; of a context and its pair's number it makes the word."""
+    return F.shiftleft(u, 21).bitwiseOR(F.shiftrightunsigned(u, 43)).bitwiseXOR(w)
 
 
-def _context_counts(train: DataFrame, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Customers of every context and dish over all training texts, (contexts, dishes), and the ending of each word context.
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, tokens of each text, context of each token, token) of some texts at a time.
 
-    Both are tables of fixed size.
+    An end follows each text; a text starts after an end.
     """
-    shared = train.sparkSession.sparkContext.broadcast(lookup)
-    width = DISHES + 1
-    cells = (WORD_CONTEXTS + ENDINGS) * width
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = shared.value, np.zeros(cells + WORD_CONTEXTS * ENDINGS, dtype=np.int64)
-        for batch in batches:
-            for _, _, context, dish, (_, _, tail) in _read(batch, found):
-                total[:cells] += np.bincount(context * width + dish, minlength=cells)
-                own = dish < WORD_CONTEXTS
-                total[cells + dish[own] * ENDINGS + tail[own]] = 1
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
-
-    sums = train.select("text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    shared.unpersist()
-    out = np.zeros(cells + WORD_CONTEXTS * ENDINGS, dtype=np.int64)
-    out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    return out[:cells].reshape(-1, width), out[cells:].reshape(WORD_CONTEXTS, ENDINGS).argmax(axis=1)
-
-
-def _read(batch: pa.RecordBatch, lookup: Lookup) -> Iterator[tuple]:
-    """(first text, tokens of each text, context, dish, (place, hash, ending)) of the tokens of some texts at a time."""
     first = 0
-    for words, ending, cut in word_hashes(batch.column("text")):
+    for words, _, cut in word_hashes(batch.column("text")):
         n = len(cut) - 1
-        # An end after each text; a text starts after an end.
-        sizes = np.diff(cut)
-        stops = np.cumsum(sizes + 1) - 1
+        sizes = np.diff(cut) + 1
         tokens = np.full(len(words) + n, END)
-        tail = np.zeros(len(words) + n, dtype=np.int64)
         inner = np.ones(len(tokens), dtype=bool)
-        inner[stops] = False
-        tokens[inner], tail[inner] = words, ending % ENDINGS
-        places = lookup.find(tokens)
-        dish = lookup.dishes[places] if len(lookup.dishes) else np.full(len(places), -1)
-        dish = np.where((places >= 0) & (dish >= 0), dish, lookup.other)
-        follows = _context_ids(places, tail, lookup)
-        context = np.concatenate(([0], follows[:-1]))
-        context[np.concatenate(([0], stops[:-1] + 1))] = 0
-        yield first, sizes + 1, context, dish, (places, tokens, tail)
+        inner[np.cumsum(sizes) - 1] = False
+        tokens[inner] = words
+        yield first, sizes, np.concatenate(([END], tokens[:-1])), tokens
         first += n
 
 
-def _rare_words(counted: DataFrame, dishes: np.ndarray) -> tuple[DataFrame, float]:
-    """h, c, rare (log10 probability among rare words) of all words that are no dish, stored; the same of an unknown word.
+def _gathered(batches: Iterator[pa.RecordBatch], key: tuple[str, ...] = ()) -> Iterator[pa.Table]:
+    """About ``GATHER`` rows at a time; rows in a run of equal keys stay together."""
+    kept, rows = [], 0
+    for batch in batches:
+        kept.append(batch)
+        rows += batch.num_rows
+        if rows < GATHER:
+            continue
+        table = pa.Table.from_batches(kept).combine_chunks()
+        cut = int(_starts(table, key)[-1]) if key else rows
+        kept, rows = ([] if cut == rows else table.slice(cut).to_batches()), rows - cut
+        if cut:
+            yield table.slice(0, cut)
+    if rows:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def _starts(table: pa.Table, key: tuple[str, ...]) -> np.ndarray:
+    """First row of each run of equal keys."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for name in key:
+        values = table.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
 
-    The restaurant's words are seated where they lie; between sweeps only the number of tables is added up.
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def _crowded(docs: DataFrame) -> np.ndarray:
+    """The end and the words that fill much of some texts: their pairs are dealt to several tasks. Nothing else depends on it."""
+    tokens = [t for _, _, _, t in _read(pa.RecordBatch.from_arrays([docs.select("text").limit(1_000).toArrow().column("text").combine_chunks()], names=["text"]))]
+    h, n = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, dtype=np.uint64), np.zeros(0))
+    return np.unique(np.append(h[n * 500 >= n.sum()], END))
+
+
+def _pair_counts(docs: DataFrame, held: Column) -> DataFrame:
+    """u, w, c, asked: how often each word follows each other one in the training texts, and if a held-out text has the pair, stored.
+
+    An end stands around each text.
     """
-    context = counted.sparkSession.sparkContext
-    shared = context.broadcast(np.sort(dishes.astype(np.int64)))
+    crowded = _crowded(docs)
+
+    def counted(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        u, w, out = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for asked in (False, True):
+            mine = np.flatnonzero(out == asked)
+            _, at, c = np.unique(_pair(u[mine], w[mine]), return_index=True, return_counts=True)
+            at = mine[at]
+            order = np.argsort(u[at])
+            at, c = at[order], c[order]
+            # Twice the occurrences in training texts, or 1 for a pair of a held-out text.
+            yield _batch(u=u[at].astype(np.int64), w=w[at].astype(np.int64), n=np.ones(len(at), dtype=np.int64) if asked else 2 * c.astype(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            outside = batch.column("held").to_numpy(zero_copy_only=False)
+            for first, sizes, u, w in _read(batch):
+                parts.append((u, w, np.repeat(outside[first:first + len(sizes)], sizes)))
+                n += len(w)
+                if n >= GATHER:
+                    yield from counted(parts)
+                    parts, n = [], 0
+        if parts:
+            yield from counted(parts)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, ("u",)):
+            u, w, n = (table.column(x).to_numpy() for x in ("u", "w", "n"))
+            pair = _pair(u.astype(np.uint64), w.astype(np.uint64))
+            order = np.argsort(pair)
+            first = np.flatnonzero(np.concatenate(([True], np.diff(pair[order]) != 0)))
+            c, asked = np.add.reduceat(n[order] >> 1, first), np.bitwise_or.reduceat(n[order] & 1, first) > 0
+            known = np.flatnonzero(c > 0)
+            known = known[np.argsort(order[first[known]])]              # by context again
+            at = order[first[known]]
+            yield _batch(u=u[at], w=w[at], c=c[known], asked=asked[known])
+
+    # The pairs of a context lie together, which makes the files short; those of a crowded one lie in sixteen tasks.
+    rows = docs.select("text", held.alias("held")).mapInArrow(run, "u bigint, w bigint, n bigint")
+    part = F.when(F.col("u").isin(crowded.astype(np.int64).tolist()), F.col("w").bitwiseAND(15)).otherwise(0)
+    return stored(rows.repartition("u", part).sortWithinPartitions("u").mapInArrow(merged, "u bigint, w bigint, c bigint, asked boolean"))
+
+
+@dataclass
+class Root:
+    """The restaurant of all words: its discount, each known word's share of the base and the unknown's, and tables after the last draw."""
+
+    discount: float
+    base: float
+    unknown: float
+    tables: list[int]
+    turn: int = 0
+
+    def draw(self, words: DataFrame, customers: list[str]) -> tuple[DataFrame, list[int]]:
+        """h and the tables ``_t<i>`` of each word for each column of customers, and what opened them; the root is left with the new totals."""
+        self.turn += 1
+        d, turn = self.discount, self.turn
+        before = (self.tables * len(customers))[:len(customers)]
+        opening = [(STRENGTH + d * t) * self.base for t in before]
 
-    def seated(fn: Callable, schema: str, turn: int, a: float, d: float) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                h, c = batch.column("h").to_numpy(), batch.column("c").to_numpy()
-                if len(known):
-                    keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
-                    h, c = h[keep], c[keep]
-                yield fn(h, c, lambda k: seat(c, np.full(len(c), a), d, h.astype(np.uint64), turn + k))
-        return counted.mapInArrow(run, schema)
-
-    def tally(h: np.ndarray, c: np.ndarray, tables: Callable) -> pa.RecordBatch:
-        t = tables(0)
-        row = (len(c), int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), int(t.sum()))
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["v", "n", "ones", "twos", "t"])
-
-    sums = lambda turn, a, d: [x or 0 for x in seated(tally, "v bigint, n bigint, ones bigint, twos bigint, t bigint", turn, a, d).agg(
-        *[F.sum(c) for c in ("v", "n", "ones", "twos", "t")]).first()]
-    v, n, ones, twos, tables = sums(1, 0.0, 0.5)
+            for table in _gathered(batches):
+                h = table.column("h").to_numpy()
+                own = [table.column(c).to_numpy() for c in customers]
+                drawn = [seat(c, np.full(len(c), a), d, h.astype(np.uint64), 101 * turn + i) for i, (c, a) in enumerate(zip(own, opening, strict=True))]
+                yield _batch(h=h, **{f"_c{i}": c.astype(np.int64) for i, c in enumerate(own)}, **{f"_t{i}": t for i, t in enumerate(drawn)})
+
+        places = range(len(customers))
+        seated = words.select("h", *customers).mapInArrow(
+            run, ", ".join(["h bigint", *[f"_c{i} bigint" for i in places], *[f"_t{i} bigint" for i in places]]))
+        sums = seated.agg(*[F.sum(f"_c{i}") for i in places], *[F.sum(f"_t{i}") for i in places]).first()
+        self.tables = [x or 0 for x in sums[len(customers):]]
+        return seated, [x or 0 for x in sums[:len(customers)]]
+
+    def probabilities(self, words: DataFrame, customers: list[str]) -> tuple[DataFrame, float]:
+        """h, r (probability at the root, averaged over the columns) of each word, and the unknown word's.
+
+        Both use the tables of one draw and their own total, so that they add up to 1.
+        """
+        seated, n = self.draw(words, customers)
+        d, base, unknown = self.discount, self.base, self.unknown
+        each = [(F.col(f"_c{i}") - d * F.col(f"_t{i}") + (STRENGTH + d * t) * base) / (STRENGTH + n[i]) for i, t in enumerate(self.tables)]
+        outside = [(STRENGTH + d * t) * unknown / (STRENGTH + n[i]) for i, t in enumerate(self.tables)]
+        return seated.select("h", (sum(each[1:], each[0]) / len(each)).alias("r")), sum(outside) / len(outside)
+
+
+def _root_of(words: DataFrame) -> Root:
+    """The root with one table for each word. The unknown get as much as the words seen in one context say new words are worth."""
+    v, ones, twos = (x or 0 for x in words.agg(F.count(F.lit(1)), F.count_if(F.col("as_word") == 1), F.count_if(F.col("as_word") == 2)).first())
     d = discount_of(ones, twos)
-    # The unknown word's share of the base: as much as the words seen once say new words are worth.
     unknown = float(np.clip(ones / (d * v + STRENGTH), 0.05, 0.95)) if v else 1.0
-    base = (1 - unknown) / max(1, v)
-    for sweep in range(2):
-        tables = sums(10 + sweep, (STRENGTH + d * tables) * base, d)[4]
-    opening = STRENGTH + d * tables
+    return Root(d, (1 - unknown) / max(1, v), unknown, [v])
+
 
-    def predict(h: np.ndarray, c: np.ndarray, draw: Callable) -> pa.RecordBatch:
-        p = sum((c - d * draw(k) + opening * base) / (STRENGTH + n) for k in range(SAMPLES)) / SAMPLES
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(np.log10(p))], names=["h", "c", "rare"])
+def _sweeps(seats: DataFrame, roots: DataFrame, d: float, turn: int, sweeps: int, keep: int) -> DataFrame:
+    """``seats`` with the tables ``t0`` on of its last ``keep`` of some sweeps, stored.
 
-    words = stored(seated(predict, "h bigint, c bigint, rare double", 20, opening * base, d))
-    return words, float(np.log10(opening * unknown / (STRENGTH + n)))
+    ``seats`` has u, part, w, c, single, t and fixed: the tables of the same restaurant that are not in this part. A part is seated in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, ("u", "part")):
+            u, part, w, c, single, t, fixed, r = (table.column(x).to_numpy() for x in ("u", "part", "w", "c", "single", "t", "fixed", "r"))
+            starts = _starts(table, ("u", "part"))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(u))))
+            key, drawn = _pair(u.astype(np.uint64), w.astype(np.uint64)), []
+            for sweep in range(sweeps):
+                opening = (STRENGTH + d * (np.add.reduceat(t, starts) + fixed[starts]))[group] * r
+                t = seat(c, opening, d, key, turn + sweep)
+                drawn.append(t)
+            yield _batch(u=u, part=part, w=w, c=c, single=single, **{f"t{i}": x for i, x in enumerate(drawn[sweeps - keep:])})
+
+    met = seats.join(roots.withColumnRenamed("h", "_h").hint("shuffle_hash"), F.col("w") == F.col("_h")).drop("_h")
+    return stored(met.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(
+        run, ", ".join(["u bigint, part int, w bigint, c bigint, single bigint", *[f"t{i} bigint" for i in range(keep)]])))
+
+
+@tidied
+def _seated(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, float, float]:
+    """Tables of the pairs that occur repeatedly (others have one), and probabilities of all words.
+
+    Returns u, w, c, t (tables, averaged over the samples); h, c, r (probability at the root), share (strength and discounts
+    of the word's restaurant) for each word; the discount; the unknown word's probability at the root.
+    """
+    ones, twos = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    d, root = discount_of(ones, twos), _root_of(words)
+    # Pairs that occur once have one table each; single: how many of them a context, once: how many of them a word has.
+    halls = words.filter(F.col("many") > 0).select(F.col("h").alias("_h"), "many", (F.col("as_context") - F.col("many")).alias("single"))
+    seats = stored(pairs.filter(F.col("c") > 1).join(halls.hint("shuffle_hash"), F.col("u") == F.col("_h")).select(
+        "u", F.pmod(F.xxhash64("w"), F.ceil(F.col("many") / PART)).cast("int").alias("part"), "w", "c", "single"))
+
+    def fixed(tables: DataFrame, name: str) -> DataFrame:
+        """``tables`` with those of the restaurant's other parts and single pairs; only restaurants in parts need the others' sums."""
+        split = halls.filter(F.col("many") > PART).select(F.col("_h").alias("u"))
+        sums = tables.join(F.broadcast(split), "u", "left_semi").groupBy("u", "part").agg(F.sum(name).alias("_own"))
+        whole = sums.groupBy("u").agg(F.sum("_own").alias("_all"))
+        others = sums.join(whole, "u").select(F.col("u").alias("_u"), F.col("part").alias("_part"), (F.col("_all") - F.col("_own")).alias("_others"))
+        return tables.join(F.broadcast(others), (F.col("u") == F.col("_u")) & (F.col("part") == F.col("_part")), "left").withColumn(
+            "fixed", F.col("single") + F.coalesce("_others", F.lit(0))).drop("_u", "_part", "_others")
+
+    def customers(tables: DataFrame, names: list[str]) -> DataFrame:
+        """h and the root's customers: tables of each word in all contexts."""
+        sums = tables.groupBy("w").agg(*[F.sum(n).alias(n) for n in names])
+        return stored(words.join(sums, F.col("h") == F.col("w"), "left").select("h", *[(F.col("once") + F.coalesce(n, F.lit(0))).alias(n) for n in names]))
+
+    for _ in range(BURN_IN - 1):
+        root.draw(words, ["as_word"])
+    roots, _ = root.probabilities(words, ["as_word"])
+    tables = _sweeps(fixed(seats.withColumn("t", F.lit(1).cast("long")), "t"), roots, d, 1_000, BURN_IN, 1)
+    at_root = customers(tables, ["t0"])
+    for _ in range(BURN_IN - 1):
+        root.draw(at_root, ["t0"])
+    roots, _ = root.probabilities(at_root, ["t0"])
+    tables = tables.withColumnRenamed("t0", "t")
+    names = [f"t{i}" for i in range(SAMPLES)]
+    tables = _sweeps(fixed(tables, "t"), roots, d, 2_000, SAMPLES, SAMPLES)
+    roots, unknown = root.probabilities(customers(tables, names), names)
+    mean = (sum((F.col(n) for n in names[1:]), F.col(names[0])) / SAMPLES).alias("t")
+    tables = tables.select("u", "w", "c", mean)
+    every = words.join(roots.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h")).drop("_h").join(
+        tables.groupBy("u").agg(F.sum("t").alias("t")), F.col("h") == F.col("u"), "left")
+    every = stored(every.select("h", "c", "r", (STRENGTH + d * (F.col("as_context") - F.col("many") + F.coalesce("t", F.lit(0.0)))).alias("share")))
+    return tables, every, d, unknown
+
+
+def _words_of(pairs: DataFrame) -> DataFrame:
+    """h, c (occurrences), as_context and as_word (pairs it is in), many (of the first, those that occur repeatedly), once (of the second, those that do not), stored.
+
+    Each word is a context as often as it occurs, an end included.
+    """
+    own = pairs.groupBy(F.col("u").alias("_u")).agg(F.count(F.lit(1)).alias("as_context"), F.count_if(F.col("c") > 1).alias("many"))
+    met = pairs.groupBy(F.col("w").alias("h")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("as_word"), F.count_if(F.col("c") == 1).alias("once"))
+    return stored(met.join(own, F.col("h") == F.col("_u")).drop("_u"))
+
+
+def _frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest ``c``, at most so many: all that reach a number of occurrences."""
+    sizes = sorted(((r["c"], r["n"]) for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, room = None, most
+    for c, n in sizes:
+        room -= n
+        if room < 0:
+            break
+        least = c
+    return rows.filter(F.col("c") >= least) if least is not None else rows.filter(F.lit(False))
+
+
+@tidied
+def _learnt(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """What the scores need, learned from the texts that are not held out.
+
+    Returns pair, c, gain (log10 probability), single (the same if it occurred once) of the pairs that occur repeatedly;
+    the numbers of those that occur once and are in a held-out text; the words, the discount and the unknown word's
+    probability at the root as :func:`_seated`.
+    """
+    pairs = _pair_counts(docs, held)
+    docs.sparkSession._jvm.System.gc()
+    tables, words, d, unknown = _seated(pairs, _words_of(pairs))
+    met = stored(pairs.filter((F.col("c") == 1) & F.col("asked")).select(_pair_of(F.col("u"), F.col("w")).alias("pair")))
+    context, word = words.select(F.col("h").alias("u"), F.col("c").alias("n"), "share"), words.select(F.col("h").alias("w"), "r")
+    p = lambda c, t: F.log10((c - d * t + F.col("share") * F.col("r")) / (STRENGTH + F.col("n")))
+    gains = tables.join(context.hint("shuffle_hash"), "u").join(word.hint("shuffle_hash"), "w").select(
+        _pair_of(F.col("u"), F.col("w")).alias("pair"), "c", p(F.col("c"), F.col("t")).alias("gain"), p(F.lit(1), F.lit(1)).alias("single"))
+    return stored(gains), met, words, d, unknown
+
+
+@tidied
+def _looked_up(parts: DataFrame, gains: DataFrame, met: DataFrame) -> DataFrame:
+    """row, _score (from the pairs that occur repeatedly), open: context, number and occurrence (0 or 1) of the others whose words are to be joined.
+
+    The pairs of frequent words in training texts are in the score already, as if they occurred once.
+    """
+    done = []
+    for turn in range(ROUNDS):
+        # A held-out text's rows are odd.
+        asked = parts.select((2 * F.col("row") + F.col("held").cast("int")).alias("row"), F.explode(
+            F.arrays_zip(f"pairs{turn}", f"contexts{turn}")).alias("z")).select(
+            "row", F.col(f"z.pairs{turn}").alias("_pair"), F.col(f"z.contexts{turn}").alias("u"))
+        nothing = F.lit(None).cast("double")
+        share = gains.select("pair", "gain", "single").unionByName(met.select("pair", nothing.alias("gain"), nothing.alias("single")))
+        share = share.filter(F.pmod("pair", F.lit(ROUNDS)) == turn)
+        found = asked.join(share.hint("shuffle_hash"), F.col("_pair") == F.col("pair"), "left")
+        score = F.when(F.col("u").isNull(), F.col("gain") - F.col("single")).otherwise(F.col("gain"))
+        # Training texts have no pair that does not occur.
+        times = ((F.col("row").bitwiseAND(1) == 0) | F.col("pair").isNotNull()).cast("int").alias("times")
+        missing = F.when(F.col("u").isNotNull() & F.col("gain").isNull(), F.struct("u", "_pair", times))
+        wanted = found.filter(F.col("u").isNotNull() | F.col("gain").isNotNull())
+        done.append(stored(wanted.groupBy(F.shiftright("row", 1).alias("row")).agg(F.coalesce(F.sum(score), F.lit(0.0)).alias("_score"), F.collect_list(missing).alias("open"))))
+        parts.sparkSession._jvm.System.gc()
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+@tidied
+def _read_and_found(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """:func:`_partial_scores` without the pairs, :func:`_looked_up`, and the words, the discount and the unknown's probability of :func:`_learnt`."""
+    gains, met, words, d, unknown = _learnt(docs, held)
+    parts = _partial_scores(docs, held, _lookup(words), _frequent(gains, DISHES).select("pair", "gain").toArrow(), d)
+    found = _looked_up(parts, gains, met)
+    return stored(parts.select("doc_id", "held", "row", "n_tokens", "n_known", "base", "score", "rest")), found, words, d, unknown
 
 
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
@@ -267,73 +480,81 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     empty and hold the end alone. Texts are read whole. Repeated rows and null
     ids keep their rows. Without training texts every word is unknown.
     """
-    train = docs.filter(fold_of(F.col("doc_id"), folds) != held).select("text")
-    counted = _token_counts(train)
-    total, kinds = (x or 0 for x in counted.agg(F.sum("c"), F.count(F.lit(1))).first())
-    top = counted.orderBy(F.desc("c"), "h").limit(LOOKUP).toArrow()                    # 16 bytes for each of LOOKUP words
-    h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
-    mark = int(END.astype(np.int64))
-    names = np.concatenate(([mark], h[h != mark]))[:DISHES]
-    words, unknown = _rare_words(counted, names)
-    lookup = _lookup(h, c, names, words)
-    contexts = sample_contexts(*_context_counts(train, lookup))
-    parts = _partial_scores(docs, lookup, contexts)
-    rest = parts.select("row", F.explode("rest").alias("h"))
-    tail = words.select(F.col("h").alias("_h"), "c", "rare")
-    met = rest.join(tail, F.col("h") == F.col("_h"), "left")
-    sums = met.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("_base"),
-                                  F.sum(F.coalesce("rare", F.lit(unknown))).alias("_score"), F.count("c").alias("_known"))
+    rows, batch = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    before = batch.get(rows)
+    batch.set(rows, "50000")                    # rows of numbers; those of texts are bounded by their bytes
+    try:
+        parts, found, words, d, unknown = _read_and_found(docs, fold_of(F.col("doc_id"), folds) == held)
+    finally:
+        batch.set(rows, before)
+    total, kinds = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+    rest = parts.select("row", F.explode("rest").alias("h")).join(words.select(F.col("h").alias("_h"), "c"), F.col("h") == F.col("_h"), "left")
+    base = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("_base"), F.count("c").alias("_known"))
+    context, word = (words.select(F.col("h").alias(f"_h{i}"), *[F.col(c).alias(f"_{c}{i}") for c in ("c", "r", "share")]) for i in (0, 1))
+    missing = found.select("row", F.explode("open").alias("z")).select("row", "z.u", "z.times", _pair_of(F.col("z.u"), F.col("z._pair")).alias("w"))
+    missing = missing.join(context.hint("shuffle_hash"), F.col("u") == F.col("_h0"), "left").join(word.hint("shuffle_hash"), F.col("w") == F.col("_h1"), "left")
+    p = ((1 - d) * F.col("times") + F.coalesce("_share0", F.lit(STRENGTH)) * F.coalesce("_r1", F.lit(unknown))) / (F.coalesce("_c0", F.lit(0)) + STRENGTH)
+    scores = missing.select("row", F.log10(p).alias("_score")).unionByName(found.select("row", "_score"))
+    scores = scores.groupBy(F.col("row").alias("_row")).agg(F.sum("_score").alias("_score"))
     whole = np.log10(total + 0.1 * (kinds + 1))
-    out = parts.drop("rest").join(sums.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
+    out = parts.drop("rest").join(base.withColumnRenamed("row", "_row0"), F.col("row") == F.col("_row0"), "left").join(
+        scores, F.col("row") == F.col("_row"), "left")
     score = F.col("score") + F.coalesce("_score", F.lit(0.0))
-    return out.select("doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens",
+    return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens",
                       (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
                       (F.col("base") + F.coalesce("_base", F.lit(0.0)) - F.col("n_tokens") * float(whole)).alias("base_score"),
                       score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
 
 
-def _lookup(h: np.ndarray, c: np.ndarray, names: np.ndarray, words: DataFrame) -> Lookup:
-    """The most frequent words with their counts, dishes and probabilities among rare words."""
-    spark = words.sparkSession
-    mine = spark.createDataFrame(pa.table({"_h": h})) if len(h) else None
-    rare = {}
-    if mine is not None:
-        got = words.join(F.broadcast(mine), F.col("h") == F.col("_h"), "left_semi").select("h", "rare").toArrow()
-        rare = dict(zip(got.column("h").to_pylist(), got.column("rare").to_pylist(), strict=True))
-    if not (h == int(END.astype(np.int64))).any():
-        h, c = np.append(h, END.astype(np.int64)), np.append(c, 0)
-    dish = {int(x): i for i, x in enumerate(names)}
-    order = np.argsort(h.astype(np.uint64))
-    h, c = h[order], c[order]
-    return Lookup(h.astype(np.uint64), c.astype(np.int64), np.array([dish.get(int(x), -1) for x in h], dtype=np.int64),
-                  np.array([rare.get(int(x), 0.0) for x in h]), DISHES)
-
-
-def _partial_scores(docs: DataFrame, lookup: Lookup, contexts: Contexts) -> DataFrame:
-    """Sums over the tokens of each text that the broadcast tables know, and the hashes of the others (``rest``), stored."""
-    shared = docs.sparkSession.sparkContext.broadcast((lookup, contexts.logs.astype(np.float32)))
+def _lookup(vocabulary: DataFrame) -> Lookup:
+    """The most frequent words with their counts, probabilities at the root and shares."""
+    top = _frequent(vocabulary, LOOKUP).toArrow()
+    h = top.column("h").to_numpy().astype(np.uint64)
+    order = np.argsort(h)
+    return Lookup(h[order], *[top.column(c).to_numpy()[order] for c in ("c", "r", "share")])
+
+
+def _partial_scores(docs: DataFrame, held: Column, lookup: Lookup, top: pa.Table, d: float) -> DataFrame:
+    """Sums over the tokens of each text that the broadcast tables know, stored.
+
+    Also the hashes of the other words (``rest``) and, for each round, the numbers of the other pairs (``pairs<i>``) with their
+    contexts. In training texts such a pair of words of the lookup is scored as if it occurred once, and its context is null.
+    """
+    pair, gain = top.column("pair").to_numpy().astype(np.uint64), top.column("gain").to_numpy()
+    order = np.argsort(pair)
+    shared = docs.sparkSession.sparkContext.broadcast((lookup, pair[order], gain[order]))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [f"{x}{i}" for x in ("pairs", "contexts") for i in range(ROUNDS)]
+
+    def lists(chosen: np.ndarray, starts: np.ndarray, values: np.ndarray, null: np.ndarray | None = None) -> pa.ListArray:
+        ends = np.concatenate(([0], np.cumsum(np.add.reduceat(chosen, starts, dtype=np.int64)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[chosen].astype(np.int64), mask=None if null is None else null[chosen]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, logs = shared.value
-        gains = np.log10(found.counts + 0.1)
+        found, top, gains = shared.value
+        weights = np.log10(found.counts + 0.1)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, sizes, context, dish, (places, tokens, _) in _read(batch, found):
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                have = places >= 0
-                base = np.where(have, gains[places], 0.0)
-                score = logs[context, dish] + np.where(have & (dish == found.other), found.rare[places], 0.0)
-                known = have & (found.counts[places] > 0)
-                outside = np.flatnonzero(~have)
-                ends = np.concatenate(([0], np.cumsum(np.add.reduceat(~have, starts)))).astype(np.int32)
+            outside = batch.column("held").to_numpy(zero_copy_only=False)
+            for first, sizes, context, tokens in _read(batch):
+                starts, n = np.cumsum(sizes) - sizes, len(sizes)
+                w, numbers = found.find(tokens), _pair(context, tokens)
+                u = np.concatenate((found.find(context[:1]), w[:-1]))
+                at = _find(top, numbers)
+                base, score = np.zeros(len(tokens)), np.zeros(len(tokens))
+                base[w >= 0] = weights[w[w >= 0]]
+                score[at >= 0] = gains[at[at >= 0]]
+                near = (at < 0) & (u >= 0) & (w >= 0) & ~np.repeat(outside[first:first + n], sizes)
+                score[near] = np.log10((1 - d + found.shares[u[near]] * found.roots[w[near]]) / (STRENGTH + found.counts[u[near]]))
+                turns = np.where(at < 0, numbers.astype(np.int64) % ROUNDS, -1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(sizes)), pa.array(np.arange(row, row + len(sizes))), pa.array(sizes.astype(np.int64)),
-                     pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts)),
-                     pa.array(np.add.reduceat(score.astype(np.float64), starts)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[outside].astype(np.int64)))],
-                    names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest"])
-                row += len(sizes)
-
-    return stored(docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, row bigint, n_tokens bigint, n_known bigint, base double, score double, rest array<bigint>"))
+                    [batch.column("doc_id").slice(first, n), pa.array(outside[first:first + n]), pa.array(np.arange(row, row + n)),
+                     pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(w >= 0, starts, dtype=np.int64)),
+                     pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts)), lists(w < 0, starts, tokens),
+                     *[lists(turns == i, starts, numbers) for i in range(ROUNDS)], *[lists(turns == i, starts, context, near) for i in range(ROUNDS)]],
+                    names=["doc_id", "held", "row", "n_tokens", "n_known", "base", "score", "rest", *names])
+                row += n
+
+    return stored(docs.select("doc_id", "text", held.alias("held")).mapInArrow(
+        run, f"doc_id {kind}, held boolean, row bigint, n_tokens bigint, n_known bigint, base double, score double, "
+             "rest array<bigint>" + "".join(f", {x} array<bigint>" for x in names)))
