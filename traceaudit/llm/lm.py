@@ -19,13 +19,14 @@ counted, seated and looked up by joins.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceaudit.llm.common import fold_of, stored, tidied
@@ -39,7 +40,7 @@ PART = 1 << 16
 # Rows that are worked on at a time.
 GATHER = 1 << 20
 # Rounds in which pairs are looked up, each with its share of them on disk.
-ROUNDS = 4
+ROUNDS = 8
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
 END = np.uint64(0x5EED0E4D5EED0E4D)
@@ -202,6 +203,13 @@ def _gathered(batches: Iterator[pa.RecordBatch], key: tuple[str, ...] = ()) -> I
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles of finished jobs; what listeners still held the first time goes the second."""
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def _starts(table: pa.Table, key: tuple[str, ...]) -> np.ndarray:
     """First row of each run of equal keys."""
     new = np.zeros(table.num_rows, dtype=bool)
@@ -342,8 +350,10 @@ def _sweeps(seats: DataFrame, roots: DataFrame, d: float, turn: int, sweeps: int
             yield _batch(u=u, part=part, w=w, c=c, single=single, **{f"t{i}": x for i, x in enumerate(drawn[sweeps - keep:])})
 
     met = seats.join(roots.withColumnRenamed("h", "_h").hint("shuffle_hash"), F.col("w") == F.col("_h")).drop("_h")
-    return stored(met.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(
+    out = stored(met.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(
         run, ", ".join(["u bigint, part int, w bigint, c bigint, single bigint", *[f"t{i} bigint" for i in range(keep)]])))
+    _release(seats.sparkSession)
+    return out
 
 
 @tidied
@@ -425,8 +435,10 @@ def _learnt(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame, DataFr
     probability at the root as :func:`_seated`.
     """
     pairs = _pair_counts(docs, held)
-    docs.sparkSession._jvm.System.gc()
-    tables, words, d, unknown = _seated(pairs, _words_of(pairs))
+    _release(docs.sparkSession)
+    counts = _words_of(pairs)
+    _release(docs.sparkSession)
+    tables, words, d, unknown = _seated(pairs, counts)
     met = stored(pairs.filter((F.col("c") == 1) & F.col("asked")).select(_pair_of(F.col("u"), F.col("w")).alias("pair")))
     context, word = words.select(F.col("h").alias("u"), F.col("c").alias("n"), "share"), words.select(F.col("h").alias("w"), "r")
     p = lambda c, t: F.log10((c - d * t + F.col("share") * F.col("r")) / (STRENGTH + F.col("n")))
@@ -457,7 +469,7 @@ def _looked_up(parts: DataFrame, gains: DataFrame, met: DataFrame) -> DataFrame:
         missing = F.when(F.col("u").isNotNull() & F.col("gain").isNull(), F.struct("u", "_pair", times))
         wanted = found.filter(F.col("u").isNotNull() | F.col("gain").isNotNull())
         done.append(stored(wanted.groupBy(F.shiftright("row", 1).alias("row")).agg(F.coalesce(F.sum(score), F.lit(0.0)).alias("_score"), F.collect_list(missing).alias("open"))))
-        parts.sparkSession._jvm.System.gc()
+        _release(parts.sparkSession)
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
