@@ -19,13 +19,16 @@ counted, seated and looked up by joins.
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +42,20 @@ DISHES = 1 << 20
 PART = 1 << 16
 # Rows that are worked on at a time.
 GATHER = 1 << 20
+# Tokens of the texts that are read together: their pairs travel in blocks, one for each bucket.
+CHUNK = 1 << 19
+# Dishes that are seated one after another, when no more are left.
+FEW = 64
 # Rounds in which pairs are looked up, each with its share of them on disk.
-ROUNDS = 8
+ROUNDS = 4
 BURN_IN, SAMPLES = 3, 4
 STRENGTH = 1.0
 END = np.uint64(0x5EED0E4D5EED0E4D)
 
 
-def _chance(key: np.ndarray, turn: int) -> np.ndarray:
+def _chance(key: np.ndarray, turn: int | np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1) that depend on the key and the turn alone, so that reruns agree."""
-    salt = mix(np.array([turn], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    salt = mix(np.atleast_1d(np.asarray(turn, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     return ((mix(key ^ salt) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
 
 
@@ -62,18 +69,20 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, key: np.nd
     """
     customers = customers.astype(np.int64)
     tables = (customers > 0).astype(np.int64)
-    seated = tables.copy()
     draw = turn * 100_003
-    for _ in range(24):
-        live = np.flatnonzero(seated < customers)
+    live = np.flatnonzero(customers > 1)
+    c, a, k, t = customers[live], opening[live], key[live], tables[live]
+    for seated in range(1, 25):
         if not len(live):
             return tables
-        a, draw = opening[live], draw + 1
-        opens = _chance(key[live], draw) * (a + seated[live] - discount * tables[live]) < a
-        tables[live] += opens
-        seated[live] += 1
-    live = np.flatnonzero(seated < customers)
-    while len(live):
+        draw += 1
+        t += _chance(k, draw) * (a + seated - discount * t) < a
+        more = c > seated + 1
+        tables[live[~more]] = t[~more]
+        live, c, a, k, t = (x[more] for x in (live, c, a, k, t))
+    tables[live] = t
+    seated = np.minimum(customers, 25)
+    while len(live) > FEW:
         a, draw = np.maximum(opening[live], 1e-12), draw + 1
         shift = (a - 1) / 2 - discount * tables[live]
         reach = np.log(seated[live] + shift) - np.log(_chance(key[live], draw)) / a
@@ -82,9 +91,27 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, key: np.nd
         tables[live] += ~done
         seated[live] = np.where(done, customers[live], np.maximum(np.floor(np.minimum(upto, 2.0 ** 60)).astype(np.int64), seated[live]) + 1)
         live = live[~done & (seated[live] < customers[live])]
+    for i in live.tolist():
+        tables[i] += _opened(int(customers[i]), int(seated[i]), int(tables[i]), max(float(opening[i]), 1e-12), discount, key[i], draw)
     return tables
 
 
+def _opened(customers: int, seated: int, tables: int, a: float, discount: float, key: np.uint64, draw: int) -> int:
+    """Tables that the rest of one dish's customers open: the last steps of :func:`seat`, which a few dishes have very many of."""
+    begin = tables
+    while True:
+        for step in (np.log(_chance(key, draw + 1 + np.arange(256))) / a).tolist():
+            shift = (a - 1) / 2 - discount * tables
+            upto = math.exp(min(math.log(seated + shift) - step, 60.0)) - shift
+            if upto >= customers:
+                return tables - begin
+            tables += 1
+            seated = max(int(min(upto, 2.0 ** 60)), seated) + 1
+            if seated >= customers:
+                return tables - begin
+        draw += 256
+
+
 def discount_of(ones: float, twos: float) -> float:
     """Estimate of the discount from the numbers of dishes that occur once and twice."""
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.9)) if ones else 0.5
@@ -147,16 +174,24 @@ class Lookup:
     roots: np.ndarray           # probability at the root
     shares: np.ndarray          # strength and discounts of the word's restaurant, which go to the root
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Place of each hash, or -1."""
-        return _find(self.hashes, hashes)
 
+class Finder:
+    """Places of numbers among ascending ones that are spread evenly, as hashes are: their first bits tell about where."""
+
+    def __init__(self, among: np.ndarray) -> None:
+        bits = max(1, len(among).bit_length())
+        self.shift, self.n = np.uint64(64 - bits), len(among)
+        self.first = np.searchsorted(among, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.among = np.append(among, np.uint64(2**64 - 1))
 
-def _find(among: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
-    return np.where(among[at] == hashes, at, -1)
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """Place of each number, or -1."""
+        at = self.first[(numbers >> self.shift).astype(np.int64)]
+        behind = np.flatnonzero(self.among[at] < numbers)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.among[at[behind]] < numbers[behind]]
+        return np.where((self.among[at] == numbers) & (at < self.n), at, -1)
 
 
 def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -186,6 +221,26 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         first += n
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, held, tokens of each text, context of each token, token) of about ``size`` tokens at a time."""
+    parts, n = [], 0
+
+    def whole() -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, *numbers = zip(*parts, strict=True)
+        return pa.concat_arrays(ids), *map(np.concatenate, numbers)
+
+    for batch in batches:
+        outside = batch.column("held").to_numpy(zero_copy_only=False)
+        for first, sizes, context, tokens in _read(batch):
+            parts.append((batch.column("doc_id").slice(first, len(sizes)), outside[first:first + len(sizes)], sizes, context, tokens))
+            n += len(tokens)
+            if n >= size:
+                yield whole()
+                parts, n = [], 0
+    if parts:
+        yield whole()
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], key: tuple[str, ...] = ()) -> Iterator[pa.Table]:
     """About ``GATHER`` rows at a time; rows in a run of equal keys stay together."""
     kept, rows = [], 0
@@ -203,6 +258,17 @@ def _gathered(batches: Iterator[pa.RecordBatch], key: tuple[str, ...] = ()) -> I
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffles of finished jobs; what listeners still held the first time goes the second."""
     for _ in range(2):
@@ -224,6 +290,38 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by bucket (key modulo their number), the buckets that have rows, and where each one's rows begin and the last one's end."""
+    bucket = (keys.astype(np.int64) % buckets).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(bucket)), dtype=bool), bucket[1:] != bucket[:-1])))
+    return order, bucket[starts].astype(np.int32), np.append(starts, len(bucket))
+
+
+def _packed(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The numbers from each cut to the next as one binary value."""
+    numbers = np.ascontiguousarray(numbers)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * numbers.itemsize).astype(np.int32)), pa.py_buffer(numbers)])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values in a row, and where those of each value begin and the last one's end."""
+    parts = [np.frombuffer(value.as_buffer(), dtype=kind) for value in column]
+    return np.concatenate([np.zeros(0, dtype=kind), *parts]), np.cumsum([0, *map(len, parts)])
+
+
+def _in_buckets(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """bucket and the columns of ``rows``, many rows a value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            order, found, cuts = _dealt(table.column(key).to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *[_packed(c.to_numpy()[order], cuts) for c in table.columns]], names=["bucket", *table.column_names])
+
+    return rows.mapInArrow(run, "bucket int" + "".join(f", {c} binary" for c in rows.columns))
+
+
 def _crowded(docs: DataFrame) -> np.ndarray:
     """The end and the words that fill much of some texts: their pairs are dealt to several tasks. Nothing else depends on it."""
     tokens = [t for _, _, _, t in _read(pa.RecordBatch.from_arrays([docs.select("text").limit(1_000).toArrow().column("text").combine_chunks()], names=["text"]))]
@@ -234,50 +332,45 @@ def _crowded(docs: DataFrame) -> np.ndarray:
 def _pair_counts(docs: DataFrame, held: Column) -> DataFrame:
     """u, w, c, asked: how often each word follows each other one in the training texts, and if a held-out text has the pair, stored.
 
-    An end stands around each text.
+    An end stands around each text. Pairs travel in blocks, one for each chunk of texts and bucket of contexts.
     """
     crowded = _crowded(docs)
-
-    def counted(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        u, w, out = (np.concatenate(x) for x in zip(*parts, strict=True))
-        for asked in (False, True):
-            mine = np.flatnonzero(out == asked)
-            _, at, c = np.unique(_pair(u[mine], w[mine]), return_index=True, return_counts=True)
-            at = mine[at]
-            order = np.argsort(u[at])
-            at, c = at[order], c[order]
-            # Twice the occurrences in training texts, or 1 for a pair of a held-out text.
-            yield _batch(u=u[at].astype(np.int64), w=w[at].astype(np.int64), n=np.ones(len(at), dtype=np.int64) if asked else 2 * c.astype(np.int64))
+    # Several buckets a partition, so that a bucket is a small part of what a task may hold.
+    buckets = min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << 16) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for batch in batches:
-            outside = batch.column("held").to_numpy(zero_copy_only=False)
-            for first, sizes, u, w in _read(batch):
-                parts.append((u, w, np.repeat(outside[first:first + len(sizes)], sizes)))
-                n += len(w)
-                if n >= GATHER:
-                    yield from counted(parts)
-                    parts, n = [], 0
-        if parts:
-            yield from counted(parts)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _gathered(batches, ("u",)):
-            u, w, n = (table.column(x).to_numpy() for x in ("u", "w", "n"))
-            pair = _pair(u.astype(np.uint64), w.astype(np.uint64))
-            order = np.argsort(pair)
-            first = np.flatnonzero(np.concatenate(([True], np.diff(pair[order]) != 0)))
-            c, asked = np.add.reduceat(n[order] >> 1, first), np.bitwise_or.reduceat(n[order] & 1, first) > 0
-            known = np.flatnonzero(c > 0)
-            known = known[np.argsort(order[first[known]])]              # by context again
-            at = order[first[known]]
-            yield _batch(u=u[at], w=w[at], c=c[known], asked=asked[known])
-
-    # The pairs of a context lie together, which makes the files short; those of a crowded one lie in sixteen tasks.
-    rows = docs.select("text", held.alias("held")).mapInArrow(run, "u bigint, w bigint, n bigint")
-    part = F.when(F.col("u").isin(crowded.astype(np.int64).tolist()), F.col("w").bitwiseAND(15)).otherwise(0)
-    return stored(rows.repartition("u", part).sortWithinPartitions("u").mapInArrow(merged, "u bigint, w bigint, c bigint, asked boolean"))
+        for _, outside, sizes, _, tokens in _chunks(batches, GATHER):
+            words, w = np.unique(tokens, return_inverse=True)
+            ends = np.cumsum(sizes) - 1
+            u = np.roll(w, 1)
+            u[ends + 1 - sizes] = w[ends]                           # a text starts after an end
+            seen = np.sort((u << 32) | (w << 1) | np.repeat(outside, sizes))
+            first = np.flatnonzero(np.concatenate(([True], seen[1:] >> 1 != seen[:-1] >> 1)))
+            # Twice the occurrences in training texts, and 1 for a pair of a held-out text.
+            outer = np.add.reduceat(seen & 1, first)
+            n = 2 * (np.diff(np.append(first, len(seen))) - outer) + (outer > 0)
+            u, w = seen[first] >> 32, words[(seen[first] >> 1) & 0x7FFFFFFF]
+            # The pairs of a context lie together, which makes the files short; those of a crowded one lie in sixteen buckets.
+            part = np.where(np.isin(words, crowded)[u], w & np.uint64(15), np.uint64(0))
+            u = words[u]
+            order, found, cuts = _dealt(mix(u + part), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *[_packed(x[order], cuts) for x in (u, w, n)]], names=["bucket", "u", "w", "n"])
+
+    def merged(blocks: pa.Table) -> pa.Table:
+        u, w, n = (_unpacked(blocks.column(c), k)[0] for c, k in (("u", np.uint64), ("w", np.uint64), ("n", np.int64)))
+        pair = _pair(u, w)
+        order = np.argsort(pair)
+        pair, n = pair[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        c, asked = np.add.reduceat(n >> 1, first), np.bitwise_or.reduceat(n & 1, first) > 0
+        known = np.flatnonzero(c > 0)
+        u = u[order[first[known]]]
+        again = np.argsort(u)                                       # by context
+        known, u = known[again], u[again]
+        return pa.table({"u": u.astype(np.int64), "w": w[order[first[known]]].astype(np.int64), "c": c[known], "asked": asked[known]})
+
+    return stored(docs.select("doc_id", "text", held.alias("held")).mapInArrow(run, "bucket int, u binary, w binary, n binary").groupBy("bucket").applyInArrow(
+        merged, "u bigint, w bigint, c bigint, asked boolean"))
 
 
 @dataclass
@@ -427,62 +520,101 @@ def _frequent(rows: DataFrame, most: int) -> DataFrame:
 
 
 @tidied
-def _learnt(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+def _learnt(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame, float, float]:
     """What the scores need, learned from the texts that are not held out.
 
-    Returns pair, c, gain (log10 probability), single (the same if it occurred once) of the pairs that occur repeatedly;
-    the numbers of those that occur once and are in a held-out text; the words, the discount and the unknown word's
-    probability at the root as :func:`_seated`.
+    Returns pair, c, one and none (log10 probability, less that of a pair that occurs once and of one that does not) of the pairs
+    that occur repeatedly, or once and in a held-out text as well; the words, the discount and the unknown word's probability
+    at the root as :func:`_seated`.
     """
     pairs = _pair_counts(docs, held)
     _release(docs.sparkSession)
     counts = _words_of(pairs)
     _release(docs.sparkSession)
     tables, words, d, unknown = _seated(pairs, counts)
-    met = stored(pairs.filter((F.col("c") == 1) & F.col("asked")).select(_pair_of(F.col("u"), F.col("w")).alias("pair")))
+    met = pairs.filter((F.col("c") == 1) & F.col("asked")).select("u", "w", "c", F.lit(1.0).alias("t"))
     context, word = words.select(F.col("h").alias("u"), F.col("c").alias("n"), "share"), words.select(F.col("h").alias("w"), "r")
     p = lambda c, t: F.log10((c - d * t + F.col("share") * F.col("r")) / (STRENGTH + F.col("n")))
-    gains = tables.join(context.hint("shuffle_hash"), "u").join(word.hint("shuffle_hash"), "w").select(
-        _pair_of(F.col("u"), F.col("w")).alias("pair"), "c", p(F.col("c"), F.col("t")).alias("gain"), p(F.lit(1), F.lit(1)).alias("single"))
-    return stored(gains), met, words, d, unknown
+    own = p(F.col("c"), F.col("t"))
+    gains = tables.unionByName(met).join(context.hint("shuffle_hash"), "u").join(word.hint("shuffle_hash"), "w").select(
+        _pair_of(F.col("u"), F.col("w")).alias("pair"), "c", (own - p(F.lit(1), F.lit(1))).alias("one"), (own - p(F.lit(0), F.lit(0))).alias("none"))
+    return stored(gains), words, d, unknown
 
 
-@tidied
-def _looked_up(parts: DataFrame, gains: DataFrame, met: DataFrame) -> DataFrame:
-    """row, _score (from the pairs that occur repeatedly), open: context, number and occurrence (0 or 1) of the others whose words are to be joined.
+REPLY = "chunk bigint, places binary, sums binary, c binary, r binary, share binary"
+
+
+def _replies(asks: DataFrame, known: DataFrame, answer: Callable[[pa.Table, pa.Table], list[pa.Array]], names: list[str]) -> DataFrame:
+    """Rows of ``REPLY``: what ``answer`` makes of the blocks asked in each bucket and of the rows known there, one for each block, without those of no place."""
+
+    def run(asks: pa.Table, known: pa.Table) -> pa.Table:
+        columns = dict(zip(names, answer(asks, known), strict=True)) if len(asks) else {}
+        empty = pa.nulls(len(asks), pa.binary())
+        return pa.table({"chunk": asks.column("chunk"), **{c: columns.get(c, empty) for c in ("places", "sums", "c", "r", "share")}})
+
+    met = asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(run, REPLY)
+    return met.filter(F.length("places") > 0)
+
+
+def _sorted(known: pa.Table, key: str, columns: tuple[str, ...]) -> tuple[Finder, list[np.ndarray]]:
+    """A finder of the keys, and the columns (floating point) in their order."""
+    keys = _unpacked(known.column(key), np.uint64)[0]
+    order = np.argsort(keys)
+    return Finder(keys[order]), [_unpacked(known.column(c), np.float64)[0][order] for c in columns]
+
+
+def _sums(asks: pa.Table, known: pa.Table) -> list[pa.Array]:
+    """Texts of each block that have pairs known here, and the sums of what their occurrences add."""
+    finder, (one, none) = _sorted(known, "pair", ("one", "none"))
+    numbers, cuts = _unpacked(asks.column("numbers"), np.uint64)
+    steps = np.cumsum(_unpacked(asks.column("places"), np.int32)[0], dtype=np.int64)
+    # Each block counts from 0.
+    asked = steps - np.repeat(np.concatenate(([0], steps))[cuts[:-1]], np.diff(cuts))
+    at = finder.find(numbers)
+    kept = np.flatnonzero(at >= 0)
+    value = np.where(asked[kept] & 1, none[at[kept]], one[at[kept]])
+    block, text = np.repeat(np.arange(len(asks)), np.diff(cuts))[kept], asked[kept] >> 1
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(kept)), dtype=bool), (block[1:] != block[:-1]) | (text[1:] != text[:-1]))))
+    own = np.searchsorted(block[starts], np.arange(len(asks) + 1))
+    sums = np.add.reduceat(value, starts) if len(starts) else value
+    return [_packed(text[starts].astype(np.int32), own), _packed(sums, own)]
 
-    The pairs of frequent words in training texts are in the score already, as if they occurred once.
-    """
-    done = []
-    for turn in range(ROUNDS):
-        # A held-out text's rows are odd.
-        asked = parts.select((2 * F.col("row") + F.col("held").cast("int")).alias("row"), F.explode(
-            F.arrays_zip(f"pairs{turn}", f"contexts{turn}")).alias("z")).select(
-            "row", F.col(f"z.pairs{turn}").alias("_pair"), F.col(f"z.contexts{turn}").alias("u"))
-        nothing = F.lit(None).cast("double")
-        share = gains.select("pair", "gain", "single").unionByName(met.select("pair", nothing.alias("gain"), nothing.alias("single")))
-        share = share.filter(F.pmod("pair", F.lit(ROUNDS)) == turn)
-        found = asked.join(share.hint("shuffle_hash"), F.col("_pair") == F.col("pair"), "left")
-        score = F.when(F.col("u").isNull(), F.col("gain") - F.col("single")).otherwise(F.col("gain"))
-        # Training texts have no pair that does not occur.
-        times = ((F.col("row").bitwiseAND(1) == 0) | F.col("pair").isNotNull()).cast("int").alias("times")
-        missing = F.when(F.col("u").isNotNull() & F.col("gain").isNull(), F.struct("u", "_pair", times))
-        wanted = found.filter(F.col("u").isNotNull() | F.col("gain").isNotNull())
-        done.append(stored(wanted.groupBy(F.shiftright("row", 1).alias("row")).agg(F.coalesce(F.sum(score), F.lit(0.0)).alias("_score"), F.collect_list(missing).alias("open"))))
-        _release(parts.sparkSession)
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    return every
+
+def _known_words(asks: pa.Table, known: pa.Table) -> list[pa.Array]:
+    """Places of each block's words that are known here, and their numbers."""
+    finder, columns = _sorted(known, "h", ("c", "r", "share"))
+    numbers, cuts = _unpacked(asks.column("numbers"), np.uint64)
+    places, at = _unpacked(asks.column("places"), np.int32)[0], finder.find(numbers)
+    kept = np.flatnonzero(at >= 0)
+    own = np.searchsorted(kept, cuts)
+    return [_packed(places[kept], own), *[_packed(c[at[kept]], own) for c in columns]]
 
 
 @tidied
-def _read_and_found(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
-    """:func:`_partial_scores` without the pairs, :func:`_looked_up`, and the words, the discount and the unknown's probability of :func:`_learnt`."""
-    gains, met, words, d, unknown = _learnt(docs, held)
-    parts = _partial_scores(docs, held, _lookup(words), _frequent(gains, DISHES).select("pair", "gain").toArrow(), d)
-    found = _looked_up(parts, gains, met)
-    return stored(parts.select("doc_id", "held", "row", "n_tokens", "n_known", "base", "score", "rest")), found, words, d, unknown
+def _read_and_found(docs: DataFrame, held: Column) -> tuple[DataFrame, DataFrame, Broadcast, tuple[int, int], float, float]:
+    """:func:`_read_texts` and the replies to its blocks, the lookup, the numbers of training tokens and words, the discount and the unknown's probability."""
+    gains, words, d, unknown = _learnt(docs, held)
+    _release(docs.sparkSession)
+    total, kinds = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+    buckets = min(max(16, total >> 20), (1 << 16) - 1)
+    lookup = docs.sparkSession.sparkContext.broadcast(_lookup(words))
+    parts = _read_texts(docs, held, lookup, _frequent(gains, DISHES).select("pair", "one", "none").toArrow(), d, buckets)
+    blocks = parts.select("chunk", "kind", "bucket", "numbers", "places")
+    double = [F.col(c).cast("double").alias(c) for c in ("c", "r", "share")]
+    asked = blocks.filter(F.col("kind") == WORDS)
+    # Blocks are long rows, of which few are read at a time.
+    with _set(docs.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", "512"):
+        replies = [stored(_replies(asked, _in_buckets(words.select("h", *double), "h", buckets), _known_words, ["places", "c", "r", "share"]))]
+        _release(docs.sparkSession)
+        for turn in range(ROUNDS):
+            asked = blocks.filter((F.col("kind") == PAIRS) & (F.col("bucket") % ROUNDS == turn))
+            share = gains.filter(F.pmod("pair", F.lit(buckets)) % ROUNDS == turn)
+            replies.append(stored(_replies(asked, _in_buckets(share.select("pair", "one", "none"), "pair", buckets), _sums, ["places", "sums"])))
+            _release(docs.sparkSession)
+    every = replies[0]
+    for more in replies[1:]:
+        every = every.unionByName(more)
+    return parts.filter(F.col("kind") == TEXTS), every, lookup, (total, kinds), d, unknown
 
 
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
@@ -492,30 +624,42 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     empty and hold the end alone. Texts are read whole. Repeated rows and null
     ids keep their rows. Without training texts every word is unknown.
     """
-    rows, batch = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
-    before = batch.get(rows)
-    batch.set(rows, "50000")                    # rows of numbers; those of texts are bounded by their bytes
-    try:
-        parts, found, words, d, unknown = _read_and_found(docs, fold_of(F.col("doc_id"), folds) == held)
-    finally:
-        batch.set(rows, before)
-    total, kinds = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
-    rest = parts.select("row", F.explode("rest").alias("h")).join(words.select(F.col("h").alias("_h"), "c"), F.col("h") == F.col("_h"), "left")
-    base = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("_base"), F.count("c").alias("_known"))
-    context, word = (words.select(F.col("h").alias(f"_h{i}"), *[F.col(c).alias(f"_{c}{i}") for c in ("c", "r", "share")]) for i in (0, 1))
-    missing = found.select("row", F.explode("open").alias("z")).select("row", "z.u", "z.times", _pair_of(F.col("z.u"), F.col("z._pair")).alias("w"))
-    missing = missing.join(context.hint("shuffle_hash"), F.col("u") == F.col("_h0"), "left").join(word.hint("shuffle_hash"), F.col("w") == F.col("_h1"), "left")
-    p = ((1 - d) * F.col("times") + F.coalesce("_share0", F.lit(STRENGTH)) * F.coalesce("_r1", F.lit(unknown))) / (F.coalesce("_c0", F.lit(0)) + STRENGTH)
-    scores = missing.select("row", F.log10(p).alias("_score")).unionByName(found.select("row", "_score"))
-    scores = scores.groupBy(F.col("row").alias("_row")).agg(F.sum("_score").alias("_score"))
-    whole = np.log10(total + 0.1 * (kinds + 1))
-    out = parts.drop("rest").join(base.withColumnRenamed("row", "_row0"), F.col("row") == F.col("_row0"), "left").join(
-        scores, F.col("row") == F.col("_row"), "left")
-    score = F.col("score") + F.coalesce("_score", F.lit(0.0))
-    return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens",
-                      (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("_base", F.lit(0.0)) - F.col("n_tokens") * float(whole)).alias("base_score"),
-                      score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    # Rows of numbers; those of texts are bounded by their bytes.
+    with _set(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "50000"):
+        parts, replies, lookup, (total, kinds), d, unknown = _read_and_found(docs, fold_of(F.col("doc_id"), folds) == held)
+
+    def whole(parts: pa.Table, replies: pa.Table) -> pa.Table:
+        words = lookup.value
+        found = {c: _unpacked(parts.column(c), k)[0] for c, k in PACKED.items()}
+        base, score, known = found["base"].copy(), found["score"].copy(), found["known"].copy()
+        n, texts = len(base), np.cumsum(found["far_text"], dtype=np.int64)
+        u, w = found["far_u"].astype(np.int64), found["far_w"].astype(np.int64)
+        # Places of words behind the lookup are counted down from -1; words without a reply are unknown.
+        size = -min(u.min(initial=0), w.min(initial=0))
+        c, r, share = np.zeros(size), np.full(size, unknown), np.full(size, STRENGTH)
+        of_words = replies.filter(pc.is_valid(replies.column("c")))
+        at = _unpacked(of_words.column("places"), np.int32)[0]
+        for all_, name in ((c, "c"), (r, "r"), (share, "share")):
+            all_[at] = _unpacked(of_words.column(name), np.float64)[0]
+        c, r, share = (np.concatenate((x, y[::-1])) for x, y in ((words.counts, c), (words.roots, r), (words.shares, share)))
+        outside = found["held"][texts]
+        score += np.bincount(texts, np.log10((np.where(outside, 0.0, 1 - d) + share[u] * r[w]) / (STRENGTH + c[u])), n)
+        new = np.flatnonzero(w < 0)
+        base += np.bincount(texts[new], np.log10(c[w[new]] + 0.1), n)
+        known += np.bincount(texts[new], c[w[new]] > 0, n).astype(np.int64)
+        of_pairs = replies.filter(pc.is_valid(replies.column("sums")))
+        score += np.bincount(_unpacked(of_pairs.column("places"), np.int32)[0], _unpacked(of_pairs.column("sums"), np.float64)[0], n)
+        ids = parts.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(found["held"]), pa.array(found["sizes"]), pa.array(known), pa.array(base), pa.array(score)],
+                        names=["doc_id", "held", "n_tokens", "n_known", "base", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = parts.select("chunk", "ids", *PACKED).groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
+        whole, f"doc_id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, score double")
+    scale = float(np.log10(total + 0.1 * (kinds + 1)))
+    return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                      (F.col("base") - F.col("n_tokens") * scale).alias("base_score"),
+                      "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def _lookup(vocabulary: DataFrame) -> Lookup:
@@ -523,50 +667,75 @@ def _lookup(vocabulary: DataFrame) -> Lookup:
     top = _frequent(vocabulary, LOOKUP).toArrow()
     h = top.column("h").to_numpy().astype(np.uint64)
     order = np.argsort(h)
-    return Lookup(h[order], *[top.column(c).to_numpy()[order] for c in ("c", "r", "share")])
+    return Lookup(h[order], *[top.column(c).to_numpy()[order].astype(np.float64) for c in ("c", "r", "share")])
+
+
+# Kinds of rows of what is read: the texts of a chunk, and the words and pairs of a chunk that are looked up in one bucket.
+TEXTS, WORDS, PAIRS = range(3)
+PACKED = {"held": np.bool_, "sizes": np.int64, "known": np.int64, "base": np.float64, "score": np.float64,
+          "far_text": np.int32, "far_u": np.int32, "far_w": np.int32}
 
 
-def _partial_scores(docs: DataFrame, held: Column, lookup: Lookup, top: pa.Table, d: float) -> DataFrame:
-    """Sums over the tokens of each text that the broadcast tables know, stored.
+def _read_texts(docs: DataFrame, held: Column, shared: Broadcast, top: pa.Table, d: float, buckets: int) -> DataFrame:
+    """Chunks of texts with what the broadcast tables know of them, and blocks of what is asked for, stored.
 
-    Also the hashes of the other words (``rest``) and, for each round, the numbers of the other pairs (``pairs<i>``) with their
-    contexts. In training texts such a pair of words of the lookup is scored as if it occurred once, and its context is null.
+    A pair of words of the lookup is in its text's score as if it occurred once in training texts, or not if the text is held out; the
+    pairs of the broadcast table add the rest. All others are asked for: ``numbers``, and ``places`` as steps of twice the text's place, with 1 for
+    a held-out one. Words behind the lookup are asked for once a chunk, and the pairs that they are in kept as ``far_text`` (in steps), ``far_u`` and ``far_w``.
     """
-    pair, gain = top.column("pair").to_numpy().astype(np.uint64), top.column("gain").to_numpy()
+    pair = top.column("pair").to_numpy().astype(np.uint64)
     order = np.argsort(pair)
-    shared = docs.sparkSession.sparkContext.broadcast((lookup, pair[order], gain[order]))
+    frequent = docs.sparkSession.sparkContext.broadcast((pair[order], *[top.column(c).to_numpy()[order] for c in ("one", "none")]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"{x}{i}" for x in ("pairs", "contexts") for i in range(ROUNDS)]
 
-    def lists(chosen: np.ndarray, starts: np.ndarray, values: np.ndarray, null: np.ndarray | None = None) -> pa.ListArray:
-        ends = np.concatenate(([0], np.cumsum(np.add.reduceat(chosen, starts, dtype=np.int64)))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[chosen].astype(np.int64), mask=None if null is None else null[chosen]))
+    def rows(chunk: int, of: int, n: int, ids: pa.Array, **columns: pa.Array) -> pa.RecordBatch:
+        every = {"chunk": pa.array(np.full(n, chunk)), "kind": pa.array(np.full(n, of, dtype=np.int32)), "bucket": pa.nulls(n, pa.int32()), "ids": ids,
+                 **{c: pa.nulls(n, pa.binary()) for c in ("numbers", "places", *PACKED)}} | columns
+        return pa.RecordBatch.from_arrays(list(every.values()), names=list(every))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, top, gains = shared.value
-        weights = np.log10(found.counts + 0.1)
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            outside = batch.column("held").to_numpy(zero_copy_only=False)
-            for first, sizes, context, tokens in _read(batch):
-                starts, n = np.cumsum(sizes) - sizes, len(sizes)
-                w, numbers = found.find(tokens), _pair(context, tokens)
-                u = np.concatenate((found.find(context[:1]), w[:-1]))
-                at = _find(top, numbers)
-                base, score = np.zeros(len(tokens)), np.zeros(len(tokens))
-                base[w >= 0] = weights[w[w >= 0]]
-                score[at >= 0] = gains[at[at >= 0]]
-                near = (at < 0) & (u >= 0) & (w >= 0) & ~np.repeat(outside[first:first + n], sizes)
-                score[near] = np.log10((1 - d + found.shares[u[near]] * found.roots[w[near]]) / (STRENGTH + found.counts[u[near]]))
-                turns = np.where(at < 0, numbers.astype(np.int64) % ROUNDS, -1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(outside[first:first + n]), pa.array(np.arange(row, row + n)),
-                     pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(w >= 0, starts, dtype=np.int64)),
-                     pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts)), lists(w < 0, starts, tokens),
-                     *[lists(turns == i, starts, numbers) for i in range(ROUNDS)], *[lists(turns == i, starts, context, near) for i in range(ROUNDS)]],
-                    names=["doc_id", "held", "row", "n_tokens", "n_known", "base", "score", "rest", *names])
-                row += n
+        lookup, (top, one, none) = shared.value, frequent.value
+        known, frequents = Finder(lookup.hashes), Finder(top)
+        weights = np.log10(lookup.counts + 0.1)
+        chunk = TaskContext.get().partitionId() << 33
+        for ids, outside, sizes, context, tokens in _chunks(batches, CHUNK):
+            n, ends = len(sizes), np.cumsum(sizes) - 1
+            starts = ends + 1 - sizes
+            text = np.repeat(np.arange(n, dtype=np.int32), sizes)
+            away = outside[text]
+            w = known.find(tokens)
+            behind = np.flatnonzero(w < 0)
+            new, place = np.unique(tokens[behind], return_inverse=True)
+            w[behind] = -1 - place
+            u = np.roll(w, 1)
+            u[starts] = w[ends]                                     # a text starts after an end
+            near = (u >= 0) & (w >= 0)
+            base, score = np.zeros(len(tokens)), np.zeros(len(tokens))
+            base[w >= 0] = weights[w[w >= 0]]
+            on, of = u[near], w[near]
+            score[near] = np.log10((np.where(away[near], 0.0, 1 - d) + lookup.shares[on] * lookup.roots[of]) / (STRENGTH + lookup.counts[on]))
+            numbers = _pair(context, tokens)
+            at = frequents.find(numbers)
+            met = np.flatnonzero(at >= 0)
+            score[met] += np.where(away[met], none[at[met]], one[at[met]])
+            far = np.flatnonzero(~near)
+            own = {"held": outside, "sizes": sizes, "known": np.add.reduceat(w >= 0, starts, dtype=np.int64), "base": np.add.reduceat(base, starts),
+                   "score": np.add.reduceat(score, starts), "far_text": np.diff(text[far], prepend=0), "far_u": u[far], "far_w": w[far]}
+            yield rows(chunk, TEXTS, 1, pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids),
+                       **{c: _packed(x.astype(PACKED[c]), np.array([0, len(x)])) for c, x in own.items()})
+            nobody = pa.nulls(0, ids.type)
+            order, bucket, cuts = _dealt(new, buckets)
+            yield rows(chunk, WORDS, len(bucket), pa.ListArray.from_arrays(pa.array(np.zeros(len(bucket) + 1, dtype=np.int32)), nobody),
+                       bucket=pa.array(bucket), numbers=_packed(new[order], cuts), places=_packed(order.astype(np.int32), cuts))
+            asked = np.flatnonzero(at < 0)
+            order, bucket, cuts = _dealt(numbers[asked], buckets)
+            asked = asked[order]
+            whose = 2 * text[asked] + away[asked]
+            step = np.diff(whose, prepend=0)
+            step[cuts[:-1]] = whose[cuts[:-1]]
+            yield rows(chunk, PAIRS, len(bucket), pa.ListArray.from_arrays(pa.array(np.zeros(len(bucket) + 1, dtype=np.int32)), nobody),
+                       bucket=pa.array(bucket), numbers=_packed(numbers[asked], cuts), places=_packed(step.astype(np.int32), cuts))
+            chunk += n
 
     return stored(docs.select("doc_id", "text", held.alias("held")).mapInArrow(
-        run, f"doc_id {kind}, held boolean, row bigint, n_tokens bigint, n_known bigint, base double, score double, "
-             "rest array<bigint>" + "".join(f", {x} array<bigint>" for x in names)))
+        run, f"chunk bigint, kind int, bucket int, ids array<{kind}>" + "".join(f", {c} binary" for c in ("numbers", "places", *PACKED))))
