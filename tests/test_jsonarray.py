@@ -110,3 +110,14 @@ def test_many_files_cost_no_table_each(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", lambda *_: pytest.fail("a pandas table for one file"))
     got = [(json.loads(r.text)["n"], json.loads(r.text)["k"]) for r in J.read_json_array(spark, str(tmp_path), split_bytes=64).orderBy("log_path", "start").collect()]
     assert got == [(n, k) for n in range(40) for k in range(n)]
+
+
+def test_elements_are_not_taken_to_be_as_small_as_the_list_of_files(spark, tmp_path):
+    rows = [{"i": i, "text": "x" * 50} for i in range(2000)]
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+    elements = J.read_json_array(spark, str(tmp_path))
+    assert elements._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 2 * len(json.dumps(rows))
+    placed = J.numbered(elements, "pos")
+    assert "Broadcast" not in placed._jdf.queryExecution().executedPlan().toString()   # of a side whose size nobody knows yet
+    assert sorted((r.pos, json.loads(r.text)["i"]) for r in placed.collect()) == sorted(2 * [(i, i) for i in range(2000)])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceaudit.session import cut_lineage
+from traceaudit.session import cut_lineage, unsized
 from traceaudit.sources.files import TAIL, Reader, list_files, task_count
 
 SPLIT_BYTES = 64 << 20
@@ -209,7 +209,7 @@ def read_json_array(spark: SparkSession, path: str, key: str = "runs", glob: str
     tasks = task_count([last - first for _, first, last, _ in parts], spark.sparkContext.defaultParallelism)
     schema = pa.schema([("log_path", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("size", pa.int64())])
     columns = zip(*parts, strict=True) if parts else [[], [], [], []]
-    ranges = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+    ranges = unsized(spark, pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
     ranges = ranges.repartition(tasks, "log_path", "first")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
