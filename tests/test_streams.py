@@ -1,6 +1,7 @@
 """Streams give the batch result, drop late votes and survive a restart."""
 
 import datetime as dt
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,41 @@ def test_batches_of_small_logs_are_numbered_without_a_shuffle(spark, tmp_path):
     assert {r.log_path for r in small.collect()} == {name for _, name, _ in files[1:]}          # the only piece of the first is broken
     # Files of several ranges are numbered across them.
     assert sorted(repr(r) for r in spans.spans_of_files(spark, files, 16).select(columns).collect()) == want
+
+
+def test_a_batch_of_small_logs_is_one_job(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for n in range(6):
+        write(logs, f"{n}.log", chat(f"A{n}"), "noise", *[chat(f"B{i}") for i in range(n)])
+    setting = "spark.sql.streaming.checkpointFileManagerClass"
+    before = spark.conf.get(setting, None)
+    query = streams.ingest_spans_stream(spark, str(logs), str(tmp_path / "out"), str(tmp_path / "cp"), files_per_batch=2)
+    query.awaitTermination()
+    assert spark.conf.get(setting, None) == before
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3                                   # of two logs each
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) == 3
+    columns = ["log_path", "log_file", "span_idx", "name", "attributes", "span_json"]
+    got, want = spark.read.parquet(str(tmp_path / "out")), ingest_spans(spark, str(logs))
+    assert got.columns == [*columns, "batch"]
+    shown = lambda df: sorted(repr(r)[repr(r).index("log_file"):] for r in df.select(columns).collect())
+    assert shown(got) == shown(want)
+
+
+def test_large_logs_of_a_batch_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    write(logs, "a.log", chat("A"), "noise", chat("B"))
+    write(logs, "b.log", *[chat(f"L{i}") for i in range(40)], "noise {", chat("M"))
+    write(logs, "c.log", *[chat(f"K{i}") for i in range(30)])
+    write(logs, "d.log", "nothing")
+    ranged, whole = [], streams.spans_of_files
+    monkeypatch.setattr(streams, "SMALL_BYTES", 1_000)
+    monkeypatch.setattr(streams, "spans_of_files", lambda session, files: (ranged.extend(f[0].rsplit("/", 1)[-1] for f in files), whole(session, files, 512))[1])
+    for _ in range(2):                                                                          # the second time, the same batch again
+        streams.ingest_spans_stream(spark, str(logs), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        shutil.rmtree(tmp_path / "cp")
+    assert sorted(ranged) == ["b.log", "b.log", "c.log", "c.log"]
+    columns = ["log_file", "span_idx", "name", "attributes", "span_json"]
+    got, want = spark.read.parquet(str(tmp_path / "out")), ingest_spans(spark, str(logs))
+    assert sorted(repr(r) for r in got.select(columns).collect()) == sorted(repr(r) for r in want.select(columns).collect())
